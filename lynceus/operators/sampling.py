@@ -9,9 +9,9 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lynceus.operators.ranking import hash_rank
+from lynceus.operators.ranking import bucket_count, hash_rank
 
 
 class LeakageError(ValueError):
@@ -80,10 +80,6 @@ def nested_key(df: DataFrame, id_col: str, y: str, seed: int | Column, by: list[
 
 
 def _global_rank(keyed: DataFrame, by: list[str], y: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    from lynceus.operators.ranking import bucket_count
-
     n = bucket_count(keyed)
     b = keyed.withColumn("_b", F.floor(F.col("_key") * n).cast("int"))
     keys = [*by, "_b"]
@@ -107,8 +103,6 @@ def nested_samples(pool: DataFrame, id_col: str, y: str, sizes: list[int], seed:
 def verify_nesting(samples: DataFrame, id_col: str, size: str = "size") -> DataFrame:
     """Per size: does every row also belong to the next larger sample? The largest nests trivially."""
     sizes = samples.select(size).distinct()
-    from pyspark.sql import Window
-
     nxt = sizes.select(size, F.lead(size).over(Window.partitionBy(F.lit(0)).orderBy(size)).alias("_next"))
     # the table of sizes holds one row per requested size
     tagged = samples.select(id_col, size).join(F.broadcast(nxt), size)
