@@ -306,18 +306,18 @@ def vitals(spark, sf):
     """Cohort columns rescaled into the ranges of vital signs."""
     return cohort(spark, sf).select(
         "id", "y",
-        (F.col("price") / 2000.0).alias("ap_hi"),
-        (F.col("acctbal") / 60.0 + 40.0).alias("ap_lo"),
+        (F.col("price") / 2100.0).alias("ap_hi"),
+        (F.col("acctbal") / 70.0 + 40.0).alias("ap_lo"),
         (F.col("order_day") / 30.0).alias("age_years"),
         (F.col("nation") * 3.0 + 120.0).alias("height"),
-        (F.col("known_bal") / 80.0 + 40.0).alias("weight"),
+        (F.col("known_bal") / 90.0 + 40.0).alias("weight"),
         ((F.col("priority") + 1) / 2).cast("int").alias("level"),
     )
 
 
 VITALS_SQL = f"""{COHORT_SQL},
-vitals AS (SELECT id, y, price / 2000.0 AS ap_hi, acctbal / 60.0 + 40.0 AS ap_lo, order_day / 30.0::DOUBLE AS age_years, nation * 3.0::DOUBLE + 120.0 AS height,
-                  known_bal / 80.0 + 40.0 AS weight, CAST(floor((priority + 1) / 2.0) AS INTEGER) AS level FROM cohort)"""
+vitals AS (SELECT id, y, price / 2100.0 AS ap_hi, acctbal / 70.0 + 40.0 AS ap_lo, order_day / 30.0::DOUBLE AS age_years, nation * 3.0::DOUBLE + 120.0 AS height,
+                  known_bal / 90.0 + 40.0 AS weight, CAST(floor((priority + 1) / 2.0) AS INTEGER) AS level FROM cohort)"""
 
 
 @query("dq16_vital_flags", f"""
