@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lynceus.catalog import query
 from lynceus.operators import quality as dq
-from lynceus.plans.roles import COHORT_SQL, DOCS_SQL, SCORES_SQL, cohort, labelled_documents, scores_wide, table
+from lynceus.plans.roles import COHORT_SQL, DOCS_SQL, SCORES_SQL, cohort, labelled_documents, scores_wide, table, to_long
 
 ORDER_SPEC = dq.TableSpec(
     columns=("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_shippriority", "o_orderstatus"),
@@ -306,9 +306,9 @@ def vitals(spark, sf):
     """Cohort columns rescaled into the ranges of vital signs."""
     return cohort(spark, sf).select(
         "id", "y",
-        (F.col("price") / 2100.0).alias("ap_hi"),
+        (F.col("price") / 2111.0).alias("ap_hi"),
         (F.col("acctbal") / 70.0 + 40.0).alias("ap_lo"),
-        (F.col("order_day") / 30.0).alias("age_years"),
+        (F.col("order_day") / 31.0).alias("age_years"),
         (F.col("nation") * 3.0 + 120.0).alias("height"),
         (F.col("known_bal") / 90.0 + 40.0).alias("weight"),
         ((F.col("priority") + 1) / 2).cast("int").alias("level"),
@@ -316,7 +316,7 @@ def vitals(spark, sf):
 
 
 VITALS_SQL = f"""{COHORT_SQL},
-vitals AS (SELECT id, y, price / 2100.0 AS ap_hi, acctbal / 70.0 + 40.0 AS ap_lo, order_day / 30.0::DOUBLE AS age_years, nation * 3.0::DOUBLE + 120.0 AS height,
+vitals AS (SELECT id, y, price / 2111.0 AS ap_hi, acctbal / 70.0 + 40.0 AS ap_lo, order_day / 31.0::DOUBLE AS age_years, nation * 3.0::DOUBLE + 120.0 AS height,
                   known_bal / 90.0 + 40.0 AS weight, CAST(floor((priority + 1) / 2.0) AS INTEGER) AS level FROM cohort)"""
 
 
@@ -352,16 +352,14 @@ def dq24(spark, sf):
 
 
 @query("dq25_runs_consistent", f"""
-WITH {SCORES_SQL}, runs AS (SELECT id, y, model AS run, proba FROM long UNION ALL SELECT id, y, 'c', a FROM scores WHERE stage <> 'B'),
+WITH {SCORES_SQL}, runs AS (SELECT id, y, model AS run, proba FROM long WHERE model <> 'c' UNION ALL SELECT id, y, 'c', a FROM scores WHERE stage <> 'B'),
 per_id AS (SELECT id, count(DISTINCT run) AS r, max(k) AS k, min(y0) AS y0, max(y1) AS y1, sum(bad) AS bad FROM (
   SELECT id, run, count(*) AS k, min(y) AS y0, max(y) AS y1, count_if(NOT coalesce(proba BETWEEN 0 AND 1, false)) AS bad FROM runs GROUP BY id, run) GROUP BY id),
 s AS (SELECT count_if(r <> 3)::BIGINT AS n_ids_missing, count_if(k > 1)::BIGINT AS n_ids_repeated, count_if(y0 <> y1)::BIGINT AS n_label_conflicts, sum(bad)::BIGINT AS n_bad_proba FROM per_id)
 SELECT *, n_ids_missing + n_ids_repeated + n_label_conflicts + n_bad_proba = 0 AS consistent FROM s""")
 def dq25(spark, sf):
-    from lynceus.plans.roles import to_long
-
     s = scores_wide(spark, sf)
-    runs = to_long(s, ["a", "b"]).withColumnRenamed("model", "run").drop("stage")
+    runs = to_long(s, ["a", "b"]).withColumnRenamed("model", "run").drop("stage", "fold")
     third = s.filter("stage <> 'B'").select("id", "y", F.lit("c").alias("run"), F.col("a").alias("proba"))
     return dq.runs_consistent(runs.unionByName(third))
 

@@ -117,24 +117,33 @@ def flatten_bundle(df: DataFrame, json_col: str, as_of_year: int) -> DataFrame:
     is_bundle = (F.col("_doc.resourceType") == "Bundle") & F.col("_doc.entry").isNotNull()
     items = F.when(is_bundle, F.transform("_doc.entry", lambda e: e["resource"])).otherwise(F.array(own))
 
-    def rule_of(r: Column) -> Column:
-        codes = F.coalesce(F.transform(r["code"]["coding"], lambda c: c["code"]), F.array().cast("array<string>"))
-        text = F.lower(F.coalesce(r["code"]["text"], F.lit("")))
-        out = F.lit(None).cast("string")
-        for field, rule_codes, word in reversed(OBSERVATION_RULES):
-            hit = F.arrays_overlap(codes, F.array(*[F.lit(c) for c in rule_codes])) | F.contains(text, F.lit(word))
-            out = F.when(F.coalesce(hit, F.lit(False)), field).otherwise(out)
+    # a rule's position is its precedence: the smallest position any code or the text reaches wins
+    code_rank = F.create_map(*[
+        x for i, (_, codes, _) in enumerate(OBSERVATION_RULES) for c in codes for x in (F.lit(c), F.lit(i))
+    ])
+    fields = F.array(*[F.lit(f) for f, _, _ in OBSERVATION_RULES])
+
+    def text_rank(text: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for i, (_, _, word) in reversed(list(enumerate(OBSERVATION_RULES))):
+            out = F.when(F.contains(text, F.lit(word)), i).otherwise(out)
         return out
 
     observations = F.transform(
-        F.filter("_items", lambda r: r["resourceType"] == "Observation"),
-        lambda r: F.struct(rule_of(r).alias("field"), r["valueQuantity"]["value"].alias("value")),
+        F.filter("_items", lambda r: (r["resourceType"] == "Observation") & (r["valueQuantity"]["value"] != 0)),
+        lambda r: F.struct(
+            F.try_element_at(fields, F.least(
+                F.array_min(F.transform(r["code"]["coding"], lambda c: F.try_element_at(code_rank, c["code"]))),
+                text_rank(F.lower(r["code"]["text"])),
+            ) + 1).alias("field"),
+            r["valueQuantity"]["value"].alias("value"),
+        ),
     )
     patients = F.filter("_items", lambda r: r["resourceType"] == "Patient")
     staged = (
         df.withColumn("_doc", doc)
         .withColumn("_items", items)
-        .withColumn("_obs", F.filter(observations, lambda o: o["field"].isNotNull() & (F.coalesce(o["value"], F.lit(0.0)) != 0)))
+        .withColumn("_obs", observations)
         .withColumn("_pat", patients)
     )
 

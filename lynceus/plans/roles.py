@@ -41,34 +41,40 @@ COHORT_SQL = """cohort AS (
 
 
 def scores_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per event: id, stage, y and two model scores (b is heavily tied)."""
-    return table(spark, sf_dir, "events").select(
+    """One row per event: id, stage, fold, y and three model scores (b is heavily tied, c blends both)."""
+    scored = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
+        (F.col("user_id") % 5).cast("int").alias("fold"),
         F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("user_id") % 3 + 1).cast("int")).alias("stage"),
         F.col("event_type").isin("purchase", "signup").cast("int").alias("y"),
         F.least(F.lit(1.0), F.round(F.col("value") / VALUE_SCALE, 6)).alias("a"),
         ((F.get_json_object("props", "$.k").cast("double") + 0.5) / 100.0).alias("b"),
     )
+    return scored.withColumn("c", F.round(F.col("a") * 0.6 + F.col("b") * 0.4, 6))
 
 
-def scores_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_long(scores_wide(spark, sf_dir), ["a", "b"])
+MODELS = ("a", "b", "c")
 
 
-def to_long(wide: DataFrame, models: list[str], keep: tuple[str, ...] = ("id", "stage", "y")) -> DataFrame:
+def scores_long(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = MODELS) -> DataFrame:
+    return to_long(scores_wide(spark, sf_dir), list(models))
+
+
+def to_long(wide: DataFrame, models: list[str], keep: tuple[str, ...] = ("id", "stage", "fold", "y")) -> DataFrame:
     """Wide score columns to ``(keep, model, proba)`` without a shuffle."""
     pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("proba")) for m in models])
     return wide.select(*keep, F.inline(pairs))
 
 
-SCORES_SQL = """scores AS (
-  SELECT event_id AS id, CASE user_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS stage,
+SCORES_SQL = """base_scores AS (
+  SELECT event_id AS id, CAST(user_id % 5 AS INTEGER) AS fold, CASE user_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS stage,
          CAST(event_type IN ('purchase', 'signup') AS INTEGER) AS y,
          least(1.0, round(value / 600.0, 6)) AS a,
          (CAST(json_extract_string(props, '$.k') AS DOUBLE) + 0.5) / 100.0 AS b
   FROM events),
-long AS (SELECT id, stage, y, 'a' AS model, a AS proba FROM scores
-         UNION ALL SELECT id, stage, y, 'b', b FROM scores)"""
+scores AS (SELECT *, round(a * 0.6::DOUBLE + b * 0.4::DOUBLE, 6) AS c FROM base_scores),
+long AS (SELECT id, stage, fold, y, 'a' AS model, a AS proba FROM scores
+         UNION ALL SELECT id, stage, fold, y, 'b', b FROM scores UNION ALL SELECT id, stage, fold, y, 'c', c FROM scores)"""
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
