@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = 2**32
 #: Word thresholds of the Poisson(1) distribution: a word w draws sum(w >= t) events.
@@ -36,28 +36,38 @@ def gaussian(*parts: Column | str | int) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 
-def poisson1(word: Column) -> Column:
+def hash_hex(*parts: Column | str | int) -> Column:
+    """The first word of md5(parts) as 8 lower-case hex digits; sorts like the number."""
+    cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.substring(F.md5(F.concat_ws(":", *cols)), 1, 8)
+
+
+def poisson1(hex_word: Column) -> Column:
+    """Poisson(1) draw of a hex word: how many cumulative thresholds it reaches."""
     out = F.lit(0)
     for t in POISSON1_WORDS:
-        out = out + (word >= F.lit(t)).cast("int")
+        out = out + (hex_word >= F.lit(f"{t:08x}")).cast("int")
     return out.cast("long")
 
 
-def poisson_weight(count: Column, *key: Column | str | int) -> Column:
-    """Resampling weight of ``count`` identical rows: Poisson(count).
+def with_poisson_weight(df: DataFrame, count: str, key: list[Column], out: str) -> DataFrame:
+    """Adds the resampling weight of ``count`` identical rows: Poisson(count).
 
     The sum of Poisson(1) draws up to ``POISSON_NORMAL_FROM`` rows, the rounded normal limit above
-    it, so the cost per group of identical rows does not grow with the group.
+    it, so the cost per group of identical rows does not grow with the group. The digests are columns
+    of their own, because an expression inside a conditional is evaluated at every use.
     """
-    single = poisson1(hash_word(*key, F.lit(1)))
-    summed = F.aggregate(
-        F.sequence(F.lit(1), F.least(count, F.lit(POISSON_NORMAL_FROM)).cast("int")),
-        F.lit(0).cast("long"),
-        lambda acc, j: acc + poisson1(hash_word(*key, j)),
-    )
-    normal = F.greatest(F.lit(0.0), F.round(count + F.sqrt(count.cast("double")) * gaussian(*key, F.lit(0))))
+    n = F.col(count)
+    small = (n > 1) & (n <= POISSON_NORMAL_FROM)
+    words = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda j: hash_hex(*key, j))
+    summed = F.aggregate("_words", F.lit(0).cast("long"), lambda acc, w: acc + poisson1(w))
+    normal = F.greatest(F.lit(0.0), F.round(n + F.sqrt(n.cast("double")) * gaussian(*key, F.lit(0))))
     return (
-        F.when(count == 1, single)
-        .when(count <= POISSON_NORMAL_FROM, summed)
-        .otherwise(normal.cast("long"))
+        df.withColumn("_word", hash_hex(*key, F.lit(1)))
+        .withColumn("_words", F.when(small, words))
+        .withColumn(
+            out,
+            F.when(n == 1, poisson1(F.col("_word"))).when(small, summed).otherwise(normal.cast("long")),
+        )
+        .drop("_word", "_words")
     )

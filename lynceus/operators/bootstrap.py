@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lynceus.functions.hashing import poisson_weight
+from lynceus.functions.hashing import with_poisson_weight
 from lynceus.operators.evaluate import LABEL_METRICS, confusion, label_ratios, rank_aggregates, ranking_metrics
 
 METHOD = "poisson_cells"
@@ -22,15 +22,16 @@ def _key(p: str, decimals: int) -> Column:
 
 
 def _resample(cells: DataFrame, key: list[str], resamples: int, seed: int) -> DataFrame:
-    """Every group of identical rows with its weight in every resample where it is drawn.
+    """Every group of identical rows with its weight ``w`` (zero where not drawn) in every resample.
 
+    A filter on the weight would be pushed below it and draw it twice, so zeros go after aggregation.
     The groups are spread by number before they are multiplied: the small table of groups would
     otherwise be coalesced into few tasks that each expand it.
     """
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    long = cells.repartition(n, *key).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    weight = poisson_weight(F.col("cnt"), F.lit(seed), F.col("r"), *[F.col(k) for k in key])
-    return long.withColumn("w", weight).filter("w > 0")
+    long = cells.repartition(n, F.xxhash64(*key)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    parts = [F.lit(seed), F.col("r"), *[F.col(k) for k in key]]
+    return with_poisson_weight(long, "cnt", parts, "w")
 
 
 def _ranked(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -55,7 +56,7 @@ def resampled_rank_metrics(scores: DataFrame, keys: list[str], resamples: int, s
     drawn = _resample(cells, [*keys, "y", "k"], resamples, seed)
     points = drawn.groupBy(*keys, "r", "k").agg(
         F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg")
-    )
+    ).filter("pos + neg > 0")
     return _ranked(points, [*keys, "r"])
 
 
@@ -127,6 +128,7 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], resamples: int = 2000, s
         drawn.unionByName(observed).select(*keys, "r", "y", "w", F.inline(sides))
         .groupBy(*keys, "r", "side", "k")
         .agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"))
+        .filter("pos + neg > 0")
     )
     ranked = _ranked(points, [*keys, "r", "side"])
     diff = lambda m: F.sum(F.when(F.col("side") == "a", F.col(m)).otherwise(-F.col(m)))

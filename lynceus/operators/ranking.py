@@ -31,7 +31,8 @@ def with_value_bucket(df: DataFrame, order: str, n: int, bucket: str = _BUCKET)
     edges = df.select(F.percentile_approx(F.col(order), probs, 10_000)).scalar()
     return (
         df.withColumn("_edges", edges)
-        .withColumn(bucket, F.size(F.filter("_edges", lambda e: e < F.col(order))))
+        # never null, so a later join on the bucket adds no null test below the aggregation
+        .withColumn(bucket, F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(order))), F.lit(0)))
         .drop("_edges")
     )
 
