@@ -1 +1,274 @@
-"""To come."""
+"""ML1-ML20: training, tuning, stacking, scoring and explanation on the cohort.
+
+Fitted models have no SQL counterpart: their queries are checked by row count and by unit tests, and
+everything around them that is plain aggregation has its own SQL. Trees and grids are kept small here.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.sql import functions as F
+
+from lynceus.catalog import query
+from lynceus.catalog.evaluation import SCORES_SQL, rank_sql, round_all
+from lynceus.catalog.features import SPLIT_SQL, noise_sql, train_test
+from lynceus.catalog.quality import VITALS_SQL, vitals
+from lynceus.catalog.sampling import RANKED_SQL
+from lynceus.operators import compare as cp, evaluate as ev, models as ml
+from lynceus.operators.derive import FeatureGroups
+from lynceus.operators.sampling import assign_folds
+from lynceus.plans.config import FeatureConfig
+from lynceus.plans.roles import COHORT_SQL, cohort, scores_long, vectors
+
+GROUPS = FeatureGroups(continuous=("price", "known_bal", "order_day"), ordinal=("priority",), nominal=("segment",))
+CFG = FeatureConfig(selector="f_classif", k_best=6)
+K = 3
+
+
+def prep(space: str = "classical") -> ml.FeaturePrep:
+    return ml.FeaturePrep(GROUPS, "y", CFG, space)
+
+
+def folded(spark, sf):
+    return assign_folds(cohort(spark, sf), "id", "y", K, 42)
+
+
+def _fit_logreg(n):
+    return lambda t: Pipeline(stages=[prep(), ml.logreg(n)]).fit(t)
+
+
+def _fit_boosted(trees=4, depth=3):
+    return lambda t: Pipeline(stages=[prep(), ml.boosted(trees, depth)]).fit(t)
+
+
+def _holdout_scores(spark, sf, estimator):
+    train, data = train_test(spark, sf)
+    model = Pipeline(stages=[prep(), estimator(train)]).fit(train)
+    return round_all(ml.score(model, data.filter("split = 'test'"), ["id", "y"]), "proba")
+
+
+@query("ml1_logreg")
+def ml1(spark, sf):
+    return _holdout_scores(spark, sf, lambda t: ml.logreg(t.count(), 1.0))
+
+
+@query("ml2_forest")
+def ml2(spark, sf):
+    return _holdout_scores(spark, sf, lambda t: ml.forest(10, 4))
+
+
+@query("ml3_boosted")
+def ml3(spark, sf):
+    return _holdout_scores(spark, sf, lambda t: ml.boosted(8, 3, 0.1, 0.8))
+
+
+@query("ml4_rbf_svm")
+def ml4(spark, sf):
+    train, data = train_test(spark, sf)
+    model = ml.RbfSvm(GROUPS, C=1.0, width=16, cfg=CFG).fit(train)
+    return round_all(ml.score(model, data.filter("split = 'test'"), ["id", "y"]), "proba")
+
+
+@query("ml5_landmark_classifier")
+def ml5(spark, sf):
+    v = assign_folds(vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("int")), "id", "y", K, 42)
+    model = ml.LandmarkClassifier(32).fit(v.filter("fold <> 0"))
+    return round_all(ml.score(model, v.filter("fold = 0"), ["id", "y"]), "proba")
+
+
+@query("ml6_grid_search")
+def ml6(spark, sf):
+    df = folded(spark, sf)
+    n = df.count()
+    found = ml.grid_search(df, lambda C: ml.logreg(n, C), {"C": [0.01, 1.0, 100.0]}, K, prep=prep())
+    return round_all(found.table, "mean", "std", "ci_low", "ci_high")
+
+
+@query("ml7_class_weights", f"""
+WITH {COHORT_SQL} SELECT id, y, round(count(*) OVER () / (2.0::DOUBLE * count(*) OVER (PARTITION BY y)), 9) AS weight FROM cohort""")
+def ml7(spark, sf):
+    return round_all(ml.class_weights(cohort(spark, sf).select("id", "y")), "weight", digits=9)
+
+
+@query("ml7_compare_weighting")
+def ml7c(spark, sf):
+    return round_all(ml.compare_weighting(folded(spark, sf), prep(), 1.0, K), "value")
+
+
+def _oof(spark, sf):
+    df = folded(spark, sf)
+    n = df.count()
+    compact = lambda t: Pipeline(stages=[prep("compact"), ml.logreg(n)]).fit(t)
+    return ml.oof_scores(df, {"base": _fit_boosted(), "aux": compact, "control": _fit_logreg(n)}, K)
+
+
+@query("ml8_oof_scores")
+def ml8(spark, sf):
+    return round_all(_oof(spark, sf), "proba")
+
+
+@query("ml8_oof_coverage", f"""
+WITH {RANKED_SQL}, f AS (SELECT id, y, CAST((r - 1) % {K} AS INTEGER) AS fold FROM ranked)
+SELECT fold, count(*) AS n_rows, count(DISTINCT id) AS n_ids, sum(y)::BIGINT AS n_positive, 0::BIGINT AS n_bad FROM f GROUP BY fold""")
+def ml8c(spark, sf):
+    df = folded(spark, sf)
+    oof = ml.oof_scores(df, {"base": _fit_logreg(df.count())}, K)
+    per_id = oof.groupBy("id", "fold").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"), F.sum((~F.col("proba").between(0, 1)).cast("long")).alias("bad"))
+    return per_id.groupBy("fold").agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_ids"), F.sum("y").alias("n_positive"), F.sum("bad").alias("n_bad"))
+
+
+@query("ml9_stack_cv")
+def ml9(spark, sf):
+    wide = ml.oof_wide(_oof(spark, sf), ["base", "aux", "control"]).persist()
+    stacked = ml.stack_cv(wide, "p_base", "p_aux", "p_control", K)
+    return round_all(ev.ranking_metrics(stacked, ["fold", "model"]), "roc_auc", "pr_auc")
+
+
+@query("ml10_residual_fusion")
+def ml10(spark, sf):
+    df = folded(spark, sf)
+    n = df.count()
+    wide = ml.oof_wide(ml.oof_scores(df, {"base": _fit_logreg(n)}, K), ["base"])
+    unit = df.select("id", (F.col("price") / 500000.0).alias("price"), (F.col("acctbal") / 10000.0).alias("acctbal"))
+    return round_all(ml.residual_fusion(wide.join(unit, "id").persist(), ["price", "acctbal"], "p_base", width=6), "proba")
+
+
+@query("ml11_compare_candidates")
+def ml11(spark, sf):
+    df = folded(spark, sf)
+    n = df.count()
+    rich = df.withColumn("price_per_day", F.col("price") / (F.col("order_day") + 1))
+    wider = FeatureGroups(continuous=(*GROUPS.continuous, "price_per_day"), ordinal=GROUPS.ordinal, nominal=GROUPS.nominal)
+    engineered = lambda t: Pipeline(stages=[ml.FeaturePrep(wider, "y", CFG), ml.logreg(n)]).fit(t)
+    candidates = {"logreg": _fit_logreg(n), "boosted": _fit_boosted(), "engineered": engineered}
+    return round_all(ml.compare_candidates(rich, candidates, K), "mean", "std", "ci_low", "ci_high")
+
+
+@query("ml12_seed_stability")
+def ml12(spark, sf):
+    c = cohort(spark, sf)
+    return round_all(ml.seed_stability(c, {"logreg": _fit_logreg(c.count())}, K, [7, 42]), "mean", "std")
+
+
+@query("ml13_score_table")
+def ml13(spark, sf):
+    from lynceus.plans.scoring import fit_scorer, score_batch
+
+    train, data = train_test(spark, sf)
+    return score_batch(data, fit_scorer(train, GROUPS, CFG))
+
+
+@query("ml14_explain_global")
+def ml14(spark, sf):
+    from lynceus.operators.features import fit_features
+
+    train, _ = train_test(spark, sf)
+    fitted = fit_features(train, GROUPS, "y", CFG)
+    model = ml.forest(10, 4).fit(fitted.model().transform(train))
+    return round_all(ml.explain_global(spark, model, fitted.selected), "value")
+
+
+#: Linear weights of the additive screening score per unit of pressure, age and level.
+WEIGHTS = {"ap_hi": 0.0045, "age_years": 0.005, "level": 0.075}
+CONTRIB_SQL = f"""{VITALS_SQL}, m AS (SELECT avg(ap_hi) AS a, avg(age_years) AS b, avg(level) AS c FROM vitals),
+contrib AS (SELECT id, 'ap_hi' AS feature, 0.0045::DOUBLE * (ap_hi - a) AS contribution FROM vitals, m
+  UNION ALL SELECT id, 'age_years', 0.005::DOUBLE * (age_years - b) FROM vitals, m UNION ALL SELECT id, 'level', 0.075::DOUBLE * (level - c) FROM vitals, m)"""
+
+
+@query("ml15_explain_rows", f"""
+WITH {CONTRIB_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(contribution) DESC, feature) AS rank FROM contrib)
+SELECT id, CAST(rank AS INTEGER) AS rank, feature, round(contribution, 6) AS contribution FROM r WHERE rank <= 2""")
+def ml15(spark, sf):
+    v = vitals(spark, sf)
+    return round_all(ml.explain_rows(v, WEIGHTS, ml.column_means(v, list(WEIGHTS)), 2), "contribution")
+
+
+@query("ml16_permutation_importance")
+def ml16(spark, sf):
+    train, data = train_test(spark, sf)
+    held = data.filter("split = 'test'").drop("split")
+    return round_all(ml.permutation_importance(held, _fit_boosted()(train), ["price", "known_bal", "order_day"]), "importance")
+
+
+@query("ml17_acceptance_gate", f"""
+WITH {SCORES_SQL}, {rank_sql('m', 'fold, model')},
+p AS (SELECT fold, max(roc_auc) FILTER (model = 'a') AS b, max(roc_auc) FILTER (model = 'c') AS s, max(roc_auc) FILTER (model = 'b') AS c FROM m GROUP BY fold),
+g AS (SELECT avg(b) AS base_mean, avg(s) AS stack_mean, avg(c) AS control_mean, stddev_pop(b) AS base_std, count_if(s > b)::BIGINT AS folds_won, count(*) AS n_folds FROM p),
+q AS (SELECT *, stack_mean > base_mean AS beats_base, folds_won >= n_folds - 1 AS fold_consistent, stack_mean > control_mean AS beats_control,
+  stack_mean > base_mean + base_std AS material_gain, stack_mean - base_mean AS delta_base, stack_mean - control_mean AS delta_control FROM g)
+SELECT round(base_mean, 6) AS base_mean, round(stack_mean, 6) AS stack_mean, round(control_mean, 6) AS control_mean, round(base_std, 6) AS base_std, folds_won, n_folds,
+  beats_base, fold_consistent, beats_control, material_gain, round(delta_base, 6) AS delta_base, round(delta_control, 6) AS delta_control,
+  beats_base AND fold_consistent AND beats_control AND material_gain AS gate_passed,
+  CASE WHEN beats_base AND fold_consistent AND beats_control AND material_gain THEN 'no_contribution' WHEN delta_base > 0.001 OR delta_control > 0.01 THEN 'complementary_only' ELSE 'no_contribution' END AS decision FROM q""")
+def ml17(spark, sf):
+    gate = cp.acceptance_gate(ev.roc_auc(scores_long(spark, sf), ["fold", "model"]), base="a", stack="c", control="b")
+    gate = gate.withColumn("decision", cp.gate_decision(F.col("gate_passed"), F.lit(None).cast("boolean"), F.col("delta_base"), F.col("delta_control")))
+    return round_all(gate, "base_mean", "stack_mean", "control_mean", "base_std", "delta_base", "delta_control")
+
+
+@query("ml18_learning_curve")
+def ml18(spark, sf):
+    train, data = train_test(spark, sf)
+    n = train.count()
+    curve = ml.learning_curve(train, data.filter("split = 'test'"), [n // 4, n // 2, n], _fit_logreg(n), 42)
+    return round_all(curve, *ml.CV_METRICS, "brier")
+
+
+@query("ml18_cross_site")
+def ml18s(spark, sf):
+    c = cohort(spark, sf).withColumn("site", F.when(F.col("nation") < 13, "west").otherwise("east"))
+    return round_all(ml.cross_site(c, "site", "west", _fit_logreg(c.count())), *ml.CV_METRICS, "brier")
+
+
+@query("ml19_noise_sweep")
+def ml19(spark, sf):
+    train, data = train_test(spark, sf)
+    cols = ["price", "known_bal"]
+    std = {r["column_name"]: r["std"] for r in _std(train, cols)}
+    noisy = ml.with_noise(data.filter("split = 'test'"), cols, std, [0.0, 0.01, 0.05, 0.1, 0.2], 42)
+    return round_all(ml.perturbation_sweep(noisy, _fit_logreg(train.count())(train)), *ml.CV_METRICS, "brier")
+
+
+def _std(train, cols):
+    from lynceus.operators.quality import column_moments
+
+    return column_moments(train, cols).collect()
+
+
+@query("ml19_mask_sweep")
+def ml19m(spark, sf):
+    train, data = train_test(spark, sf)
+    masked = ml.with_mask(data.filter("split = 'test'"), ["price", "known_bal"], [0.05, 0.1, 0.2, 0.3], 42)
+    return round_all(ml.perturbation_sweep(masked, _fit_logreg(train.count())(train)), *ml.CV_METRICS, "brier")
+
+
+def _mask_sql(col, j):
+    return f"count_if({col} IS NULL OR (CAST('0x' || substr(md5('42:{j}:' || id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE < level)::BIGINT AS {col}_missing"
+
+
+@query("ml19_mask_counts", f"""
+WITH {SPLIT_SQL}
+SELECT level, count(*) AS n, {_mask_sql('price', 0)}, {_mask_sql('known_bal', 1)} FROM data, unnest([0.05, 0.1, 0.2, 0.3]::DOUBLE[]) t(level) WHERE split = 'test' GROUP BY level""")
+def ml19c(spark, sf):
+    _, data = train_test(spark, sf)
+    masked = ml.with_mask(data.filter("split = 'test'"), ["price", "known_bal"], [0.05, 0.1, 0.2, 0.3], 42)
+    missing = lambda c: F.sum(F.col(c).isNull().cast("long")).alias(f"{c}_missing")
+    return masked.groupBy("level").agg(F.count(F.lit(1)).alias("n"), missing("price"), missing("known_bal"))
+
+
+@query("ml19_noise_values", f"""
+WITH {SPLIT_SQL}, s AS (SELECT stddev_samp(price) AS sp FROM train)
+SELECT id, level, round(price + level * sp * {noise_sql(42, 0)}, 4) AS price FROM data, s, unnest([0.0, 0.1]::DOUBLE[]) t(level) WHERE split = 'test'""")
+def ml19v(spark, sf):
+    train, data = train_test(spark, sf)
+    std = {r["column_name"]: r["std"] for r in _std(train, ["price"])}
+    noisy = ml.with_noise(data.filter("split = 'test'"), ["price"], std, [0.0, 0.1], 42)
+    return noisy.select("id", "level", F.round("price", 4).alias("price"))
+
+
+@query("ml20_contribution_summary", f"""
+WITH {CONTRIB_SQL} SELECT feature, round(avg(abs(contribution)), 6) AS mean_abs FROM contrib GROUP BY feature""")
+def ml20(spark, sf):
+    v = vitals(spark, sf)
+    return round_all(ml.contribution_summary(v, WEIGHTS, ml.column_means(v, list(WEIGHTS))), "mean_abs")
