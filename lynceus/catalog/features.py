@@ -14,6 +14,7 @@ from lynceus.operators.derive import FeatureGroups
 from lynceus.operators.sampling import stratified_split
 from lynceus.plans.config import FeatureConfig
 from lynceus.plans.roles import COHORT_SQL, cohort
+from lynceus.session import stored
 
 NUM = ["price", "acctbal", "known_bal", "priority", "nation", "order_day"]
 GROUPS = FeatureGroups(continuous=("price", "known_bal", "order_day"), ordinal=("priority",), nominal=("segment",))
@@ -28,7 +29,8 @@ def split_cohort(spark, sf):
 
 
 def train_test(spark, sf):
-    s = split_cohort(spark, sf)
+    """(training rows, all rows): the split is dealt once and stored, as every fit reads it several times."""
+    s = stored(split_cohort(spark, sf))
     return s.filter("split = 'train'"), s
 
 

@@ -19,6 +19,7 @@ from lynceus.operators.derive import FeatureGroups
 from lynceus.operators.sampling import assign_folds
 from lynceus.plans.config import FeatureConfig
 from lynceus.plans.roles import COHORT_SQL, cohort, scores_long, vectors
+from lynceus.session import stored
 
 GROUPS = FeatureGroups(continuous=("price", "known_bal", "order_day"), ordinal=("priority",), nominal=("segment",))
 CFG = FeatureConfig(selector="f_classif", k_best=6)
@@ -120,7 +121,7 @@ def ml8c(spark, sf):
 
 @query("ml9_stack_cv")
 def ml9(spark, sf):
-    wide = ml.oof_wide(_oof(spark, sf), ["base", "aux", "control"]).persist()
+    wide = stored(ml.oof_wide(_oof(spark, sf), ["base", "aux", "control"]))
     stacked = ml.stack_cv(wide, "p_base", "p_aux", "p_control", K)
     return round_all(ev.ranking_metrics(stacked, ["fold", "model"]), "roc_auc", "pr_auc")
 
@@ -131,7 +132,7 @@ def ml10(spark, sf):
     n = df.count()
     wide = ml.oof_wide(ml.oof_scores(df, {"base": _fit_logreg(n)}, K), ["base"])
     unit = df.select("id", (F.col("price") / 500000.0).alias("price"), (F.col("acctbal") / 10000.0).alias("acctbal"))
-    return round_all(ml.residual_fusion(wide.join(unit, "id").persist(), ["price", "acctbal"], "p_base", width=6), "proba")
+    return round_all(ml.residual_fusion(stored(wide.join(unit, "id")), ["price", "acctbal"], "p_base", width=6), "proba")
 
 
 @query("ml11_compare_candidates")

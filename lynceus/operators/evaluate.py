@@ -102,8 +102,19 @@ def average_precision(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def all_metrics(scores: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """The full metric suite per group: counts, label metrics, ROC-AUC, average precision, Brier."""
-    return label_metrics(scores, keys, threshold).join(ranking_metrics(scores, keys), keys).join(brier(scores, keys), keys)
+    """The full metric suite per group: counts, label metrics, ROC-AUC, average precision, Brier.
+
+    All of them are sums over distinct scores, so the rows are read for one ordered pass only.
+    """
+    hit, p = F.col("proba") >= threshold, F.col("proba")
+    over = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(0))
+    gap = F.col("pos") * (p - 1) * (p - 1) + F.col("neg") * p * p
+    agg = running_points(scores, keys).groupBy(*keys).agg(
+        over("pos", hit).alias("tp"), over("neg", hit).alias("fp"), over("neg", ~hit).alias("tn"), over("pos", ~hit).alias("fn"),
+        *[c.alias(m) for m, c in rank_aggregates().items()],
+        (F.sum(gap) / F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
+    )
+    return agg.withColumns(label_ratios(*(F.col(x) for x in ("tp", "fp", "tn", "fn"))))
 
 
 def metrics_long(metrics: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lynceus.functions.hashing import gaussian
 from lynceus.operators.derive import FeatureGroups
 from lynceus.operators.quality import column_moments, profile, value_counts
-from lynceus.operators.ranking import exact_quantiles
+from lynceus.operators.ranking import fitted_quantiles
 from lynceus.plans.config import FeatureConfig
 
 #: A nominal column with more levels than this is not one-hot encoded.
@@ -71,8 +71,7 @@ class Fitted:
 
 def fit_median(train: DataFrame, cols: list[str]) -> Fitted:
     """Exact interpolated median per column."""
-    rows = exact_quantiles(train, cols, {"m": 0.5}).collect()
-    med = {r["column_name"]: r["m"] for r in rows}
+    med = {c: q["m"] for c, q in fitted_quantiles(train, cols, {"m": 0.5}).items()}
     return Fitted({c: f"coalesce(CAST({_name(c)} AS DOUBLE), {_lit(med[c])})" for c in cols}, {"impute": med})
 
 
@@ -118,8 +117,8 @@ def fit_minmax(train: DataFrame, cols: list[str]) -> Fitted:
 
 def fit_robust(train: DataFrame, cols: list[str]) -> Fitted:
     """Median and interquartile range."""
-    q = exact_quantiles(train, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).collect()
-    stats = {r["column_name"]: (r["q50"], r["q75"] - r["q25"]) for r in q}
+    q = fitted_quantiles(train, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    stats = {c: (q[c]["q50"], q[c]["q75"] - q[c]["q25"]) for c in cols}
     return Fitted({c: _affine(c, *stats[c]) for c in cols}, {"scale": stats})
 
 
@@ -215,8 +214,7 @@ def anova_f(df: DataFrame, cols: list[str], y: str) -> DataFrame:
 def fit_quantile_bins(train: DataFrame, cols: list[str], q: int = 4) -> Fitted:
     """Right-closed bins between interpolated quantiles; repeated edges are dropped."""
     probs = {f"e{i}": i / q for i in range(q + 1)}
-    rows = exact_quantiles(train, cols, probs).collect()
-    edges = {r["column_name"]: sorted({r[p] for p in probs if r[p] is not None}) for r in rows}
+    edges = {c: sorted({v for v in q.values() if v is not None}) for c, q in fitted_quantiles(train, cols, probs).items()}
     exprs = {}
     for c in cols:
         inner = edges[c][1:-1]
@@ -461,10 +459,11 @@ class FittedFeatures:
 def fit_features(train: DataFrame, groups: FeatureGroups, y: str, cfg: FeatureConfig = FeatureConfig()) -> FittedFeatures:
     """Impute, encode, scale, select, reduce and range-map: fitted on ``train`` and nothing else.
 
-    The prepared training rows feed several aggregates; they are kept in memory or on disk meanwhile.
+    The training rows feed several aggregates; their feature columns are kept in memory or on disk meanwhile.
     """
-    prepared = fit_preprocessor(train, groups, cfg)
-    ready = prepared.transform(train, keep=[y]).persist()
+    raw = train.select(*groups.all, y).persist()
+    prepared = fit_preprocessor(raw, groups, cfg)
+    ready = prepared.transform(raw, keep=[y]).persist()
     try:
         k = min(cfg.k_best, len(prepared.names))
         pick = select_k_mi(ready, prepared.names, y, k, cfg.mi_bins) if cfg.selector == "mutual_info" else select_k_f(ready, prepared.names, y, k)
@@ -474,3 +473,4 @@ def fit_features(train: DataFrame, groups: FeatureGroups, y: str, cfg: FeatureCo
         return FittedFeatures(prepared, selected, pca.then(ranged), pca.stats["explained"])
     finally:
         ready.unpersist()
+        raw.unpersist()

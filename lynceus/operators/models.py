@@ -27,7 +27,7 @@ from lynceus.operators.kernels import MAX_LANDMARKS, kernel_landmarks
 from lynceus.operators.ranking import hash_rank
 from lynceus.operators.sampling import assign_folds, nested_samples
 from lynceus.plans.config import FeatureConfig
-from lynceus.session import ensure_checkpoints
+from lynceus.session import stored
 
 #: Fixed search grids.
 LOGREG_GRID = {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]}
@@ -170,18 +170,16 @@ def oof_scores(df: DataFrame, learners: dict[str, Callable[[DataFrame], Transfor
     """Long ``(id, y, fold, model, proba)``: every row scored once per learner, by a model that never saw it.
 
     A learner maps training rows to a fitted transformer, so its feature preparation is refitted per fold.
+    The folded rows are checkpointed once: fits and scoring passes read them instead of dealing folds again.
     """
-    ensure_checkpoints(df.sparkSession)
-    base = df.persist()
-    try:
-        def job(name, fit, i):
-            model = fit(base.filter(F.col(fold) != i))
-            return score(model, df.filter(F.col(fold) == i), [id_col, y, fold]).withColumn("model", F.lit(name))
+    base = stored(df)
 
-        jobs = [(lambda n=n, f=f, i=i: job(n, f, i)) for i in range(k) for n, f in learners.items()]
-        return _union(_parallel(jobs, parallelism)).select(id_col, y, fold, "model", "proba")
-    finally:
-        base.unpersist()
+    def job(name, fit, i):
+        model = fit(base.filter(F.col(fold) != i))
+        return score(model, base.filter(F.col(fold) == i), [id_col, y, fold]).withColumn("model", F.lit(name))
+
+    jobs = [(lambda n=n, f=f, i=i: job(n, f, i)) for i in range(k) for n, f in learners.items()]
+    return _union(_parallel(jobs, parallelism)).select(id_col, y, fold, "model", "proba")
 
 
 CV_METRICS = ["roc_auc", "pr_auc", *ev.LABEL_METRICS]
@@ -189,7 +187,7 @@ CV_METRICS = ["roc_auc", "pr_auc", *ev.LABEL_METRICS]
 
 def cv_scores(df: DataFrame, learners: dict[str, Callable], k: int, fold: str = "fold", y: str = "y", **kw) -> DataFrame:
     """Long ``(fold, model, metric, value)``: seven metrics of every learner on every held-out fold."""
-    scored = oof_scores(df, learners, k, fold, y=y, **kw).withColumnRenamed(y, "y")
+    scored = stored(oof_scores(df, learners, k, fold, y=y, **kw).withColumnRenamed(y, "y"))
     return ev.metrics_long(ev.all_metrics(scored, [fold, "model"]), [fold, "model"], CV_METRICS)
 
 
@@ -208,10 +206,9 @@ def grid_search(df: DataFrame, build: Callable[..., Callable[[DataFrame], Transf
     preparation per fold, shared by all points), else a whole learner. The best mean ROC-AUC wins; ties
     go to the earlier point. There is no test set among the arguments.
     """
-    ensure_checkpoints(df.sparkSession)
+    df = stored(df)
     points = grid_points(grid)
-    scored = []
-    cached = [df.persist()]
+    scored, cached = [], []
     try:
         for i in range(k):
             train, held = df.filter(F.col(fold) != i), df.filter(F.col(fold) == i)
@@ -226,7 +223,7 @@ def grid_search(df: DataFrame, build: Callable[..., Callable[[DataFrame], Transf
                 return score(model, held, ["id", y, fold]).withColumn("point", F.lit(j))
 
             scored += _parallel([(lambda j=j, p=p: job(j, p)) for j, p in enumerate(points)], parallelism)
-        rows = ev.all_metrics(_union(scored).withColumnRenamed(y, "y"), [fold, "point"])
+        rows = ev.all_metrics(stored(_union(scored).withColumnRenamed(y, "y")), [fold, "point"])
         long = ev.metrics_long(rows, [fold, "point"], CV_METRICS)
         table = ev.cv_summary(long, ["point", "metric"])
         # points x metrics rows: written to the driver once, so later uses do not refit or rescore
@@ -390,9 +387,10 @@ def shuffled_column(df: DataFrame, id_col: str, col: str, seed: int) -> DataFram
 
 def permutation_importance(df: DataFrame, model: Transformer, cols: list[str], seed: int = 42, id_col: str = "id", y: str = "y") -> DataFrame:
     """Drop of ROC-AUC when one column is shuffled: all shuffles scored and ranked in one job."""
+    df = stored(df)
     base = score(model, df, [id_col, y]).withColumn("feature", F.lit(""))
     parts = [score(model, shuffled_column(df, id_col, c, seed + 2 * i), [id_col, y]).withColumn("feature", F.lit(c)) for i, c in enumerate(cols)]
-    auc = ev.roc_auc(_union([base, *parts]).withColumnRenamed(y, "y"), ["feature"])
+    auc = ev.roc_auc(stored(_union([base, *parts]).withColumnRenamed(y, "y")), ["feature"])
     plain = auc.filter("feature = ''").select("roc_auc").scalar()
     return auc.withColumn("_b", plain).filter("feature <> ''").select("feature", (F.col("_b") - F.col("roc_auc")).alias("importance"))
 
@@ -402,18 +400,15 @@ def permutation_importance(df: DataFrame, model: Transformer, cols: list[str], s
 
 def learning_curve(pool: DataFrame, held: DataFrame, sizes: list[int], fit: Callable, seed: int, id_col: str = "id", y: str = "y") -> DataFrame:
     """Metrics on fixed held-out rows by size of nested training samples."""
-    samples = nested_samples(pool, id_col, y, sizes, seed).persist()
-    try:
-        parts = [score(fit(samples.filter(F.col("size") == s)), held, [id_col, y]).withColumn("size", F.lit(s)) for s in sizes]
-    finally:
-        samples.unpersist()
-    return ev.all_metrics(_union(parts).withColumnRenamed(y, "y"), ["size"])
+    samples, held = stored(nested_samples(pool, id_col, y, sizes, seed)), stored(held)
+    parts = [score(fit(samples.filter(F.col("size") == s)), held, [id_col, y]).withColumn("size", F.lit(s)) for s in sizes]
+    return ev.all_metrics(stored(_union(parts).withColumnRenamed(y, "y")), ["size"])
 
 
 def cross_site(df: DataFrame, site: str, train_site, fit: Callable, id_col: str = "id", y: str = "y") -> DataFrame:
     """Metrics per site of a model trained on one site."""
     model = fit(df.filter(F.col(site) == train_site))
-    return ev.all_metrics(score(model, df, [id_col, y, site]).withColumnRenamed(y, "y"), [site])
+    return ev.all_metrics(stored(score(model, df, [id_col, y, site]).withColumnRenamed(y, "y")), [site])
 
 
 def with_noise(df: DataFrame, cols: list[str], std: dict[str, float], sigmas: list[float], seed: int, id_col: str = "id") -> DataFrame:
@@ -434,4 +429,4 @@ def with_mask(df: DataFrame, cols: list[str], rates: list[float], seed: int, id_
 
 def perturbation_sweep(perturbed: DataFrame, model: Transformer, id_col: str = "id", y: str = "y") -> DataFrame:
     """Metrics per perturbation level; a mask is filled by the model's own train-fitted imputation."""
-    return ev.all_metrics(score(model, perturbed, [id_col, y, "level"]).withColumnRenamed(y, "y"), ["level"])
+    return ev.all_metrics(stored(score(model, perturbed, [id_col, y, "level"]).withColumnRenamed(y, "y")), ["level"])

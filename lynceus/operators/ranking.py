@@ -137,3 +137,22 @@ def exact_quantiles(
     """Exact quantiles of several columns in one pass: ``(keys, column_name, one column per prob)``."""
     keys = keys or []
     return quantiles_from_counts(value_counts_long(df, cols, keys), [*keys, "column_name"], probs)
+
+
+#: Up to this many rows a column's values fit one aggregation buffer with room to spare.
+SMALL_ROWS = 1_000_000
+
+
+def fitted_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float]) -> dict[str, dict[str, float]]:
+    """The same quantiles on the driver, ``{column: {name: value}}``, for fitting.
+
+    A table checked to be small takes the built-in exact percentile, one aggregate; a larger one the
+    distributed form. Both interpolate linearly between the same two values.
+    """
+    if df.count() <= SMALL_ROWS:
+        qs = F.array(*[F.lit(p) for p in probs.values()])
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), qs).alias(str(i)) for i, c in enumerate(cols)]).first()
+        return {c: dict(zip(probs, row[i] if row[i] is not None else [None] * len(probs))) for i, c in enumerate(cols)}
+    rows = exact_quantiles(df, cols, probs).collect()
+    found = {r["column_name"]: {p: r[p] for p in probs} for r in rows}
+    return {c: found.get(c, dict.fromkeys(probs)) for c in cols}

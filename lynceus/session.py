@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
@@ -29,3 +29,9 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Iterative learners cut their lineage in the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder: later passes read them, a lost executor does not redo them."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
