@@ -143,14 +143,6 @@ RESAMPLES, SEED = 50, 42
 _U = lambda key, w: f"((CAST('0x' || substr(md5({key} || ':0'), {1 + 8 * w}, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)"
 
 
-def _draw_sql(key: str) -> str:
-    """Poisson(cnt) weight of a group of identical rows, keyed by the text ``key``."""
-    word = f"CAST('0x' || substr(md5({key} || ':' || j), 1, 8) AS BIGINT)"
-    one = " + ".join(f"({word} >= {t})::BIGINT" for t in POISSON1_WORDS)
-    normal = f"greatest(0, round(cnt + sqrt(cnt) * sqrt(-2 * ln({_U(key, 0)})) * cos({2 * math.pi!r} * {_U(key, 1)})))::BIGINT"
-    return f"""CASE WHEN cnt <= 30 THEN (SELECT sum({one}) FROM unnest(range(1, least(cnt, 30) + 1)) u(j)) ELSE {normal} END"""
-
-
 def resample_sql(name: str, cells: str, keys: list[str]) -> str:
     """CTE ``name``: cells x resamples with weight w > 0. Small counts are drawn one by one."""
     key = " || ':' || ".join(["'42'", "r", *keys])

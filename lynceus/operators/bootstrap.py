@@ -12,7 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lynceus.functions.hashing import with_poisson_weight
-from lynceus.operators.evaluate import LABEL_METRICS, confusion, label_ratios, rank_aggregates, ranking_metrics
+from lynceus.operators.compare import delong, holm, mcnemar, pair_cells, pair_weight, pair_with_reference, verdict
+from lynceus.operators.evaluate import (
+    LABEL_METRICS, RANK_METRICS, confusion, label_metrics, label_ratios, metrics_long, rank_aggregates, ranking_metrics,
+)
+from lynceus.session import stored
 
 METHOD = "poisson_cells"
 
@@ -34,6 +38,15 @@ def _resample(cells: DataFrame, key: list[str], resamples: int, seed: int) -> Da
     return with_poisson_weight(long, "cnt", parts, "w")
 
 
+def _by_resample(drawn: DataFrame, keys: list[str]) -> DataFrame:
+    """One shuffle by resample serves both the sums per score and the ordered pass after them.
+
+    A resample holds each group of identical rows once, so combining before the shuffle would not shrink it.
+    """
+    n = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return drawn.repartition(n, *keys, "r")
+
+
 def _ranked(points: DataFrame, keys: list[str]) -> DataFrame:
     """ROC-AUC and average precision per keys from ``(keys, k, pos, neg)``.
 
@@ -54,7 +67,7 @@ def resampled_rank_metrics(scores: DataFrame, keys: list[str], resamples: int, s
     """``(keys, r, roc_auc, pr_auc)``."""
     cells = scores.groupBy(*keys, "y", _key("proba", decimals).alias("k")).agg(F.count(F.lit(1)).alias("cnt"))
     drawn = _resample(cells, [*keys, "y", "k"], resamples, seed)
-    points = drawn.groupBy(*keys, "r", "k").agg(
+    points = _by_resample(drawn, keys).groupBy(*keys, "r", "k").agg(
         F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg")
     ).filter("pos + neg > 0")
     return _ranked(points, [*keys, "r"])
@@ -95,11 +108,9 @@ def bootstrap_ci(scores: DataFrame, keys: list[str], metric: str, resamples: int
 
 def metric_ci_table(
     scores: DataFrame, keys: list[str], resamples: int = 2000, seed: int = 42,
-    metrics: list[str] = ["roc_auc", "pr_auc", *LABEL_METRICS],
+    metrics: tuple[str, ...] = (*RANK_METRICS, *LABEL_METRICS),
 ) -> DataFrame:
     """All metrics of all groups with intervals: ``(keys, metric, point, ci_low, ci_high, n_resamples, method)``."""
-    from lynceus.operators.evaluate import RANK_METRICS, label_metrics, metrics_long
-
     parts = []
     rank = [m for m in metrics if m in RANK_METRICS]
     label = [m for m in metrics if m in LABEL_METRICS]
@@ -120,12 +131,12 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], resamples: int = 2000, s
     resamples on the other side of zero, at most 1.
     """
     ka, kb = _key("pa", decimals), _key("pb", decimals)
-    cells = pairs.groupBy(*keys, "y", ka.alias("ka"), kb.alias("kb")).agg(F.count(F.lit(1)).alias("cnt"))
+    cells = pairs.groupBy(*keys, "y", ka.alias("ka"), kb.alias("kb")).agg(F.sum(pair_weight(pairs)).alias("cnt"))
     drawn = _resample(cells, [*keys, "y", "ka", "kb"], resamples, seed)
     observed = cells.withColumn("r", F.lit(-1)).withColumn("w", F.col("cnt"))
     sides = F.array(F.struct(F.lit("a").alias("side"), F.col("ka").alias("k")), F.struct(F.lit("b").alias("side"), F.col("kb").alias("k")))
     points = (
-        drawn.unionByName(observed).select(*keys, "r", "y", "w", F.inline(sides))
+        _by_resample(drawn.unionByName(observed), keys).select(*keys, "r", "y", "w", F.inline(sides))
         .groupBy(*keys, "r", "side", "k")
         .agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"))
         .filter("pos + neg > 0")
@@ -150,10 +161,9 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], resamples: int = 2000, s
 
 def compare_all(scores: DataFrame, ref: str, keys: list[str], resamples: int = 2000, seed: int = 42) -> DataFrame:
     """Every model against a reference in every group: DeLong, both bootstraps, McNemar, one Holm family."""
-    from lynceus.operators.compare import delong, holm, mcnemar, pair_with_reference, verdict
-
-    pairs = pair_with_reference(scores, ref, keys)
     by = [*keys, "model"]
+    # every test works on counts of identical pairs: the pairs are joined and counted once
+    pairs = stored(pair_cells(pair_with_reference(scores, ref, keys), by))
     boot = paired_bootstrap(pairs, by, resamples, seed)
     pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
     wide = boot.groupBy(*by).agg(

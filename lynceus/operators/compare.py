@@ -12,6 +12,7 @@ from lynceus.functions.stats import Z_975, binomial_two_sided_p, normal_two_side
 from lynceus.operators.evaluate import score_points
 from lynceus.operators.quality import count_where
 from lynceus.operators.ranking import running_sums
+from lynceus.session import stored
 
 ALPHA = 0.05
 
@@ -27,8 +28,13 @@ def wide_pair(scores: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     return scores.select(*keys, "y", F.col(a).alias("pa"), F.col(b).alias("pb"))
 
 
+def pair_weight(pairs: DataFrame) -> Column:
+    """Rows a line stands for: ``cnt`` where pairs were already counted, else one."""
+    return F.col("cnt") if "cnt" in pairs.columns else F.lit(1).cast("long")
+
+
 def pair_cells(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    return pairs.groupBy(*keys, "y", "pa", "pb").agg(F.count(F.lit(1)).alias("cnt"))
+    return pairs.groupBy(*keys, "y", "pa", "pb").agg(F.sum(pair_weight(pairs)).alias("cnt"))
 
 
 def _side(cells: DataFrame, keys: list[str], p: str, build) -> DataFrame:
@@ -43,9 +49,10 @@ def delong(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
     A positive's component is the share of negatives below it (ties one half), a negative's the share
     of positives above it. Only the difference of the two models' components enters the variance. A
-    group with fewer than two rows of a class stops the job.
+    group with fewer than two rows of a class stops the job. The cells are read once per side and pass,
+    so they are stored instead of joining the pairs again for each.
     """
-    cells = pair_cells(pairs, keys)
+    cells = pairs if "cnt" in pairs.columns else stored(pair_cells(pairs, keys))
 
     def parts(tag: str):
         v10 = (F.col("neg_before") + F.col("neg") / 2.0) / F.col("neg_total")
@@ -89,9 +96,10 @@ def mcnemar(pairs: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFr
     y = F.col("y")
     right_a = (F.col("pa") >= threshold).cast("int") == y
     right_b = (F.col("pb") >= threshold).cast("int") == y
+    rows = lambda cond: F.coalesce(F.sum(F.when(cond, pair_weight(pairs))), F.lit(0).cast("long"))
     agg = pairs.groupBy(*keys).agg(
-        count_where(right_a & right_b).alias("both_correct"), count_where(right_a & ~right_b).alias("a_only"),
-        count_where(~right_a & right_b).alias("b_only"), count_where(~right_a & ~right_b).alias("both_wrong"),
+        rows(right_a & right_b).alias("both_correct"), rows(right_a & ~right_b).alias("a_only"),
+        rows(~right_a & right_b).alias("b_only"), rows(~right_a & ~right_b).alias("both_wrong"),
     )
     return agg.withColumns({
         "n_discordant": F.col("a_only") + F.col("b_only"), "p_value": binomial_two_sided_p(F.col("a_only"), F.col("b_only")),

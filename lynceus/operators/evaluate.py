@@ -195,7 +195,7 @@ def leaderboard(metrics_long_df: DataFrame, names: list[str], model: str = "mode
     )
 
 
-def best_per_stage(auc: DataFrame, stage: str, ref: str, model: str = "model", value: str = "roc_auc") -> DataFrame:
+def gap_analysis(auc: DataFrame, stage: str, ref: str, model: str = "model", value: str = "roc_auc") -> DataFrame:
     """Per stage: the best model other than ``ref``, its lead over ``ref`` and how the lead shrinks."""
     rival = F.col(model) != ref
     per = auc.groupBy(stage).agg(
@@ -208,9 +208,6 @@ def best_per_stage(auc: DataFrame, stage: str, ref: str, model: str = "model", v
     return gap.withColumn("gap_reduction_pct", F.try_divide(100.0 * (prev - F.col("gap")), prev))
 
 
-gap_analysis = best_per_stage
-
-
 def scale_comparison(small: DataFrame, full: DataFrame, model: str, names: list[str]) -> DataFrame:
     """Metrics of the same models at two scales side by side, with differences."""
     a = small.select(model, *[F.col(n).alias(f"small_{n}") for n in names])
