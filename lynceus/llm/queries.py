@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import os
 
-from lynceus.llm.base import table
+from pyspark.sql import functions as F
+
+from lynceus.llm.base import fold_of, table
 from lynceus.llm.exact_dedup import exact_dedup
+from lynceus.llm.language_id import language_id
+from lynceus.llm.line_dedup import line_dedup
 from lynceus.llm.registry import query
 from lynceus.llm.token_counts import token_counts
 
@@ -32,3 +36,20 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM t JOIN g ON t.text = g.text""")
 def op6(spark, sf):
     return exact_dedup(spark, f"{sf}/documents.parquet")
+
+
+@query("op8_language_id")
+def op8(spark, sf):
+    held = fold_of(F.col("doc_id")) == 2
+    return language_id(table(spark, sf, "documents"), train=~held, held_out=held)
+
+
+@query("op4_line_dedup", """
+WITH l AS (SELECT doc_id, source, text, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM l),
+b AS (SELECT t, min({'d': doc_id, 'p': pos}) AS first FROM k WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 8),
+m AS (SELECT k.*, b.t IS NOT NULL AND {'d': doc_id, 'p': pos} <> b.first AS gone FROM k LEFT JOIN b ON k.t = b.t)
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id""")
+def op4(spark, sf):
+    return line_dedup(table(spark, sf, "documents"), min_sites=8).select("doc_id", "n_lines", "n_removed", "text")
