@@ -99,14 +99,14 @@ class PieceModel:
 
     def tokenizer(self):
         """The same pipeline built from the tokenizers library."""
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         if any(k in (USER, UNUSED) for _, _, k in self.pieces):
             raise ValueError("user-defined and unused pieces are not supported")
         ids = {p: i for i, (p, _, _) in enumerate(self.pieces)}
         unk = next((p for p, _, k in self.pieces if k == UNKNOWN), None)
         if self.kind == BPE:
-            tok = Tokenizer(models.BPE(ids, self.merges(), unk_token=unk, fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=100_000))
+            tok = Tokenizer(models.BPE(ids, self.merges(), unk_token=unk, fuse_unk=True, byte_fallback=self.byte_fallback))
         elif self.kind == UNIGRAM:
             tok = Tokenizer(models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=ids[unk], byte_fallback=self.byte_fallback))
         else:
@@ -120,9 +120,6 @@ class PieceModel:
             steps.append(normalizers.Replace(" ", MARK))
         if steps:
             tok.normalizer = normalizers.Sequence(steps)
-        inner = any(MARK in p.lstrip(MARK) for p, _, k in self.pieces if k == NORMAL)
-        if self.escape and not inner:  # no piece crosses from a letter to a marker, so no merge does
-            tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
         out: list = [decoders.Replace(MARK, " ")]
         if self.byte_fallback:
             out.append(decoders.ByteFallback())

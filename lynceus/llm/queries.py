@@ -10,6 +10,8 @@ from lynceus.llm.base import fold_of, table
 from lynceus.llm.exact_dedup import exact_dedup
 from lynceus.llm.language_id import language_id
 from lynceus.llm.line_dedup import line_dedup
+from lynceus.llm.mixing import mix_documents
+from lynceus.llm.pieces import encode_pieces
 from lynceus.llm.registry import query
 from lynceus.llm.token_counts import token_counts
 
@@ -53,3 +55,22 @@ SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_removed,
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM m GROUP BY doc_id""")
 def op4(spark, sf):
     return line_dedup(table(spark, sf, "documents"), min_sites=8).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def form_topic(text="text"):
+    """A document's topic here is its form: what kind of marks it holds."""
+    t = F.coalesce(text, F.lit(""))
+    return (
+        F.when(t.contains(" | "), "tabular").when(t.contains("@"), "contact").when(t.rlike("[0-9]{3}"), "figures")
+        .when(F.length(t) < 1000, "short").otherwise("prose"))
+
+
+@query("op5_mixing")
+def op5(spark, sf):
+    docs = mix_documents(table(spark, sf, "documents"), form_topic())
+    return docs.select("doc_id", "source", "lang", "mix_topic", "mix_tokens", "mix_factor", "mix_probability", "mix_sampled")
+
+
+@query("op10_pieces")
+def op10(spark, sf):
+    return encode_pieces(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
