@@ -13,7 +13,10 @@ from lynceus.llm.base import stored
 from lynceus.session import new_table_path
 
 #: Keyed state lives in RocksDB: its size is bounded by disk, not by executor memory.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # an open store holds some MB of local disk
+}
 
 
 def sha256_hex(text: Column) -> Column:
@@ -42,18 +45,17 @@ def drain(spark: SparkSession, path: str, state_dir: str, id_col: str = "doc_id"
         reader = reader.option("pathGlobFilter", name)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
     try:
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
         query = (
             digest_state(reader.parquet(path), id_col, text_col, digest).writeStream.outputMode("update")
             .format("noop").option("checkpointLocation", state_dir).trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     state = spark.read.format("statestore").load(state_dir)
     locator = state.schema["value"].dataType.names[0]
     seen = state.schema["value"].dataType.names[1]
@@ -73,18 +75,18 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     Groups of one need nothing more. In larger groups every row's bytes are compared with those of the row the state
     points to; where a digest stands for several texts, its rows are grouped again by their bytes.
     """
-    state = drain(spark, path, state_dir or new_table_path(spark, "digests"), id_col, text_col, digest, files_per_batch)
+    state = stored(drain(spark, path, state_dir or new_table_path(spark, "digests"), id_col, text_col, digest, files_per_batch), "state")
     docs = spark.read.parquet(path).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     keyed = docs.select("id", digest(F.col("text")).alias("digest"), sha256_hex(F.col("text")).alias("text_sha256"), "text")
     shared = state.where("seen > 1")
     light = keyed.select("id", "digest", "text_sha256")
     single = light.join(state.where("seen = 1").select("digest"), "digest").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
-    hits = keyed.join(shared.select("digest", "keep_id", "seen"), "digest")
+    hits = stored(keyed.join(shared.select("digest", "keep_id", "seen"), "digest"), "hits")
     held = (
         hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("held_text")))
     checked = stored(hits.join(held, "digest").select(
-        "id", "digest", "text_sha256", "keep_id", "seen", (F.col("text") == F.col("held_text")).alias("same")), "hits")
+        "id", "digest", "text_sha256", "keep_id", "seen", (F.col("text") == F.col("held_text")).alias("same")), "compared")
     torn = checked.where("not same").select("digest").distinct()
     grouped = checked.select("id", "keep_id", F.col("seen").alias("group_size"), "text_sha256", "digest")
     if not torn.isEmpty():
