@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lynceus.llm.base import fold_of, table
 from lynceus.llm.exact_dedup import exact_dedup
+from lynceus.llm.kneser_ney import quality_scores
 from lynceus.llm.language_id import language_id
 from lynceus.llm.line_dedup import line_dedup
 from lynceus.llm.mixing import mix_documents
@@ -74,3 +75,13 @@ def op5(spark, sf):
 @query("op10_pieces")
 def op10(spark, sf):
     return encode_pieces(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def trusted_ids(spark, sf):
+    """Documents that people marked as good."""
+    return table(spark, sf, "labels").where("quality = 1").select("doc_id")
+
+
+@query("op3_quality")
+def op3(spark, sf):
+    return quality_scores(table(spark, sf, "documents"), trusted_ids(spark, sf))
