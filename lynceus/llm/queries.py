@@ -15,6 +15,7 @@ from lynceus.llm.mixing import mix_documents
 from lynceus.llm.pieces import encode_pieces
 from lynceus.llm.registry import query
 from lynceus.llm.token_counts import token_counts
+from lynceus.llm.toxicity import toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -85,3 +86,10 @@ def trusted_ids(spark, sf):
 @query("op3_quality")
 def op3(spark, sf):
     return quality_scores(table(spark, sf, "documents"), trusted_ids(spark, sf))
+
+
+@query("op7_toxicity")
+def op7(spark, sf):
+    held = fold_of(F.col("doc_id")) == 2
+    labels = table(spark, sf, "labels").where(~held).select("doc_id", "toxic")
+    return toxicity(table(spark, sf, "documents"), labels, held)
