@@ -209,7 +209,7 @@ class Reader:
         return np.where(np.isfinite(worst), 1 / (1 + np.exp(-np.clip(worst, -50, 50))), 0.0)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.01, seed: int = 7) -> Network:
     """Learns from whole texts with one label each: a positive text teaches with its worst window, a negative one with its
     worst and a random window. The first windows are those with the most telling words."""
     net, rng = Network(seed), np.random.default_rng(seed)
@@ -231,6 +231,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 256
                 start = int(rng.choice(window_starts(len(d))))
                 chosen.append((d[start : start + WINDOW], 0))
         order = rng.permutation(len(chosen))
+        batch = min(256, max(32, len(chosen) // 24))
         for lo in range(0, len(order), batch):
             rows = [chosen[i] for i in order[lo : lo + batch]]
             words = list(dict.fromkeys(w for d, _ in rows for w in d))
