@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ WORD_DIM, CHAR_DIM, HEAD_DIM, HIDDEN, ATTENTION = 10, 6, 10, 12, 8
 HEAD_SIZES = range(2, 11)
 #: Windows advanced together, and distinct words whose inputs a worker keeps.
 LANES, KEPT_WORDS = 4096, 250_000
+#: Documents and words a feature must be met in to be learned.
+LEAST = 4
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -75,7 +78,10 @@ def summed(rows: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Parameters, forward and backward pass. Word ids index a list of distinct words; -1 pads."""
+    """Parameters, forward and backward pass. Word ids index a list of distinct words; -1 pads.
+
+    Embeddings begin at zero, so features never learned say nothing.
+    """
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -84,7 +90,7 @@ class Network:
             return (rng.standard_normal(shape) * (scale or 1 / np.sqrt(shape[0]))).astype(np.float32)
 
         d, h = WORD_DIM + CHAR_DIM + HEAD_DIM, HIDDEN
-        self.p = {"ew": init(WORDS, WORD_DIM, scale=0.3), "ec": init(CHARS, CHAR_DIM, scale=0.3), "eh": init(HEADS, HEAD_DIM, scale=0.3)}
+        self.p = {k: np.zeros((n, w), np.float32) for k, n, w in (("ew", WORDS, WORD_DIM), ("ec", CHARS, CHAR_DIM), ("eh", HEADS, HEAD_DIM))}
         for s in "fb":
             self.p |= {f"w{s}": init(d, 3 * h), f"u{s}": init(h, 3 * h), f"c{s}": np.zeros(3 * h, np.float32)}
         self.p |= {"a": init(2 * h, ATTENTION), "ab": np.zeros(ATTENTION, np.float32), "v": init(ATTENTION), "o": init(2 * h), "ob": np.zeros(1, np.float32)}
@@ -219,6 +225,11 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.
     if not len(docs):
         return net
     odds = log_odds(docs, y)
+    spread = Counter(w for d in docs for w in set(d))
+    often = np.array(list(spread.values()))
+    common = {
+        k: np.bincount(f, np.repeat(often, n), minlength=len(net.p[k]))[:, None] >= LEAST
+        for k, (f, n) in word_features(list(spread)).items()}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step, worst = 0, np.zeros(len(docs), np.int64)
     for epoch in range(epochs):
@@ -247,6 +258,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, rate: float = 0.
             step += 1
             lr = rate * min(1.0, step / 20) * (0.5 if epoch >= epochs * 0.6 else 1.0)
             for k, g in grads.items():
+                if k in common:
+                    g = g * common[k]
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
