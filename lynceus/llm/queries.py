@@ -12,6 +12,7 @@ from lynceus.llm.kneser_ney import quality_scores
 from lynceus.llm.language_id import language_id
 from lynceus.llm.line_dedup import line_dedup
 from lynceus.llm.mixing import mix_documents
+from lynceus.llm.ngram_join import jaccard_join
 from lynceus.llm.pieces import encode_pieces
 from lynceus.llm.registry import query
 from lynceus.llm.token_counts import token_counts
@@ -93,3 +94,21 @@ def op7(spark, sf):
     held = fold_of(F.col("doc_id")) == 2
     labels = table(spark, sf, "labels").where(~held).select("doc_id", "toxic")
     return toxicity(table(spark, sf, "documents"), labels, held)
+
+
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.x, l.b FROM r JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) l ON r.y = l.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(y) FROM r WHERE r.x = w.doc_id) AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id"""
+
+
+@query("op9_ngram_join", JOIN_SQL)
+def op9(spark, sf):
+    return jaccard_join(table(spark, sf, "documents"))
