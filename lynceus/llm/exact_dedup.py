@@ -83,8 +83,8 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     single = light.join(state.where("seen = 1").select("digest"), "digest").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     hits = stored(keyed.join(shared.select("digest", "keep_id", "seen"), "digest"), "hits")
-    held = (
-        hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("held_text")))
+    held = stored(
+        hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("held_text")), "held")
     checked = stored(hits.join(held, "digest").select(
         "id", "digest", "text_sha256", "keep_id", "seen", (F.col("text") == F.col("held_text")).alias("same")), "compared")
     torn = checked.where("not same").select("digest").distinct()

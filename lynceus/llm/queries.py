@@ -12,6 +12,7 @@ from lynceus.llm.kneser_ney import quality_scores
 from lynceus.llm.language_id import language_id
 from lynceus.llm.line_dedup import line_dedup
 from lynceus.llm.mixing import mix_documents
+from lynceus.llm.near_vectors import near_vectors
 from lynceus.llm.ngram_join import jaccard_join
 from lynceus.llm.pieces import encode_pieces
 from lynceus.llm.registry import query
@@ -29,6 +30,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_near_vectors")
+def op1(spark, sf):
+    return near_vectors(table(spark, sf, "embeddings"), threshold=0.98)
+
+
 @query("op2_token_counts")
 def op2(spark, sf):
     return token_counts(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
