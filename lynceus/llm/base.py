@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str, columns: bool = True) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder as Parquet and read back: lineage ends here, and a lost executor loses nothing."""
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -42,6 +42,13 @@ def text_slices(batches: Iterable, limit: int = SLICE_BYTES) -> Iterator[tuple[l
             yield ids, texts
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``ids`` (one column); ids are broadcast up to a counted size (8 bytes each), beyond it the join shuffles."""
+    gone = stored(ids.toDF("__gone").where("__gone is not null").distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    return docs.join(side, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from lynceus.llm.base import fold_of, table
@@ -16,20 +14,11 @@ from lynceus.llm.near_vectors import near_vectors
 from lynceus.llm.ngram_join import jaccard_join
 from lynceus.llm.pieces import encode_pieces
 from lynceus.llm.registry import query
+from lynceus.llm.settings import form_topic, trusted_ids, vocabulary
 from lynceus.llm.token_counts import token_counts
 from lynceus.llm.toxicity import toxicity
 
 
-def vocabulary(name: str) -> str:
-    """A public tokenizer file; LYNCEUS_TOKENIZERS names another folder that holds such files."""
-    folder = os.environ.get("LYNCEUS_TOKENIZERS")
-    if folder:
-        return os.path.join(folder, name)
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query("op1_near_vectors")
 def op1(spark, sf):
     return near_vectors(table(spark, sf, "embeddings"), threshold=0.98)
@@ -66,14 +55,6 @@ def op4(spark, sf):
     return line_dedup(table(spark, sf, "documents"), min_sites=8).select("doc_id", "n_lines", "n_removed", "text")
 
 
-def form_topic(text="text"):
-    """A document's topic here is its form: what kind of marks it holds."""
-    t = F.coalesce(text, F.lit(""))
-    return (
-        F.when(t.contains(" | "), "tabular").when(t.contains("@"), "contact").when(t.rlike("[0-9]{3}"), "figures")
-        .when(F.length(t) < 1000, "short").otherwise("prose"))
-
-
 @query("op5_mixing")
 def op5(spark, sf):
     docs = mix_documents(table(spark, sf, "documents"), form_topic())
@@ -85,11 +66,6 @@ def op10(spark, sf):
     return encode_pieces(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-def trusted_ids(spark, sf):
-    """Documents that people marked as good."""
-    return table(spark, sf, "labels").where("quality = 1").select("doc_id")
-
-
 @query("op3_quality")
 def op3(spark, sf):
     return quality_scores(table(spark, sf, "documents"), trusted_ids(spark, sf))

@@ -20,4 +20,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+import corpus_pipeline  # noqa: E402
 from lynceus.llm import queries  # noqa: E402, F401
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
