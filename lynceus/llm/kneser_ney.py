@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from lynceus.llm.base import ready, stored, text_slices
+from lynceus.llm.base import fold_of, ready, stored, text_slices
 
 ORDER = 4
 START, END = 2, 3
@@ -189,34 +189,36 @@ def quantiles(scores: DataFrame, q: float) -> DataFrame:
     return cum.where(F.col("upto") >= F.lit(q) * F.col("whole")).groupBy("lang").agg((F.min("bin") * F.lit(BIN)).alias("threshold"))
 
 
-def quality_scores(docs: DataFrame, trusted: DataFrame, q: float = 0.998, margin: float = 0.01, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_scores(docs: DataFrame, trusted: DataFrame, q: float = 0.98, margin: float = 0.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, n_symbols, bits_per_symbol, perplexity, score, threshold, kept) of every row of ``docs``, a stored table.
 
-    ``trusted`` holds ids (one column) of trusted documents: the model counts all their texts. A language's threshold is
-    the ``q`` quantile of its trusted documents' scores, times 1 + ``margin``; a score is bits per symbol, drawn to the
-    language's trusted mean by PRIOR_SYMBOLS symbols. Languages without trusted documents use mean and quantile of all
-    trusted documents. Documents above their threshold are not kept; without any trusted document all are kept and the
+    ``trusted`` holds ids (one column) of trusted documents. The model counts the texts of all but every fourth of them,
+    by a hash of the id; those left out tell how unseen good text scores: a language's threshold is the ``q`` quantile of
+    their scores, times 1 + ``margin``; a score is bits per symbol, drawn to the
+    language's trusted mean by PRIOR_SYMBOLS symbols. Languages without such documents use mean and quantile of all of
+    them. Documents above their threshold are not kept; without any all are kept and the
     threshold is null. A null language is ``und``; null and empty texts have
     nothing to judge (one end mark), score 0 bits and are kept. Rows that repeat an id are scored row by row. Other
     columns are not read; an empty table gives an empty result.
     """
     ids = stored(trusted.toDF("__trusted").where("__trusted is not null").distinct(), "trusted")
     side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    text = docs.join(side, F.col(id_col) == F.col("__trusted"), "left_semi").where(F.length(text_col) > 0)
+    apart = fold_of(F.col("__trusted")) == 3
+    text = docs.join(side.where(~apart), F.col(id_col) == F.col("__trusted"), "left_semi").where(F.length(text_col) > 0)
     counts = stored(gram_counts(text.select(id_col, text_col)), "counts")
     bits = stored(bits_per_symbol(docs, KneserNey.fit(counts), id_col, text_col), "bits")
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(lang_col, F.lit("und")).alias("lang"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"))
     own = own.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("size", "lang")))
     scored = bits.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("n_symbols", "bits")))
     joined = stored(own.join(scored, own.id.eqNullSafe(scored.id) & (own.nth == scored.nth)).select(own.id, "lang", "n_symbols", "bits"), "scores")
-    good = joined.join(side, F.col("id") == F.col("__trusted"), "left_semi").where("n_symbols > 1")
+    good = joined.join(side.where(apart), F.col("id") == F.col("__trusted"), "left_semi").where("n_symbols > 1")
     sums = good.groupBy(F.col("lang").alias("__lang")).agg(F.sum("bits").alias("b"), F.sum("n_symbols").alias("n"))
     total = sums.agg(F.sum("b"), F.sum("n")).first()
     overall_mean = total[0] / total[1] if total[1] else 0.0
     mean = F.coalesce(F.col("b") / F.col("n"), F.lit(overall_mean))
     score = (F.col("bits") + PRIOR_SYMBOLS * mean) / (F.col("n_symbols") + PRIOR_SYMBOLS)
     graded = joined.join(sums, F.col("lang") == F.col("__lang"), "left").withColumn("score", score).drop("b", "n", "__lang")
-    learned = graded.join(side, F.col("id") == F.col("__trusted"), "left_semi").where("n_symbols > 1")
+    learned = graded.join(side.where(apart), F.col("id") == F.col("__trusted"), "left_semi").where("n_symbols > 1")
     cuts = quantiles(learned, q).select(F.col("lang").alias("__lang"), F.col("threshold").alias("own_cut"))
     overall = quantiles(learned.withColumn("lang", F.lit("")), q).select("threshold").first()
     cut = F.coalesce("own_cut", F.lit(overall[0] if overall else None).cast("double")) * (1 + margin)

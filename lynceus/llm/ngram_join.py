@@ -26,7 +26,7 @@ from lynceus.llm.signature_tree import bitmap, can_link, folded, forest, pairs_b
 #: shingle in more than LOCAL x windows documents is met often in at least one window.
 WINDOW_SHINGLES, LOCAL = 2_000_000, 4
 #: A shingle is frequent in more than 1 / RARITY of the documents, so there are at most RARITY x mean set size of them.
-RARITY, AT_LEAST = 2000, 100
+RARITY, AT_LEAST = 10_000, 16
 #: Packed prefix entries of one bucket, and documents of a frequent shingle in one bucket.
 BUCKET, SPREAD = 500_000, 100_000
 #: Members of a group compared in one task.
@@ -150,30 +150,42 @@ def groups(packed: DataFrame, frequent: np.ndarray, copies: np.ndarray) -> DataF
     return packed.groupBy("bucket").applyInArrow(run, "key long, owner long").distinct()
 
 
-def set_rows(rows: DataFrame) -> DataFrame:
-    """(id, n, bits, tokens) of the texts, sets as packed sorted hashes."""
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def run(batches):
-        for ids, texts in text_slices(batches):
-            tokens, n = shingle_sets(texts)
-            ends = np.cumsum(n)
-            parts = [tokens[e - k : e] for e, k in zip(ends, n)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids, id_type), pa.array(n), pa.array([bitmap(p) for p in parts], pa.binary()),
-                pa.array([p.tobytes() for p in parts], pa.binary())], ["id", "n", "bits", "tokens"])
+def fetched(rows: DataFrame, wanted: DataFrame, tokens: bool) -> DataFrame:
+    """(id, n, bits) or (id, tokens) of the sets of the ``wanted`` (wanted, d1), stored: bitmaps, or packed sorted hashes.
 
+    The texts are read again, and only those wanted are cut into shingles; a row that repeats an id but not the set's
+    digest d1 is passed over.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    id_type = to_arrow_type(rows.schema["id"].dataType)
-    return rows.mapInArrow(run, f"id {kind}, n long, bits binary, tokens binary")
-
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    kind, id_type = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
 
-def allowed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            expected, at = batch.column(2).to_numpy().view(np.uint64), 0
+            for ids, texts in text_slices([batch]):
+                found, n = shingle_sets(texts)
+                ends = np.cumsum(n)
+                same = np.flatnonzero(digests(found, n)[0] == expected[at : at + len(ids)])
+                at += len(ids)
+                parts = [found[ends[i] - n[i] : ends[i]] for i in same]
+                out = [pa.array([ids[i] for i in same], id_type)]
+                if tokens:
+                    out += [pa.array([p.tobytes() for p in parts], pa.binary())]
+                else:
+                    out += [pa.array(n[same]), pa.array([bitmap(p) for p in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, ["id", "tokens"] if tokens else ["id", "n", "bits"])
+
+    asked = rows.join(side, F.col("id") == F.col("wanted")).select("id", "text", "d1")
+    out = asked.mapInArrow(run, f"id {kind}, tokens binary" if tokens else f"id {kind}, n long, bits binary")
+    return stored(out, "tokens" if tokens else "signatures")
+
+
+def allowed(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) whose bitmaps and sizes do not exclude a link."""
     kind = pairs.schema["a"].dataType.simpleString()
-    light = sets.select("id", "n", "bits")
-    both = pairs.join(light.toDF("a", "na", "bits_a"), "a").join(light.toDF("b", "nb", "bits_b"), "b")
+    both = pairs.join(signatures.toDF("a", "na", "bits_a"), "a").join(signatures.toDF("b", "nb", "bits_b"), "b")
     both = both.where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
 
     def run(batches):
@@ -194,10 +206,12 @@ def allowed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, digest_of: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) whose sets have den * intersection >= num * union, compared hash by hash."""
     kind = pairs.schema["a"].dataType.simpleString()
-    light = sets.select("id", "tokens")
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("wanted")).union(pairs.select("b")).distinct().join(digest_of, "wanted")
+    light = fetched(rows, stored(wanted, "wanted"), tokens=True)
     both = pairs.join(light.toDF("a", "tokens_a"), "a").join(light.toDF("b", "tokens_b"), "b")
 
     def run(batches):
@@ -224,26 +238,24 @@ def tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"),
         "id", "component", "n", "bits")
 
-    def run(t: pa.Table) -> pa.Table:
-        second = t["second"].to_numpy(zero_copy_only=False)
-        n, bits, ids, of = t["n"].to_numpy(), t["bits"].to_pylist(), t["id"].to_pylist(), t["component"].to_pylist()
-        names = np.arange(len(n))
-
-        def grown(mask):
-            at = names[mask]
-            return forest([bits[i] for i in at], n[at], at)
-
-        if t["i"][0].as_py() == t["j"][0].as_py():
-            left, right = pairs_between(grown(np.ones(len(n), bool)), None, num, den)
-        else:
-            left, right = pairs_between(grown(~second), grown(second), num, den)
-        out = [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(left, right) if of[x] != of[y]]
-        return pa.table({"a": pa.array([x for x, _ in out], id_type), "b": pa.array([y for _, y in out], id_type)})
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for i, j, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                part = rows.values
+                second = part.field("second").to_numpy(zero_copy_only=False)
+                n, bits, ids, of = part.field("n").to_numpy(), part.field("bits").to_pylist(), part.field("id").to_pylist(), part.field("component").to_pylist()
+                names = np.arange(len(n))
+                grown = [forest([bits[x] for x in names[m]], n[m], names[m]) for m in ((second == second) if i == j else ~second, second) if m.any()]
+                left, right = pairs_between(grown[0], grown[1] if i != j and len(grown) > 1 else None, num, den) if i == j or len(grown) > 1 else ([], [])
+                out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(left, right) if of[x] != of[y]]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], id_type), pa.array([y for _, y in out], id_type)], ["a", "b"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(members.schema["id"].dataType)
-    return cut.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    packed = cut.groupBy("key", "i", "j").agg(F.collect_list(F.struct("second", "id", "component", "n", "bits")).alias("rows"))
+    return packed.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +265,7 @@ def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
     shorter texts are one shingle as a whole). Null, empty and wordless texts have no shingle and link with nothing. Rows
     with a null id link with nothing and have no component. Rows that repeat an id count as that id; each is returned
     with its own set size and the smallest component of the id's rows. Ids need an order; ``docs`` should be a stored
-    table, as it is read three times. Other columns are not read; an empty table gives an empty result.
+    table, as it is read five times. Other columns are not read; an empty table gives an empty result.
     """
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -264,9 +276,10 @@ def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
     n_docs, prefix_rows = first.where("token is null").agg(F.count(F.lit(1)), F.sum(F.col("n") * (den - num) / den + 1)).first()
     floor = max(AT_LEAST, n_docs // RARITY)
     often = first.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= floor)
-    often = sorted((t & (2**64 - 1), s) for t, s in often.toLocalIterator())
-    frequent = np.array([t for t, _ in often], np.uint64)
-    copies = np.array([-(-s // SPREAD) for _, s in often], np.int64)
+    often = often.toArrow()
+    frequent, seen = often["token"].to_numpy().view(np.uint64), often["seen"].to_numpy()
+    order = np.argsort(frequent)
+    frequent, copies = frequent[order], -(-seen[order] // SPREAD)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffles, int((prefix_rows or 0) // BUCKET) + 1)
 
@@ -274,22 +287,21 @@ def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
     found = groups(packed, frequent, copies)
     members = stored(found.join(classes.select(F.col("d1").alias("owner"), F.col("rep").alias("id")), "owner").select("key", "id"), "members")
 
-    wanted = stored(members.select(F.col("id").alias("wanted")).distinct(), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = set_rows(rows.join(side, F.col("id") == F.col("wanted"), "left_semi"))
-    reps = classes.select(F.col("rep").alias("id"), "n").distinct()
-    sets = stored(sets.join(reps, ["id", "n"], "left_semi").dropDuplicates(["id"]), "candidate-sets")
+    digest_of = classes.select(F.col("rep").alias("wanted"), "d1")
+    wanted = stored(members.select(F.col("id").alias("wanted")).distinct().join(digest_of, "wanted"), "wanted")
+    signatures = fetched(rows, wanted, tokens=False)
 
     heads = members.groupBy("key").agg(F.min("id").alias("a"))
     star = members.join(heads, "key").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
-    edges = stored(verified(allowed(star, sets, num, den), sets, num, den), "links")
+    edges = stored(verified(allowed(star, signatures, num, den), rows, digest_of, num, den), "links")
     label = stored(components(edges), "labels")
 
     labelled = members.join(label, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     labelled = stored(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = labelled.join(mixed, "key", "left_semi").join(sets.select("id", "n", "bits"), "id")
-    more = verified(tree_pairs(left, num, den), sets, num, den)
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
+    mixed = mixed.where("lo <> hi and m > 2").select("key")  # of two members the star has decided
+    left = labelled.join(mixed, "key", "left_semi").join(signatures, "id")
+    more = verified(tree_pairs(left, num, den), rows, digest_of, num, den)
     links = stored(edges.unionByName(more), "links")
     label = components(links)
 
