@@ -245,9 +245,15 @@ def tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                 part = rows.values
                 second = part.field("second").to_numpy(zero_copy_only=False)
                 n, bits, ids, of = part.field("n").to_numpy(), part.field("bits").to_pylist(), part.field("id").to_pylist(), part.field("component").to_pylist()
-                names = np.arange(len(n))
-                grown = [forest([bits[x] for x in names[m]], n[m], names[m]) for m in ((second == second) if i == j else ~second, second) if m.any()]
-                left, right = pairs_between(grown[0], grown[1] if i != j and len(grown) > 1 else None, num, den) if i == j or len(grown) > 1 else ([], [])
+
+                def grown(mask):
+                    at = np.flatnonzero(mask)
+                    return forest([bits[x] for x in at], n[at], at)
+
+                if i == j:
+                    left, right = pairs_between(grown(np.ones(len(n), bool)), None, num, den)
+                else:
+                    left, right = pairs_between(grown(~second), grown(second), num, den)
                 out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(left, right) if of[x] != of[y]]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], id_type), pa.array([y for _, y in out], id_type)], ["a", "b"])
 

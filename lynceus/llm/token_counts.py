@@ -231,7 +231,7 @@ class CountTransducer:
         head = np.where(reset, flags.argmax(axis=0) + 1, np.where(np.arange(k) == k - 1, size - pad, size))
         whole = np.concatenate(([True], last[np.arange(1, k) * size - 1]))  # starts a word
         entry = np.concatenate(([0], state[:-1]))
-        known = np.concatenate(([True], reset[:-1] | whole[1:]))
+        known = np.concatenate(([True], reset[:-1] | whole[:-1]))
         entry[whole] = 0
         todo = np.flatnonzero(~whole)
         while len(todo):  # one round, unless words are longer than chunks
