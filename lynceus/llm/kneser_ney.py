@@ -195,9 +195,8 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, q: float = 0.98, margin:
     ``trusted`` holds ids (one column) of trusted documents. The model counts the texts of all but every fourth of them,
     by a hash of the id; those left out tell how unseen good text scores: a language's threshold is the ``q`` quantile of
     their scores, times 1 + ``margin``; a score is bits per symbol, drawn to the
-    language's trusted mean by PRIOR_SYMBOLS symbols. Languages without such documents use mean and quantile of all of
-    them. Documents above their threshold are not kept; without any all are kept and the
-    threshold is null. A null language is ``und``; null and empty texts have
+    language's trusted mean by PRIOR_SYMBOLS symbols. The threshold of a language without such documents is
+    null and nothing in it is rejected: the model has no ground to. Documents above their threshold are not kept. A null language is ``und``; null and empty texts have
     nothing to judge (one end mark), score 0 bits and are kept. Rows that repeat an id are scored row by row. Other
     columns are not read; an empty table gives an empty result.
     """
@@ -213,15 +212,12 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, q: float = 0.98, margin:
     joined = stored(own.join(scored, own.id.eqNullSafe(scored.id) & (own.nth == scored.nth)).select(own.id, "lang", "n_symbols", "bits"), "scores")
     good = joined.join(side.where(apart), F.col("id") == F.col("__trusted"), "left_semi").where("n_symbols > 1")
     sums = good.groupBy(F.col("lang").alias("__lang")).agg(F.sum("bits").alias("b"), F.sum("n_symbols").alias("n"))
-    total = sums.agg(F.sum("b"), F.sum("n")).first()
-    overall_mean = total[0] / total[1] if total[1] else 0.0
-    mean = F.coalesce(F.col("b") / F.col("n"), F.lit(overall_mean))
+    mean = F.coalesce(F.col("b") / F.col("n"), F.lit(0.0))
     score = (F.col("bits") + PRIOR_SYMBOLS * mean) / (F.col("n_symbols") + PRIOR_SYMBOLS)
     graded = joined.join(sums, F.col("lang") == F.col("__lang"), "left").withColumn("score", score).drop("b", "n", "__lang")
     learned = graded.join(side.where(apart), F.col("id") == F.col("__trusted"), "left_semi").where("n_symbols > 1")
     cuts = quantiles(learned, q).select(F.col("lang").alias("__lang"), F.col("threshold").alias("own_cut"))
-    overall = quantiles(learned.withColumn("lang", F.lit("")), q).select("threshold").first()
-    cut = F.coalesce("own_cut", F.lit(overall[0] if overall else None).cast("double")) * (1 + margin)
+    cut = F.col("own_cut") * (1 + margin)
     empty = F.col("n_symbols") <= 1
     out = graded.join(cuts, F.col("lang") == F.col("__lang"), "left").withColumns({
         "threshold": cut, "score": F.when(empty, 0.0).otherwise(F.col("score")),
