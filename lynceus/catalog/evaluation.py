@@ -86,7 +86,8 @@ def ev5(spark, sf):
 
 @query("ev6_roc_curve", f"""
 WITH {SCORES_SQL}, {rank_sql('m', 'model')}
-SELECT model, s AS threshold, round((nt - neg_before) / nt, 6) AS fpr, round((pt - pos_before) / pt, 6) AS tpr FROM m_cum""")
+SELECT model, s AS threshold, round((nt - neg_before) / nt, 6) AS fpr, round((pt - pos_before) / pt, 6) AS tpr FROM m_cum
+UNION ALL SELECT DISTINCT model, NULL::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM m_cum""")
 def ev6(spark, sf):
     return round_all(ev.roc_curve(scores_long(spark, sf), ["model"]), "fpr", "tpr")
 
@@ -94,7 +95,7 @@ def ev6(spark, sf):
 @query("ev6_pr_curve", f"""
 WITH {SCORES_SQL}, {rank_sql('m', 'model')}
 SELECT model, s AS threshold, round((pt - pos_before) / ((pt - pos_before) + (nt - neg_before)), 6) AS precision,
-       round((pt - pos_before) / pt, 6) AS recall FROM m_cum""")
+       round((pt - pos_before) / pt, 6) AS recall FROM m_cum UNION ALL SELECT DISTINCT model, NULL::DOUBLE, 1::DOUBLE, 0::DOUBLE FROM m_cum""")
 def ev6p(spark, sf):
     return round_all(ev.pr_curve(scores_long(spark, sf), ["model"]), "precision", "recall")
 

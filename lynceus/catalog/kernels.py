@@ -79,8 +79,3 @@ def k6(spark, sf):
         n.alias("n_rows"), F.floor(n * (n - 1) / 2).alias("n_pairs"), (n > 400).alias("over_budget"), F.least(n, F.lit(400).cast("long")).alias("advised_rows")
     )
 
-
-@query("k6_within_budget", f"""
-WITH {VECTORS_SQL} SELECT id, label FROM vecs ORDER BY CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT), id LIMIT 400""")
-def k6s(spark, sf):
-    return kn.within_budget(vectors(spark, sf), 400, 42).select("id", "label")

@@ -34,8 +34,8 @@ def folded(spark, sf):
     return assign_folds(cohort(spark, sf), "id", "y", K, 42)
 
 
-def _fit_logreg(n):
-    return lambda t: Pipeline(stages=[prep(), ml.logreg(n)]).fit(t)
+def _fit_logreg():
+    return lambda t: Pipeline(stages=[prep(), ml.logreg()]).fit(t)
 
 
 def _fit_boosted(trees=4, depth=3):
@@ -50,7 +50,7 @@ def _holdout_scores(spark, sf, estimator):
 
 @query("ml1_logreg")
 def ml1(spark, sf):
-    return _holdout_scores(spark, sf, lambda t: ml.logreg(t.count(), 1.0))
+    return _holdout_scores(spark, sf, lambda t: ml.logreg(1.0))
 
 
 @query("ml2_forest")
@@ -80,8 +80,7 @@ def ml5(spark, sf):
 @query("ml6_grid_search")
 def ml6(spark, sf):
     df = folded(spark, sf)
-    n = df.count()
-    found = ml.grid_search(df, lambda C: ml.logreg(n, C), {"C": [0.01, 1.0, 100.0]}, K, prep=prep())
+    found = ml.grid_search(df, ml.logreg, ml.LOGREG_GRID, K, prep=prep())
     return round_all(found.table, "mean", "std", "ci_low", "ci_high")
 
 
@@ -98,9 +97,8 @@ def ml7c(spark, sf):
 
 def _oof(spark, sf):
     df = folded(spark, sf)
-    n = df.count()
-    compact = lambda t: Pipeline(stages=[prep("compact"), ml.logreg(n)]).fit(t)
-    return ml.oof_scores(df, {"base": _fit_boosted(), "aux": compact, "control": _fit_logreg(n)}, K)
+    compact = lambda t: Pipeline(stages=[prep("compact"), ml.logreg()]).fit(t)
+    return ml.oof_scores(df, {"base": _fit_boosted(), "aux": compact, "control": _fit_logreg()}, K)
 
 
 @query("ml8_oof_scores")
@@ -113,7 +111,7 @@ WITH {RANKED_SQL}, f AS (SELECT id, y, CAST((r - 1) % {K} AS INTEGER) AS fold FR
 SELECT fold, count(*) AS n_rows, count(DISTINCT id) AS n_ids, sum(y)::BIGINT AS n_positive, 0::BIGINT AS n_bad FROM f GROUP BY fold""")
 def ml8c(spark, sf):
     df = folded(spark, sf)
-    oof = ml.oof_scores(df, {"base": _fit_logreg(df.count())}, K)
+    oof = ml.oof_scores(df, {"base": _fit_logreg()}, K)
     per_id = oof.groupBy("id", "fold").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y"), F.sum((~F.col("proba").between(0, 1)).cast("long")).alias("bad"))
     return per_id.groupBy("fold").agg(
         F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_ids"), F.sum("y").alias("n_positive"), F.sum("bad").alias("n_bad"))
@@ -129,8 +127,7 @@ def ml9(spark, sf):
 @query("ml10_residual_fusion")
 def ml10(spark, sf):
     df = folded(spark, sf)
-    n = df.count()
-    wide = ml.oof_wide(ml.oof_scores(df, {"base": _fit_logreg(n)}, K), ["base"])
+    wide = ml.oof_wide(ml.oof_scores(df, {"base": _fit_logreg()}, K), ["base"])
     unit = df.select("id", (F.col("price") / 500000.0).alias("price"), (F.col("acctbal") / 10000.0).alias("acctbal"))
     return round_all(ml.residual_fusion(stored(wide.join(unit, "id")), ["price", "acctbal"], "p_base", width=6), "proba")
 
@@ -138,18 +135,17 @@ def ml10(spark, sf):
 @query("ml11_compare_candidates")
 def ml11(spark, sf):
     df = folded(spark, sf)
-    n = df.count()
     rich = df.withColumn("price_per_day", F.col("price") / (F.col("order_day") + 1))
     wider = FeatureGroups(continuous=(*GROUPS.continuous, "price_per_day"), ordinal=GROUPS.ordinal, nominal=GROUPS.nominal)
-    engineered = lambda t: Pipeline(stages=[ml.FeaturePrep(wider, "y", CFG), ml.logreg(n)]).fit(t)
-    candidates = {"logreg": _fit_logreg(n), "boosted": _fit_boosted(), "engineered": engineered}
+    engineered = lambda t: Pipeline(stages=[ml.FeaturePrep(wider, "y", CFG), ml.logreg()]).fit(t)
+    candidates = {"logreg": _fit_logreg(), "boosted": _fit_boosted(), "engineered": engineered}
     return round_all(ml.compare_candidates(rich, candidates, K), "mean", "std", "ci_low", "ci_high")
 
 
 @query("ml12_seed_stability")
 def ml12(spark, sf):
     c = cohort(spark, sf)
-    return round_all(ml.seed_stability(c, {"logreg": _fit_logreg(c.count())}, K, [7, 42]), "mean", "std")
+    return round_all(ml.seed_stability(c, {"logreg": _fit_logreg()}, K, [7, 42]), "mean", "std")
 
 
 @query("ml13_score_table")
@@ -212,14 +208,14 @@ def ml17(spark, sf):
 def ml18(spark, sf):
     train, data = train_test(spark, sf)
     n = train.count()
-    curve = ml.learning_curve(train, data.filter("split = 'test'"), [n // 4, n // 2, n], _fit_logreg(n), 42)
+    curve = ml.learning_curve(train, data.filter("split = 'test'"), [n // 4, n // 2, n], _fit_logreg(), 42)
     return round_all(curve, *ml.CV_METRICS, "brier")
 
 
 @query("ml18_cross_site")
 def ml18s(spark, sf):
     c = cohort(spark, sf).withColumn("site", F.when(F.col("nation") < 13, "west").otherwise("east"))
-    return round_all(ml.cross_site(c, "site", "west", _fit_logreg(c.count())), *ml.CV_METRICS, "brier")
+    return round_all(ml.cross_site(c, "site", "west", _fit_logreg()), *ml.CV_METRICS, "brier")
 
 
 @query("ml19_noise_sweep")
@@ -228,7 +224,7 @@ def ml19(spark, sf):
     cols = ["price", "known_bal"]
     std = {r["column_name"]: r["std"] for r in _std(train, cols)}
     noisy = ml.with_noise(data.filter("split = 'test'"), cols, std, [0.0, 0.01, 0.05, 0.1, 0.2], 42)
-    return round_all(ml.perturbation_sweep(noisy, _fit_logreg(train.count())(train)), *ml.CV_METRICS, "brier")
+    return round_all(ml.perturbation_sweep(noisy, _fit_logreg()(train)), *ml.CV_METRICS, "brier")
 
 
 def _std(train, cols):
@@ -241,7 +237,7 @@ def _std(train, cols):
 def ml19m(spark, sf):
     train, data = train_test(spark, sf)
     masked = ml.with_mask(data.filter("split = 'test'"), ["price", "known_bal"], [0.05, 0.1, 0.2, 0.3], 42)
-    return round_all(ml.perturbation_sweep(masked, _fit_logreg(train.count())(train)), *ml.CV_METRICS, "brier")
+    return round_all(ml.perturbation_sweep(masked, _fit_logreg()(train)), *ml.CV_METRICS, "brier")
 
 
 def _mask_sql(col, j):

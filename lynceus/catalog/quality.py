@@ -59,10 +59,10 @@ def dq3c(spark, sf):
 
 
 @query("dq4_duplicate_summary", """
-SELECT (SELECT count(*) - count(DISTINCT (user_id, event_type, value, props)) FROM events) AS n_duplicate_rows,
+SELECT (SELECT count(*) - count(DISTINCT (ts, user_id, event_type, value, props)) FROM events) AS n_duplicate_rows,
        (SELECT count(*) - count(DISTINCT event_id) FROM events) AS n_duplicate_ids""")
 def dq4(spark, sf):
-    return dq.duplicate_summary(table(spark, sf, "events").drop("ts"), "event_id")
+    return dq.duplicate_summary(table(spark, sf, "events"), "event_id")
 
 
 NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")

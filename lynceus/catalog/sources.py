@@ -99,7 +99,7 @@ def io7(spark, sf):
 def io8(spark, sf):
     path = new_table_path(spark, "model")
     train, data = train_test(spark, sf)
-    model = Pipeline(stages=[ml.FeaturePrep(GROUPS, "y", CFG), ml.logreg(train.count())]).fit(train)
+    model = Pipeline(stages=[ml.FeaturePrep(GROUPS, "y", CFG), ml.logreg()]).fit(train)
     io.save_model(model, path, io.manifest_of(config=CFG, groups=GROUPS, version="1"))
     loaded, manifest = io.load_model(path)
     gap = dq.closeness(ml.score(model, data, ["id"]), ml.score(loaded, data, ["id"]), "id", ["proba"])

@@ -16,6 +16,8 @@ from lynceus.operators.compare import delong, holm, mcnemar, pair_cells, pair_we
 from lynceus.operators.evaluate import (
     LABEL_METRICS, RANK_METRICS, confusion, label_metrics, label_ratios, metrics_long, rank_aggregates, ranking_metrics,
 )
+from lynceus.operators.quality import assert_runs_consistent
+from lynceus.operators.ranking import join_groups
 from lynceus.session import stored
 
 METHOD = "poisson_cells"
@@ -116,10 +118,10 @@ def metric_ci_table(
     label = [m for m in metrics if m in LABEL_METRICS]
     if rank:
         ci = interval(resampled_rank_metrics(scores, keys, resamples, seed), keys, rank)
-        parts.append(metrics_long(ranking_metrics(scores, keys), keys, rank).join(ci, [*keys, "metric"]))
+        parts.append(join_groups(metrics_long(ranking_metrics(scores, keys), keys, rank), ci, keys, ["metric"]))
     if label:
         ci = interval(resampled_label_metrics(scores, keys, resamples, seed), keys, label)
-        parts.append(metrics_long(label_metrics(scores, keys), keys, label).join(ci, [*keys, "metric"]))
+        parts.append(join_groups(metrics_long(label_metrics(scores, keys), keys, label), ci, keys, ["metric"]))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.withColumnRenamed("value", "point").withColumn("method", F.lit(METHOD))
 
@@ -160,7 +162,11 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], resamples: int = 2000, s
 
 
 def compare_all(scores: DataFrame, ref: str, keys: list[str], resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """Every model against a reference in every group: DeLong, both bootstraps, McNemar, one Holm family."""
+    """Every model against a reference in every group: DeLong, both bootstraps, McNemar, one Holm family.
+
+    Models that do not score the same ids, once each and with equal labels, stop the job: no pair is left out in silence.
+    """
+    assert_runs_consistent(scores.withColumn("_pair", F.struct(*keys, "id")), run="model", id_col="_pair")
     by = [*keys, "model"]
     # every test works on counts of identical pairs: the pairs are joined and counted once
     pairs = stored(pair_cells(pair_with_reference(scores, ref, keys), by))
@@ -172,7 +178,7 @@ def compare_all(scores: DataFrame, ref: str, keys: list[str], resamples: int = 2
         pick("pr_auc", "delta").alias("boot_pr_delta"), pick("pr_auc", "p_value").alias("boot_pr_p"),
     )
     mc = mcnemar(pairs, by).select(*by, F.col("p_value").alias("mcnemar_p"), "n_discordant")
-    out = delong(pairs, by).join(wide, by).join(mc, by)
+    out = join_groups(join_groups(delong(pairs, by), wide, by), mc, by)
     out = holm(out, "p_value", by, out="p_holm", flag="significant")
     out = holm(out, "boot_p", by, out="boot_p_holm", flag="boot_significant")
     return out.withColumn("verdict", verdict(F.col("p_holm"), F.col("delta")))

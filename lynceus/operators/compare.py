@@ -11,17 +11,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lynceus.functions.stats import Z_975, binomial_two_sided_p, normal_two_sided_p
 from lynceus.operators.evaluate import score_points
 from lynceus.operators.quality import count_where
-from lynceus.operators.ranking import running_sums
+from lynceus.operators.ranking import join_groups, running_sums
 from lynceus.session import stored
 
 ALPHA = 0.05
 
 
 def pair_with_reference(scores: DataFrame, ref: str, keys: list[str], id_col: str = "id") -> DataFrame:
-    """``(keys, model, id, y, pa, pb)``: every other model's score next to the reference's, by id."""
+    """``(keys, model, id, y, pa, pb)``: every other model's score next to the reference's, by id. Null keys are groups like any other."""
     other = scores.filter(F.col("model") != ref).select(*keys, id_col, "y", "model", F.col("proba").alias("pa"))
     base = scores.filter(F.col("model") == ref).select(*keys, id_col, F.col("proba").alias("pb"))
-    return other.join(base, [*keys, id_col])
+    return join_groups(other, base, [*keys, id_col])
 
 
 def wide_pair(scores: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
@@ -59,9 +59,8 @@ def delong(pairs: DataFrame, keys: list[str]) -> DataFrame:
         v01 = 1.0 - (F.col("pos_before") + F.col("pos") / 2.0) / F.col("pos_total")
         return lambda: {f"v10{tag}": v10, f"v01{tag}": v01}
 
-    joined = cells.join(_side(cells, keys, "pa", parts("a")), [*keys, "pa"]).join(
-        _side(cells, keys, "pb", parts("b")), [*keys, "pb"]
-    )
+    joined = join_groups(cells, _side(cells, keys, "pa", parts("a")), [*keys, "pa"])
+    joined = join_groups(joined, _side(cells, keys, "pb", parts("b")), [*keys, "pb"])
     pos, c = F.col("y") == 1, F.col("cnt").cast("double")
     d10, d01 = F.col("v10a") - F.col("v10b"), F.col("v01a") - F.col("v01b")
     when_pos, when_neg = lambda e: F.sum(F.when(pos, e)), lambda e: F.sum(F.when(~pos, e))
@@ -141,14 +140,14 @@ def score_corr(pairs: DataFrame, keys: list[str]) -> DataFrame:
         r = F.col("n_before") + (F.col("n") + 1) / 2.0 - (F.col("n_total") + 1) / 2.0
         return run.select(*keys, p, r.alias(f"r{tag}"))
 
-    j = cells.join(side("pa", "a"), [*keys, "pa"]).join(side("pb", "b"), [*keys, "pb"])
+    j = join_groups(join_groups(cells, side("pa", "a"), [*keys, "pa"]), side("pb", "b"), [*keys, "pb"])
     c, ra, rb = F.col("cnt"), F.col("ra"), F.col("rb")
     spearman = j.groupBy(*keys).agg(
         F.try_divide(F.sum(c * ra * rb), F.sqrt(F.sum(c * ra * ra) * F.sum(c * rb * rb))).alias("spearman")
     )
     pearson = pairs.groupBy(*keys).agg(F.corr("pa", "pb").alias("pearson"), F.count(F.lit(1)).alias("n"))
     if keys:
-        return pearson.join(spearman, keys)
+        return join_groups(pearson, spearman, keys)
     return pearson.withColumn("spearman", spearman.scalar())
 
 

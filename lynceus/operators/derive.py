@@ -194,17 +194,18 @@ def what_if(df: DataFrame, id_col: str, scenarios: dict[str, dict[str, float]],
         F.struct(F.lit(name).alias("scenario"), *[F.lit(float(d.get(f, 0.0))).alias(f"_d_{f}") for f in fields])
         for name, d in scenarios.items()
     ]
+    df = df.withColumn("_row", F.struct(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id")))
     laid = df.select(*df.columns, F.inline(F.array(base, *moves)))
     moved = laid.withColumns({f: F.col(f) + F.col(f"_d_{f}") for f in fields}).drop(*[f"_d_{f}" for f in fields])
-    scored = scorer(moved).select(id_col, "scenario", F.round("proba", 4).alias("proba"))
-    # one row per id: the scenarios of a subject are a fixed handful
-    per_id = scored.groupBy(id_col).agg(
+    scored = scorer(moved).select("_row", "scenario", F.round("proba", 4).alias("proba"))
+    # one row per input row, also where an id repeats: the scenarios of a row are a fixed handful
+    per_id = scored.groupBy("_row").agg(
         F.max(F.when(F.col("scenario") == "", F.col("proba"))).alias("base_proba"),
         *[F.max(F.when(F.col("scenario") == n, F.col("proba"))).alias(f"_p_{i}") for i, n in enumerate(scenarios)],
     )
     rows = F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(f"_p_{i}").alias("proba")) for i, n in enumerate(scenarios)])
     delta = F.col("proba") - F.col("base_proba")
-    return per_id.select(id_col, "base_proba", F.inline(rows)).select(
+    return per_id.select(F.col("_row.id").alias(id_col), "base_proba", F.inline(rows)).select(
         id_col, "scenario", "base_proba", F.col("proba").alias("modified_proba"),
         sc.risk_band(F.col("base_proba")).alias("base_band"), sc.risk_band(F.col("proba")).alias("modified_band"),
         F.round(delta * 100, 2).alias("delta_percent"), (delta < 0).alias("reduced"),

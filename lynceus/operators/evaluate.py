@@ -122,23 +122,32 @@ def metrics_long(metrics: DataFrame, keys: list[str], names: list[str]) -> DataF
     return metrics.select(*keys, F.inline(pairs))
 
 
+def _end_point(scores: DataFrame, keys: list[str], **values: float) -> DataFrame:
+    """The point of every group that no threshold reaches."""
+    groups = scores.select(*keys).distinct() if keys else scores.select().limit(1)
+    return groups.select(*keys, F.lit(None).cast("double").alias("threshold"), *[F.lit(v).alias(k) for k, v in values.items()])
+
+
 def roc_curve(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """One point per distinct threshold."""
+    """One point per distinct threshold, and (0, 0) with a null threshold: no score is that high."""
     pts = running_points(scores, keys)
-    return pts.select(
+    curve = pts.select(
         *keys, F.col("proba").alias("threshold"),
         F.try_divide(F.col("neg_total") - F.col("neg_before"), F.col("neg_total")).alias("fpr"),
         F.try_divide(F.col("pos_total") - F.col("pos_before"), F.col("pos_total")).alias("tpr"),
     )
+    return curve.unionByName(_end_point(scores, keys, fpr=0.0, tpr=0.0))
 
 
 def pr_curve(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """One point per distinct threshold, and (recall 0, precision 1) with a null threshold."""
     pts = running_points(scores, keys)
     tp, fp = F.col("pos_total") - F.col("pos_before"), F.col("neg_total") - F.col("neg_before")
-    return pts.select(
+    curve = pts.select(
         *keys, F.col("proba").alias("threshold"), (tp / (tp + fp)).alias("precision"),
         F.try_divide(tp, F.col("pos_total")).alias("recall"),
     )
+    return curve.unionByName(_end_point(scores, keys, precision=1.0, recall=0.0))
 
 
 def calibration_width(scores: DataFrame, keys: list[str], n_bins: int) -> DataFrame:

@@ -19,13 +19,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lynceus.functions.hashing import gaussian
 from lynceus.operators.derive import FeatureGroups
-from lynceus.operators.quality import column_moments, profile, value_counts
+from lynceus.operators.quality import ValidationError, column_moments, profile, value_counts
 from lynceus.operators.ranking import fitted_quantiles
 from lynceus.plans.config import FeatureConfig
 
-#: A nominal column with more levels than this is not one-hot encoded.
-MAX_LEVELS = 1000
-
 
 def _lit(v) -> str:
     """A value as SQL text."""
@@ -69,14 +66,22 @@ class Fitted:
 # ---- imputation ---------------------------------------------------------------------------------
 
 
+def known(stats: dict, cols: list[str]) -> dict:
+    """The statistics, if every column had a value to learn from."""
+    missing = [c for c in cols if stats.get(c) is None]
+    if missing:
+        raise ValidationError(f"no value to fit on in {', '.join(missing)}")
+    return stats
+
+
 def fit_median(train: DataFrame, cols: list[str]) -> Fitted:
     """Exact interpolated median per column."""
-    med = {c: q["m"] for c, q in fitted_quantiles(train, cols, {"m": 0.5}).items()}
+    med = known({c: q["m"] for c, q in fitted_quantiles(train, cols, {"m": 0.5}).items()}, cols)
     return Fitted({c: f"coalesce(CAST({_name(c)} AS DOUBLE), {_lit(med[c])})" for c in cols}, {"impute": med})
 
 
 def fit_mean(train: DataFrame, cols: list[str]) -> Fitted:
-    mean = {r["column_name"]: r["mean"] for r in column_moments(train, cols).collect()}
+    mean = known({r["column_name"]: r["mean"] for r in column_moments(train, cols).collect()}, cols)
     return Fitted({c: f"coalesce(CAST({_name(c)} AS DOUBLE), {_lit(mean[c])})" for c in cols}, {"impute": mean})
 
 
@@ -91,6 +96,7 @@ def fit_mode(train: DataFrame, cols: list[str]) -> Fitted:
             counts = value_counts(train, part).withColumn("value", F.col("value").cast(cast))
             best = counts.groupBy("column_name").agg(F.min(F.struct(-F.col("n"), "value"))["value"].alias("v"))
             modes.update({r["column_name"]: r["v"] for r in best.collect()})
+    modes = known(modes, cols)
     cast = {c: "STRING" if c in text else "DOUBLE" for c in cols}
     return Fitted({c: f"coalesce(CAST({_name(c)} AS {cast[c]}), {_lit(modes[c])})" for c in cols}, {"impute": modes})
 
@@ -106,6 +112,7 @@ def fit_standard(train: DataFrame, cols: list[str]) -> Fitted:
     """Zero mean, unit population deviation; a constant column is only centred."""
     m = profile(train, {c: {"m": F.avg(c), "s": F.stddev_pop(c)} for c in cols}).collect()
     stats = {r["column_name"]: (r["m"], r["s"]) for r in m}
+    known({c: v[0] for c, v in stats.items()}, cols)
     return Fitted({c: _affine(c, *stats[c]) for c in cols}, {"scale": stats})
 
 
@@ -141,11 +148,12 @@ def fit_range(train: DataFrame, cols: list[str], lo: float = 0.0, hi: float = ma
 
 
 def fit_onehot(train: DataFrame, cols: list[str]) -> Fitted:
-    """0/1 columns for every level but the smallest; an unknown level is all zeros."""
+    """0/1 columns for every level but the smallest; an unknown level is all zeros.
+
+    The levels become output columns, so they reach the driver: meant for columns with few of them.
+    """
     types = dict(train.dtypes)
-    rows = value_counts(train, cols).select("column_name", "value").limit(MAX_LEVELS * len(cols) + 1).collect()
-    if len(rows) > MAX_LEVELS * len(cols):
-        raise ValueError(f"more than {MAX_LEVELS} levels per column: do not one-hot encode")
+    rows = value_counts(train, cols).select("column_name", "value").collect()
     exprs, levels = {}, {}
     for c in cols:
         as_text = types[c] == "string"

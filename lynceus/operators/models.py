@@ -17,13 +17,13 @@ from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegressi
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lynceus.functions import scalar as sc
 from lynceus.functions.hashing import gaussian, uniform
 from lynceus.operators import evaluate as ev, features as ft
 from lynceus.operators.derive import FeatureGroups
-from lynceus.operators.kernels import MAX_LANDMARKS, kernel_landmarks
+from lynceus.operators.kernels import kernel_landmarks
 from lynceus.operators.ranking import hash_rank
 from lynceus.operators.sampling import assign_folds, nested_samples
 from lynceus.plans.config import FeatureConfig
@@ -58,10 +58,23 @@ class FeaturePrep(Estimator):
         return ft.fit_features(df, self.groups, self.y, self.cfg).model(self.space)
 
 
-def logreg(n_rows: int, C: float = 1.0, y: str = "y", weight: str | None = None) -> LogisticRegression:
-    """L2 logistic regression; C is the inverse penalty summed over rows, so regParam = 1 / (C n)."""
-    lr = LogisticRegression(labelCol=y, regParam=1.0 / (C * n_rows), standardization=False, maxIter=100)
-    return lr.setWeightCol(weight) if weight else lr
+class LogReg(Estimator):
+    """L2 logistic regression; C is the inverse penalty summed over the rows of the fit, so regParam = 1 / (C n).
+
+    n is counted in every fit: a fold, a sample or a site gets the penalty of its own rows.
+    """
+
+    def __init__(self, C: float = 1.0, y: str = "y", weight: str | None = None):
+        super().__init__()
+        self.C, self.y, self.weight = C, y, weight
+
+    def _fit(self, df: DataFrame) -> Transformer:
+        lr = LogisticRegression(labelCol=self.y, regParam=1.0 / (self.C * df.count()), standardization=False, maxIter=100)
+        return (lr.setWeightCol(self.weight) if self.weight else lr).fit(df)
+
+
+def logreg(C: float = 1.0, y: str = "y", weight: str | None = None) -> LogReg:
+    return LogReg(C, y, weight)
 
 
 def forest(trees: int = 100, depth: int | None = 5, min_split: int = 2, subset: str = "sqrt", y: str = "y", seed: int = 42):
@@ -99,7 +112,7 @@ class RbfSvm(Estimator):
         base = ft.Fitted({n: fitted.prepared.exprs[n] for n in fitted.selected})
         gamma = scale_gamma(base.transform(df, keep=[]), base.names) if self.gamma == "scale" else self.gamma
         waves = base.then(ft.rff(base.names, self.width, self.seed, gamma=gamma))
-        svc = LinearSVC(labelCol=self.y, regParam=1.0 / (self.C * df.count()), maxIter=50)
+        svc = LinearSVC(labelCol=self.y, regParam=1.0 / (self.C * df.count()), standardization=False, maxIter=50)
         stages = [waves.stage(), VectorAssembler(inputCols=waves.names, outputCol="features"), svc]
         return Pipeline(stages=stages).fit(df)
 
@@ -107,20 +120,18 @@ class RbfSvm(Estimator):
 class LandmarkClassifier:
     """Similarity-kernel classifier: kernel values against m landmark rows, then LinearSVC.
 
-    Landmarks are the first m rows in seeded order; m is bounded, so they travel with the task.
+    Landmarks are the first m rows in seeded order. They travel with every task, so m is chosen to fit one.
     """
 
     def __init__(self, m: int = 64, C: float = 1.0, y: str = "y", seed: int = 42):
-        if m > MAX_LANDMARKS:
-            raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
         self.m, self.C, self.y, self.seed = m, C, y, seed
 
     def fit(self, df: DataFrame) -> "LandmarkModel":
         land = hash_rank(df.select("id", "vec"), "id", [], self.seed).filter(F.col("rank") <= self.m).select("id", "vec")
         rows = land.collect()  # m rows
         fixed = df.sparkSession.createDataFrame(rows, land.schema)
-        train = kernel_landmarks(df, fixed, self.m).withColumn("features", array_to_vector("k"))
-        svc = LinearSVC(labelCol=self.y, regParam=1.0 / (self.C * df.count()), maxIter=50).fit(train)
+        train = kernel_landmarks(df, fixed).withColumn("features", array_to_vector("k"))
+        svc = LinearSVC(labelCol=self.y, regParam=1.0 / (self.C * df.count()), standardization=False, maxIter=50).fit(train)
         return LandmarkModel(fixed, svc, self.m)
 
 
@@ -131,7 +142,7 @@ class LandmarkModel:
     m: int
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.svc.transform(kernel_landmarks(df, self.landmarks, self.m).withColumn("features", array_to_vector("k"))).drop("k")
+        return self.svc.transform(kernel_landmarks(df, self.landmarks).withColumn("features", array_to_vector("k"))).drop("k")
 
 
 def positive_score(scored: DataFrame) -> Column:
@@ -153,7 +164,8 @@ def score(model: Transformer, df: DataFrame, keep: list[str]) -> DataFrame:
 def _parallel(jobs: list[Callable], parallelism: int) -> list:
     pool = ThreadPool(max(1, min(parallelism, len(jobs))))
     try:
-        return pool.map(lambda j: j(), [inheritable_thread_target(j) for j in jobs])
+        inherit = inheritable_thread_target(SparkSession.getActiveSession())
+        return pool.map(lambda j: j(), [inherit(j) for j in jobs])
     finally:
         pool.close()
 
@@ -253,10 +265,9 @@ def class_weights(df: DataFrame, y: str = "y", out: str = "weight") -> DataFrame
 def compare_weighting(df: DataFrame, prep: Estimator, C: float, k: int, y: str = "y", **kw) -> DataFrame:
     """Unweighted against balanced class weights at fixed parameters, by fold."""
     weighted = class_weights(df, y)
-    n = weighted.count()
     learners = {
-        "unweighted": lambda t: Pipeline(stages=[prep, logreg(n, C, y)]).fit(t),
-        "weighted": lambda t: Pipeline(stages=[prep, logreg(n, C, y, weight="weight")]).fit(t),
+        "unweighted": lambda t: Pipeline(stages=[prep, logreg(C, y)]).fit(t),
+        "weighted": lambda t: Pipeline(stages=[prep, logreg(C, y, weight="weight")]).fit(t),
     }
     return cv_scores(weighted, learners, k, y=y, **kw)
 
@@ -285,8 +296,8 @@ def oof_wide(oof: DataFrame, models: list[str]) -> DataFrame:
     return oof.groupBy("id", "y", "fold").agg(*[F.max(F.when(F.col("model") == m, F.col("proba"))).alias(f"p_{m}") for m in models])
 
 
-def meta_learner(cols: list[str], n_rows: int, y: str = "y") -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), logreg(n_rows, 1.0, y)])
+def meta_learner(cols: list[str], y: str = "y") -> Pipeline:
+    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), logreg(1.0, y)])
 
 
 def stack_cv(wide: DataFrame, base: str, aux: str, control: str, k: int) -> DataFrame:
@@ -294,9 +305,8 @@ def stack_cv(wide: DataFrame, base: str, aux: str, control: str, k: int) -> Data
 
     Each meta-learner is fitted on the other folds' out-of-fold rows.
     """
-    n = wide.count()
     stacks = {"stack_aux": [base, aux], "stack_control": [base, control]}
-    learners = {name: (lambda t, c=c: meta_learner(c, n).fit(t)) for name, c in stacks.items()}
+    learners = {name: (lambda t, c=c: meta_learner(c).fit(t)) for name, c in stacks.items()}
     alone = wide.select("id", "y", "fold", F.lit("base").alias("model"), F.col(base).alias("proba"))
     return alone.unionByName(oof_scores(wide, learners, k))
 
@@ -313,11 +323,10 @@ def residual_fusion(wide: DataFrame, cols: list[str], p: str, width: int = 8, se
         waves.stage(), VectorAssembler(inputCols=waves.names, outputCol="waves"),
         LinearRegression(featuresCol="waves", labelCol="residual", predictionCol="refinement", regParam=1e-6),
     ])
-    n = wide.count()
 
     def fused(train: DataFrame) -> Transformer:
         step = refiner.fit(train)
-        head = meta_learner([p, "refinement", "margin"], n).fit(step.transform(train))
+        head = meta_learner([p, "refinement", "margin"]).fit(step.transform(train))
         return _Chain([step, head])
 
     k = wide.agg(F.max("fold")).first()[0] + 1

@@ -37,6 +37,17 @@ def with_value_bucket(df: DataFrame, order: str, n: int, bucket: str = _BUCKET)
     )
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], exact: list[str] = (), how: str = "inner") -> DataFrame:
+    """Joins on group ``keys`` where null is a group like any other, and on columns ``exact`` that are never null."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in (*keys, *exact) else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    for c in exact:
+        on = on & (F.col(c) == F.col(f"_r_{c}"))
+    return left.join(other, on, how).drop(*[f"_r_{c}" for c in (*keys, *exact)])
+
+
 def running_sums(
     df: DataFrame, keys: list[str], order: str, sums: list[str], buckets: int | None = None
 ) -> DataFrame:
@@ -56,7 +67,7 @@ def running_sums(
         *[F.sum(f"_t_{s}").over(group).alias(f"{s}_total") for s in sums],
     )
     local = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = bucketed.join(offsets, by)
+    out = join_groups(bucketed, offsets, keys, [_BUCKET])
     for s in sums:
         out = out.withColumn(f"{s}_before", F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(local), F.lit(0)))
     return out.drop(_BUCKET, *[f"_o_{s}" for s in sums])
@@ -86,7 +97,7 @@ def hash_rank(
     )
     local = Window.partitionBy(*keys).orderBy("_h", id_col)
     return (
-        hashed.join(offsets, keys)
+        join_groups(hashed, offsets, by, [_BUCKET])
         .withColumn(rank, F.col("_o") + F.row_number().over(local))
         .drop("_h", "_o", _BUCKET)
     )
@@ -139,20 +150,8 @@ def exact_quantiles(
     return quantiles_from_counts(value_counts_long(df, cols, keys), [*keys, "column_name"], probs)
 
 
-#: Up to this many rows a column's values fit one aggregation buffer with room to spare.
-SMALL_ROWS = 1_000_000
-
-
 def fitted_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float]) -> dict[str, dict[str, float]]:
-    """The same quantiles on the driver, ``{column: {name: value}}``, for fitting.
-
-    A table checked to be small takes the built-in exact percentile, one aggregate; a larger one the
-    distributed form. Both interpolate linearly between the same two values.
-    """
-    if df.count() <= SMALL_ROWS:
-        qs = F.array(*[F.lit(p) for p in probs.values()])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), qs).alias(str(i)) for i, c in enumerate(cols)]).first()
-        return {c: dict(zip(probs, row[i] if row[i] is not None else [None] * len(probs))) for i, c in enumerate(cols)}
+    """The same quantiles on the driver, ``{column: {name: value}}``, for fitting."""
     rows = exact_quantiles(df, cols, probs).collect()
     found = {r["column_name"]: {p: r[p] for p in probs} for r in rows}
     return {c: found.get(c, dict.fromkeys(probs)) for c in cols}

@@ -11,7 +11,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lynceus.operators.ranking import bucket_count, hash_rank
+from lynceus.operators.ranking import bucket_count, hash_rank, join_groups
 
 
 class LeakageError(ValueError):
@@ -23,7 +23,7 @@ def _quota(n: int, strata: list[tuple], total: int) -> dict:
     exact = [(label, n * cnt / total) for label, cnt in strata]
     base = {label: int(x) for label, x in exact}
     left = n - sum(base.values())
-    for label, _ in sorted(exact, key=lambda t: (-(t[1] - int(t[1])), t[0]))[:left]:
+    for label, _ in sorted(exact, key=lambda t: (-(t[1] - int(t[1])), t[0] is not None, t[0]))[:left]:
         base[label] += 1
     return base
 
@@ -36,7 +36,7 @@ def class_counts(df: DataFrame, y: str) -> list[tuple]:
 def _take(ranked: DataFrame, y: str, quota: dict, rank: str = "rank") -> Column:
     cond = F.lit(False)
     for label, q in quota.items():
-        cond = cond | ((F.col(y) == label) & (F.col(rank) <= q))
+        cond = cond | (F.col(y).eqNullSafe(F.lit(label)) & (F.col(rank) <= q))
     return cond
 
 
@@ -87,7 +87,7 @@ def _global_rank(keyed: DataFrame, by: list[str], y: str) -> DataFrame:
     prior = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_o"))
     local = Window.partitionBy(*keys).orderBy("_key", y)
-    return b.join(off, keys).withColumn("nest_rank", F.col("_o") + F.row_number().over(local)).drop("_b", "_key", "_o")
+    return join_groups(b, off, by, ["_b"]).withColumn("nest_rank", F.col("_o") + F.row_number().over(local)).drop("_b", "_key", "_o")
 
 
 def nested_samples(pool: DataFrame, id_col: str, y: str, sizes: list[int], seed: int) -> DataFrame:

@@ -26,7 +26,7 @@ class Scorer:
 
 def fit_scorer(train: DataFrame, groups: FeatureGroups, cfg: FeatureConfig, y: str = "y",
                bounds: dict[str, tuple[float, float]] | None = None) -> Scorer:
-    model = Pipeline(stages=[FeaturePrep(groups, y, cfg), logreg(train.count(), 1.0, y)]).fit(train)
+    model = Pipeline(stages=[FeaturePrep(groups, y, cfg), logreg(1.0, y)]).fit(train)
     return Scorer(model, bounds or {})
 
 

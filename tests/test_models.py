@@ -26,16 +26,25 @@ def prep():
 
 
 def test_grid_search_picks_and_refits(spark, learnable):
-    n = learnable.count()
-    found = ml.grid_search(learnable, lambda C: ml.logreg(n, C), {"C": [1e-6, 10.0]}, 3, prep=prep())
-    assert found.best == {"C": 10.0} or found.table.filter("metric = 'roc_auc'").count() == 2
+    found = ml.grid_search(learnable, ml.logreg, {"C": [1e-6, 10.0]}, 3, prep=prep())
+    assert found.best == {"C": 10.0} and found.table.filter("metric = 'roc_auc'").count() == 2
     auc = ev.roc_auc(ml.score(found.model, learnable, ["id", "y"]).withColumn("m", F.lit("m")), ["m"]).first()["roc_auc"]
     assert auc > 0.95
 
 
+def test_penalty_follows_the_rows_of_each_fit(spark, learnable, monkeypatch):
+    """regParam is 1 / (C n) of the fold's training rows, not of the table."""
+    seen = []
+    plain = ml.LogisticRegression
+    monkeypatch.setattr(ml, "LogisticRegression", lambda **kw: seen.append(kw["regParam"]) or plain(**kw))
+    sizes = [learnable.filter(F.col("fold") != i).count() for i in range(3)]
+    ml.oof_scores(learnable, {"lr": lambda t: Pipeline(stages=[prep(), ml.logreg(2.0)]).fit(t)}, 3).count()
+    assert sorted(seen) == pytest.approx(sorted(1 / (2.0 * n) for n in sizes))
+
+
 def test_oof_scores_every_row_once(spark, learnable):
     n = learnable.count()
-    oof = ml.oof_scores(learnable, {"lr": lambda t: Pipeline(stages=[prep(), ml.logreg(n)]).fit(t)}, 3)
+    oof = ml.oof_scores(learnable, {"lr": lambda t: Pipeline(stages=[prep(), ml.logreg()]).fit(t)}, 3)
     assert oof.count() == n == oof.select("id").distinct().count()
     assert oof.filter("proba < 0 or proba > 1 or proba is null").count() == 0
 
@@ -46,7 +55,7 @@ def test_oof_model_never_sees_its_rows(spark, learnable):
 
     def fit(t):
         seen.append({r.fold for r in t.select("fold").distinct().collect()})
-        return Pipeline(stages=[prep(), ml.logreg(t.count())]).fit(t)
+        return Pipeline(stages=[prep(), ml.logreg()]).fit(t)
 
     ml.oof_scores(learnable, {"lr": fit}, 3, parallelism=1)
     assert sorted(map(sorted, seen)) == [[0, 1], [0, 2], [1, 2]]
@@ -78,7 +87,7 @@ def test_weights_and_shuffle(spark, learnable):
 
 def test_saved_model_scores_alike(spark, learnable):
     path = new_table_path(spark, "model")
-    model = Pipeline(stages=[prep(), ml.logreg(learnable.count())]).fit(learnable)
+    model = Pipeline(stages=[prep(), ml.logreg()]).fit(learnable)
     io.save_model(model, path, io.manifest_of(config=CFG))
     loaded, manifest = io.load_model(path)
     assert manifest["config"]["k_best"] == CFG.k_best
