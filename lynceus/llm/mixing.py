@@ -38,7 +38,7 @@ class Raking:
         self.scale, self.error, self.rounds = scale, error, rounds
 
 
-def rake(cells: DataFrame, alpha: float = 0.7, language_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None,
+def rake(cells: DataFrame, alpha: float = 0.85, language_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None,
          tol: float = 1e-9, max_rounds: int = 200) -> Raking:
     """Fits factors to ``cells`` (source, lang, topic, tokens): one row per non-empty cell.
 
@@ -99,7 +99,7 @@ def rake(cells: DataFrame, alpha: float = 0.7, language_targets: dict[str, float
 
 
 def mix_documents(docs: DataFrame, topic: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-                  alpha: float = 0.7, language_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None,
+                  alpha: float = 0.85, language_targets: dict[str, float] | None = None, topic_targets: dict[str, float] | None = None,
                   seed: int = 42) -> DataFrame:
     """All rows and columns of ``docs`` plus mix_topic, mix_tokens, mix_factor, mix_probability, mix_sampled.
 
