@@ -22,7 +22,7 @@ BLOCK_BYTES = 8 << 20
 #: Trusted ids up to which they are broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 4_000_000
 #: Scores are compared at this resolution (bits per symbol) when quantiles are read off their counts.
-BIN = 0.0005
+BIN = 0.002
 #: A text's score counts this many symbols at its language's trusted mean besides its own: few symbols prove little.
 PRIOR_SYMBOLS = 256
 

@@ -5,11 +5,12 @@
    (prefix filter). The order puts frequent shingles last, so those of shared passages do not bring documents together.
    The prefixes are shuffled by shingle, packed as binary blocks; shingles with one owner end there. Owners of one
    shingle make a group, equal groups are one.
-3. In every group each member is held against the group's smallest (a star): where its bitmap allows, the sets are compared
-   exactly. Groups whose members are then in one component need nothing more.
+3. In every group each member is held against two heads, its smallest member and the one in most groups: where bitmaps
+   allow, the sets are compared exactly. Groups whose members are then in one component need nothing more.
 4. In the others signature trees are built and traversed in pairs; node pairs whose bitmaps and size ranges exclude a link
-   are pruned, so are pairs within a component, and what is left is compared exactly. Groups above BLOCK members are cut
-   into blocks, and every pair of blocks is a task of its own.
+   are pruned, pairs within a component are passed over, and what is left is compared exactly. Groups above BLOCK members
+   are cut into blocks, and every pair of blocks is a task of its own. Links found join components at once, so a task
+   returns fewer links than it has members.
 """
 
 from __future__ import annotations
@@ -227,41 +228,85 @@ def verified(pairs: DataFrame, rows: DataFrame, digest_of: DataFrame, num: int,
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b) of different components that the trees of (key, id, component, n, bits) do not exclude."""
-    kind = members.schema["id"].dataType.simpleString()
+def in_blocks(members: DataFrame, *columns: str) -> DataFrame:
+    """(key, i, j, rows): the members of each group, or of each pair of its blocks, with their ``columns``."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     cut = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cut = cut.withColumn("other", other).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"),
-        "id", "component", "n", "bits")
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cut = cut.select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), *columns)
+    return cut.groupBy("key", "i", "j").agg(F.collect_list(F.struct("second", *columns)).alias("rows"))
+
+
+def proposed(same: bool, second: np.ndarray, bits: list[bytes], n: np.ndarray, num: int, den: int) -> tuple[list[int], list[int]]:
+    """Pairs of positions that the trees of one block, or of two, do not exclude."""
+
+    def grown(mask):
+        at = np.flatnonzero(mask)
+        return forest([bits[x] for x in at], n[at], at)
+
+    left, right = pairs_between(grown(np.ones(len(n), bool)), None, num, den) if same else pairs_between(grown(~second), grown(second), num, den)
+    return left.tolist(), right.tolist()
+
+
+def tree_members(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct (key, id) with a partner in another component that the trees of (key, id, component, n, bits) do not exclude."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, id_type = members.schema["id"].dataType.simpleString(), to_arrow_type(members.schema["id"].dataType)
 
     def run(batches):
         for batch in batches:
-            out: list[tuple] = []
-            for i, j, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            keys, found = [], []
+            for key, i, j, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 part = rows.values
-                second = part.field("second").to_numpy(zero_copy_only=False)
-                n, bits, ids, of = part.field("n").to_numpy(), part.field("bits").to_pylist(), part.field("id").to_pylist(), part.field("component").to_pylist()
+                ids, of = part.field("id").to_pylist(), part.field("component").to_pylist()
+                left, right = proposed(i == j, part.field("second").to_numpy(zero_copy_only=False), part.field("bits").to_pylist(), part.field("n").to_numpy(), num, den)
+                apart = {z for x, y in zip(left, right) if of[x] != of[y] for z in (x, y)}
+                keys += [key] * len(apart)
+                found += [ids[z] for z in apart]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, id_type)], ["key", "id"])
 
-                def grown(mask):
-                    at = np.flatnonzero(mask)
-                    return forest([bits[x] for x in at], n[at], at)
+    return in_blocks(members, "id", "component", "n", "bits").mapInArrow(run, f"key long, id {kind}").distinct()
 
-                if i == j:
-                    left, right = pairs_between(grown(np.ones(len(n), bool)), None, num, den)
-                else:
-                    left, right = pairs_between(grown(~second), grown(second), num, den)
-                out += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(left, right) if of[x] != of[y]]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], id_type), pa.array([y for _, y in out], id_type)], ["a", "b"])
 
+def tree_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that join all components which any link joins, within each group of (key, id, component, tokens).
+
+    Trees propose the pairs. A pair whose components are joined by now is passed over, any other is compared hash by hash.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    id_type = to_arrow_type(members.schema["id"].dataType)
-    packed = cut.groupBy("key", "i", "j").agg(F.collect_list(F.struct("second", "id", "component", "n", "bits")).alias("rows"))
-    return packed.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    kind, id_type = members.schema["id"].dataType.simpleString(), to_arrow_type(members.schema["id"].dataType)
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for i, j, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                part = rows.values
+                ids, of = part.field("id").to_pylist(), part.field("component").to_pylist()
+                sets = [np.frombuffer(x.as_py(), np.uint64) for x in part.field("tokens")]
+                left, right = proposed(
+                    i == j, part.field("second").to_numpy(zero_copy_only=False), [bitmap(x) for x in sets], np.array([len(x) for x in sets]), num, den)
+                up = {c: c for c in of}
+
+                def root(c):
+                    while up[c] != c:
+                        up[c] = c = up[up[c]]
+                    return c
+
+                for x, y in zip(left, right):
+                    p, q = root(of[x]), root(of[y])
+                    if p == q:
+                        continue
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if den * shared >= num * (len(sets[x]) + len(sets[y]) - shared):
+                        up[p] = q
+                        out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], id_type), pa.array([y for _, y in out], id_type)], ["a", "b"])
+
+    return in_blocks(members, "id", "component", "tokens").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,8 +342,10 @@ def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
     wanted = stored(members.select(F.col("id").alias("wanted")).distinct().join(digest_of, "wanted"), "wanted")
     signatures = fetched(rows, wanted, tokens=False)
 
-    heads = members.groupBy("key").agg(F.min("id").alias("a"))
-    star = members.join(heads, "key").where(F.col("a") != F.col("id")).select("a", F.col("id").alias("b")).distinct()
+    degree = members.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    heads = members.join(degree, "id").groupBy("key").agg(F.min("id").alias("low"), F.max(F.struct("degree", "id")).alias("hub"))
+    heads = heads.select("key", F.explode(F.array_distinct(F.array("low", "hub.id"))).alias("head"))
+    star = members.join(heads, "key").where(F.col("head") != F.col("id")).select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
     edges = stored(verified(allowed(star, signatures, num, den), rows, digest_of, num, den), "links")
     label = stored(components(edges), "labels")
 
@@ -307,8 +354,11 @@ def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
     mixed = mixed.where("lo <> hi and m > 2").select("key")  # of two members the star has decided
     left = labelled.join(mixed, "key", "left_semi").join(signatures, "id")
-    more = verified(tree_pairs(left, num, den), rows, digest_of, num, den)
-    links = stored(edges.unionByName(more), "links")
+    left = stored(tree_members(left, num, den).join(labelled, ["key", "id"]), "undecided")
+    wanted = left.select(F.col("id").alias("wanted")).distinct().join(digest_of, "wanted")
+    sets = fetched(rows, stored(wanted, "wanted"), tokens=True)
+    more = stored(tree_links(left.join(sets, "id"), num, den), "links")
+    links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     label = components(links)
 
     own = linkable.join(classes, ["d1", "d2", "n"]).select("id", "rep")
