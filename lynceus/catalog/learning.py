@@ -124,6 +124,17 @@ def ml9(spark, sf):
     return round_all(ev.ranking_metrics(stacked, ["fold", "model"]), "roc_auc", "pr_auc")
 
 
+@query("ml9_final_stack", f"""
+WITH {SPLIT_SQL} SELECT split, count(*) AS n_rows, count(DISTINCT id) AS n_ids, sum(y)::BIGINT AS n_positive, 0::BIGINT AS n_bad FROM data GROUP BY split""")
+def ml9f(spark, sf):
+    """Coverage of the final stack, fitted on the training rows and applied to the whole table."""
+    train, data = train_test(spark, sf)
+    stack = ml.fit_stack(assign_folds(train, "id", "y", K, 42), {"base": _fit_boosted(), "aux": _fit_logreg()}, K)
+    bad = (~F.coalesce(F.col("proba").between(0, 1), F.lit(False))).cast("long")
+    return ml.score(stack, data, ["id", "y", "split"]).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.sum("y").alias("n_positive"), F.sum(bad).alias("n_bad"))
+
+
 @query("ml10_residual_fusion")
 def ml10(spark, sf):
     df = folded(spark, sf)

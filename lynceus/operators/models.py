@@ -12,7 +12,7 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -311,6 +311,40 @@ def stack_cv(wide: DataFrame, base: str, aux: str, control: str, k: int) -> Data
     return alone.unionByName(oof_scores(wide, learners, k))
 
 
+@dataclass
+class StackedModel:
+    """Base models fitted on all training rows under a meta-learner fitted on their out-of-fold scores."""
+
+    models: dict[str, Transformer]
+    meta: Transformer
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """One pass over any table: each model adds its score, the meta-learner reads the scores."""
+        for name, model in self.models.items():
+            out = model.transform(df)
+            df = out.select(*[F.col(c) for c in df.columns], positive_score(out).alias(f"p_{name}"))
+        return self.meta.transform(df)
+
+    def save(self, path: str) -> None:
+        for name, model in self.models.items():
+            model.write().overwrite().save(f"{path}/base/{name}")
+        self.meta.write().overwrite().save(f"{path}/meta")
+
+    @classmethod
+    def load(cls, path: str, names: list[str]) -> "StackedModel":
+        """``names`` are the base models in the order they were fitted."""
+        return cls({n: PipelineModel.load(f"{path}/base/{n}") for n in names}, PipelineModel.load(f"{path}/meta"))
+
+
+def fit_stack(df: DataFrame, learners: dict[str, Callable[[DataFrame], Transformer]], k: int, parallelism: int = 4) -> StackedModel:
+    """The final stack of the folded rows ``df`` (id, y, fold, ...): to save, and to score new rows with."""
+    base = stored(df)
+    wide = stored(oof_wide(oof_scores(base, learners, k, parallelism=parallelism), list(learners)))
+    meta = meta_learner([f"p_{n}" for n in learners]).fit(wide)
+    fitted = _parallel([(lambda fit=fit: fit(base)) for fit in learners.values()], parallelism)
+    return StackedModel(dict(zip(learners, fitted)), meta)
+
+
 def residual_fusion(wide: DataFrame, cols: list[str], p: str, width: int = 8, seed: int = 42) -> DataFrame:
     """Refines a base score: Fourier features fit its residual, then base, refinement and margin are fused.
 

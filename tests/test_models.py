@@ -42,6 +42,21 @@ def test_penalty_follows_the_rows_of_each_fit(spark, learnable, monkeypatch):
     assert sorted(seen) == pytest.approx(sorted(1 / (2.0 * n) for n in sizes))
 
 
+def test_final_stack_is_saved_and_scores_single_rows(spark, learnable, tmp_path):
+    """A loaded stack scores a row alone as it does in a batch, and beats chance."""
+    learners = {"lr": lambda t: Pipeline(stages=[prep(), ml.logreg()]).fit(t), "tree": lambda t: Pipeline(stages=[prep(), ml.boosted(3, 2)]).fit(t)}
+    stack = ml.fit_stack(learnable, learners, 3)
+    stack.save(str(tmp_path))
+    again = ml.StackedModel.load(str(tmp_path), ["lr", "tree"])
+    batch = {r.id: r.proba for r in ml.score(again, learnable, ["id", "y"]).collect()}
+    assert len(batch) == learnable.count()
+    one = learnable.orderBy("id").limit(1)
+    r = ml.score(stack, one, ["id"]).first()
+    assert r.proba == pytest.approx(batch[r.id], abs=1e-12)
+    auc = ev.roc_auc(ml.score(again, learnable, ["id", "y"]).withColumn("m", F.lit("m")), ["m"]).first()["roc_auc"]
+    assert auc > 0.95
+
+
 def test_oof_scores_every_row_once(spark, learnable):
     n = learnable.count()
     oof = ml.oof_scores(learnable, {"lr": lambda t: Pipeline(stages=[prep(), ml.logreg()]).fit(t)}, 3)
