@@ -19,6 +19,8 @@ ORDER = 4
 START, END = 2, 3
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text scored at once inside a block.
+SCORED_BYTES = 1 << 20
 #: Trusted ids up to which they are broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 4_000_000
 #: Scores are compared at this resolution (bits per symbol) when quantiles are read off their counts.
@@ -37,8 +39,9 @@ def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(ORDER):
         grams = (grams << np.uint32(8)) | data[i : i + len(grams)]
     ends = np.cumsum(sizes)
-    place = np.arange(len(grams)) + ORDER - 1  # of an n-gram's last symbol
-    inside = place - np.repeat(ends - sizes, sizes)[ORDER - 1 :] >= ORDER - 1
+    place = np.arange(ORDER - 1, len(data), dtype=np.int32)  # of an n-gram's last symbol
+    place -= np.repeat((ends - sizes).astype(np.int32), sizes)[ORDER - 1 :]
+    inside = place >= ORDER - 1
     counts = sizes - ORDER + 1
     return grams[inside], np.concatenate(([0], np.cumsum(counts)[:-1]))
 
@@ -161,7 +164,7 @@ def bits_per_symbol(docs: DataFrame, model: KneserNey, id_col: str, text_col: st
         ids, sizes, bits = [], [], []
         for body in bodies["body"]:
             table = pa.ipc.open_stream(body.as_py()).read_all()
-            for part, texts in text_slices(table.to_batches()):
+            for part, texts in text_slices(table.to_batches(), SCORED_BYTES):
                 asked, starts = packed(texts)
                 at = np.minimum(np.searchsorted(grams, asked), max(len(grams) - 1, 0))
                 if not len(grams) or (grams[at] != asked).any():
