@@ -6,9 +6,6 @@ from conftest import SF_DIR
 import __spark_entry__ as entry
 from oracle_check import compare
 
-#: Queries that fit several models; the oracle check script runs them too.
-SLOW = {"io8_saved_model", "ml8_oof_coverage", "ev18_compare_all"}
-
 
 def test_names_and_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
@@ -16,6 +13,6 @@ def test_names_and_entry(spark):
     assert entry.entry(spark).count() == 2
 
 
-@pytest.mark.parametrize("name", [n for n in entry.oracle_sql() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     assert compare(entry.queries()[name](spark, SF_DIR), duck, entry.oracle_sql()[name]).startswith("ok")
