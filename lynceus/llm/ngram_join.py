@@ -32,6 +32,8 @@ RARITY, AT_LEAST = 10_000, 16
 BUCKET, SPREAD = 500_000, 100_000
 #: Members of a group compared in one task.
 BLOCK = 512
+#: Members of a group whose pairs are listed; larger groups are compared where their sets meet.
+FEW = 32
 #: Rows up to which ids are broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -251,24 +253,38 @@ def proposed(same: bool, second: np.ndarray, bits: list[bytes], n: np.ndarray, n
 
 
 def tree_members(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (key, id) with a partner in another component that the trees of (key, id, component, n, bits) do not exclude."""
+    """What the trees of (key, id, component, n, bits) do not exclude between components: distinct pairs (a, b) of groups of
+    at most FEW members, and the (key, id) of members with such a partner in larger ones."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind, id_type = members.schema["id"].dataType.simpleString(), to_arrow_type(members.schema["id"].dataType)
 
     def run(batches):
         for batch in batches:
-            keys, found = [], []
+            keys, found, pairs = [], [], []
             for key, i, j, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 part = rows.values
                 ids, of = part.field("id").to_pylist(), part.field("component").to_pylist()
                 left, right = proposed(i == j, part.field("second").to_numpy(zero_copy_only=False), part.field("bits").to_pylist(), part.field("n").to_numpy(), num, den)
+                if len(ids) <= FEW and i == j:
+                    pairs += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(left, right) if of[x] != of[y]]
+                    continue
                 apart = {z for x, y in zip(left, right) if of[x] != of[y] for z in (x, y)}
                 keys += [key] * len(apart)
                 found += [ids[z] for z in apart]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, id_type)], ["key", "id"])
+            low, high = [None] * len(pairs), [None] * len(keys)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(keys + low, pa.int64()), pa.array(found + low, id_type), pa.array(high + [a for a, _ in pairs], id_type),
+                pa.array(high + [b for _, b in pairs], id_type)], ["key", "id", "a", "b"])
+
+    return in_blocks(members, "id", "component", "n", "bits").mapInArrow(run, f"key long, id {kind}, a {kind}, b {kind}").distinct()
+
 
-    return in_blocks(members, "id", "component", "n", "bits").mapInArrow(run, f"key long, id {kind}").distinct()
+def one_of_each(members: DataFrame) -> DataFrame:
+    """(key, id) of one group for each set of members, told by two sums of hashes and the size."""
+    sums = [F.sum(F.xxhash64(*salt, "id").cast("decimal(38,0)")) for salt in ((), (F.lit(1),))]
+    alike = members.groupBy("key").agg(sums[0].alias("h1"), sums[1].alias("h2"), F.count(F.lit(1)).alias("m"))
+    return members.join(alike.groupBy("h1", "h2", "m").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
 def tree_links(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -354,10 +370,13 @@ def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
     mixed = mixed.where("lo <> hi and m > 2").select("key")  # of two members the star has decided
     left = labelled.join(mixed, "key", "left_semi").join(signatures, "id")
-    left = stored(tree_members(left, num, den).join(labelled, ["key", "id"]), "undecided")
+    open_ = stored(tree_members(left, num, den), "undecided")
+    few = verified(open_.where("a is not null").select("a", "b"), rows, digest_of, num, den)
+    left = stored(one_of_each(open_.where("key is not null").select("key", "id")).join(label, F.col("id") == F.col("node"), "left")
+                  .select("key", "id", F.coalesce("component", "id").alias("component")), "undecided")
     wanted = left.select(F.col("id").alias("wanted")).distinct().join(digest_of, "wanted")
     sets = fetched(rows, stored(wanted, "wanted"), tokens=True)
-    more = stored(tree_links(left.join(sets, "id"), num, den), "links")
+    more = stored(few.unionByName(tree_links(left.join(sets, "id"), num, den)), "links")
     links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     label = components(links)
 

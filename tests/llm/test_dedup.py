@@ -168,7 +168,7 @@ def test_tree_prunes_no_link():
 def test_join_by_brute_force(docs_of, monkeypatch, small):
     """Small limits force frequent shingles, several buckets, spread shingles and block pairs."""
     if small:
-        for name, value in (("BLOCK", 3), ("BUCKET", 50), ("SPREAD", 2), ("AT_LEAST", 3), ("LOCAL", 2), ("WINDOW_SHINGLES", 500)):
+        for name, value in (("BLOCK", 3), ("FEW", 2), ("BUCKET", 50), ("SPREAD", 2), ("AT_LEAST", 3), ("LOCAL", 2), ("WINDOW_SHINGLES", 500)):
             monkeypatch.setattr(nj, name, value)
     texts = corpus(7) + [None, "", " \n", "one two"] + ["one two"]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.jaccard_join(docs_of(list(enumerate(texts)))).collect()}
