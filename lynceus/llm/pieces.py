@@ -143,12 +143,24 @@ def backend(path: str):
     return _loaded[path]
 
 
-def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, verify: int = 8) -> DataFrame:
+def encoded(tok, reference, texts: list[str], threads: int, verify: int) -> tuple[list[list[int]], list[bool | None]]:
+    """(ids, parity) of every text; where the two differ the ids are the reference's."""
+    got = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    parity: list = [None] * len(texts)
+    audit = [i for i, t in enumerate(texts) if zlib.crc32(t.encode("utf-8")) % verify == 0]
+    for i, want in zip(audit, reference.encode([texts[i] for i in audit], num_threads=threads) if audit else []):
+        parity[i] = got[i] == want
+        got[i] = want
+    return got, parity
+
+
+def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2, verify: int = 1) -> DataFrame:
     """One row per row of ``docs``: id, n_pieces, piece_ids, parity, round_trip.
 
-    Batches are encoded and decoded with ``threads`` threads. Every ``verify``-th text, by a hash of its bytes, is also
-    encoded by the reference processor: parity says that its ids are equal (null for the others; ``verify`` 1 checks
-    all). round_trip says that decoding gives the text back
+    Batches are encoded and decoded with ``threads`` threads. Every text is also encoded by the reference processor:
+    parity says that its ids are equal, and where they are not the reference's ids are returned. A larger ``verify``
+    audits only every ``verify``-th text, by a hash of its bytes, and leaves parity null and the ids as they are for the
+    others. round_trip says that decoding gives the text back
     (false where the model's normaliser changes it). Null and empty texts have no pieces; a null text counts as the
     empty one. Whole texts are encoded whatever their length. Ids may be null or repeated; other columns are not read;
     an empty table gives an empty result. A map without a shuffle.
@@ -163,11 +175,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for ids, texts in text_slices([batch], 1 << 20):
                 clean = [t.encode("utf-8", "replace").decode("utf-8") for t in texts]
-                got = [e.ids for e in tok.encode_batch_fast(clean, add_special_tokens=False)]
-                parity: list = [None] * len(clean)
-                audit = [i for i, t in enumerate(clean) if zlib.crc32(t.encode("utf-8")) % verify == 0]
-                for i, want in zip(audit, reference.encode([clean[i] for i in audit], num_threads=threads) if audit else []):
-                    parity[i] = got[i] == want
+                got, parity = encoded(tok, reference, clean, threads, verify)
                 back = tok.decode_batch(got, skip_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, batch.schema.field(0).type), pa.array([len(g) for g in got], pa.int64()),

@@ -5,7 +5,7 @@ import random
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from lynceus.llm.pieces import PieceModel, decode_pieces, encode_pieces
+from lynceus.llm.pieces import PieceModel, decode_pieces, encode_pieces, encoded
 from lynceus.llm.token_counts import CountTransducer, token_counts
 
 EDGES = [
@@ -97,3 +97,17 @@ def test_piece_rows_round_trip(spark, docs_of, vocab):
     back = sorted((r.doc_id or 0, r.text) for r in decode_pieces(out, path).collect())
     assert back == sorted((i or 0, t or "") for i, t in rows)
     assert encode_pieces(docs_of([]), path).collect() == []
+
+
+def test_every_text_is_verified_and_repaired(spark, docs_of, vocab):
+    import sentencepiece
+
+    path = vocab("piece_bpe_32k.model")
+    out = encode_pieces(docs_of([(i, f"text number {i}") for i in range(40)]), path).collect()
+    assert len(out) == 40 and all(r.parity is True for r in out)
+
+    model, ref = PieceModel.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    model.merges = lambda: []  # a pipeline that joins nothing differs on every word
+    texts = ["Hello world", "", "one two three"]
+    ids, parity = encoded(model.tokenizer(), ref, texts, threads=1, verify=1)
+    assert ids == ref.encode(texts) and parity == [False, True, False]
