@@ -3,7 +3,8 @@
 The neighbour graph begins with neighbours in random-hyperplane orders and is refined by joins of every vector's
 neighbours, and theirs to it, with each other. Edges at or above the threshold make components. Lists full of links are
 saturated: they are enlarged to the whole component and every link in it is counted, block by block. An audit compares a
-sample with all rows; while its recall is too low, more orders and longer lists are added.
+fresh sample with all rows; while its recall, a mean over vectors, is too low, the links it found, more orders and longer
+lists are added. Labels in which vectors still miss links after ATTEMPTS are compared as a whole, block by block.
 """
 
 from __future__ import annotations
@@ -200,17 +201,21 @@ def refined(lists: DataFrame, vectors: DataFrame, dtype: str, k: int) -> DataFra
     return merged(found.union(lists), k)
 
 
-def link_counts(vectors: DataFrame, dtype: str, label: DataFrame, threshold: float) -> DataFrame:
-    """(rid, n_links): links of every vector of a component to all its other members, counted by pairs of blocks."""
+def in_blocks(vectors: DataFrame, label: DataFrame) -> DataFrame:
+    """(component, i, j, ids, second, vs): the vectors of every pair of blocks of each component of (node, component)."""
     sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     rows = label.join(sizes, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), F.col("node").alias("rid"))
     # small components share tasks: rows of many meet in one batch, told apart by their component
-    rows = rows.join(vectors.select("rid", "v"), "rid").groupBy("component", "i", "j").agg(
+    return rows.join(vectors.select("rid", "v"), "rid").groupBy("component", "i", "j").agg(
         F.collect_list("rid").alias("ids"), F.collect_list("second").alias("second"), F.collect_list("v").alias("vs"))
 
+
+def link_counts(vectors: DataFrame, dtype: str, label: DataFrame, threshold: float) -> DataFrame:
+    """(rid, n_links): links of every vector of a component to all its other members, counted by pairs of blocks."""
+
     def run(batches):
         for batch in batches:
             out_r, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -227,15 +232,41 @@ def link_counts(vectors: DataFrame, dtype: str, label: DataFrame, threshold: flo
                     out_n += [hits.sum(axis=1), hits.sum(axis=0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_r)), pa.array(np.concatenate(out_n))], ["rid", "n"])
 
-    return rows.mapInArrow(run, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n_links"))
+    return in_blocks(vectors, label).mapInArrow(run, "rid long, n long").groupBy("rid").agg(F.sum("n").alias("n_links"))
 
 
-def audited(vectors: DataFrame, dtype: str, counts: DataFrame, threshold: float, sample: int) -> tuple[float, DataFrame]:
-    """(share of the sample's true links that were counted, its true links). Half the sample has links, if so many do."""
-    light = vectors.join(counts, "rid", "left").select("rid", "grp", F.coalesce("n_links", F.lit(0)).alias("n"), "v")
-    linked = light.where("n > 0").orderBy(F.xxhash64("rid")).limit(sample // 2)
-    plain = light.where("n = 0").orderBy(F.xxhash64("rid")).limit(sample // 2)
-    chosen = linked.unionByName(plain).collect()
+def exact_links(vectors: DataFrame, dtype: str, groups: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs that join whatever links join within each of the ``groups`` (grp), all pairs compared.
+
+    A task returns at most one pair for each of its vectors: the vector and the smallest that links reach in its blocks.
+    """
+    label = vectors.join(F.broadcast(groups), "grp", "left_semi").select(F.col("rid").alias("node"), F.col("grp").alias("component"))
+
+    def run(batches):
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for ids, vs in zip(batch.column(3), batch.column(5)):
+                ids = ids.values.to_numpy()
+                order = np.argsort(ids)
+                ids, x = ids[order], unit(vs.values, dtype)[order]
+                hits, least = x @ x.T >= threshold, np.arange(len(ids))
+                np.fill_diagonal(hits, True)
+                while True:
+                    now = np.where(hits, least, len(ids)).min(axis=1)
+                    now = now[now]
+                    if (now == least).all():
+                        break
+                    least = now
+                moved = least < np.arange(len(ids))
+                a.append(ids[moved])
+                b.append(ids[least[moved]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return in_blocks(vectors, label).mapInArrow(run, "a long, b long").distinct()
+
+
+def compared(vectors: DataFrame, dtype: str, chosen: list, threshold: float, pairs: bool) -> DataFrame:
+    """True links of the ``chosen`` rows (rid, grp, v) to all rows: the ``pairs`` (a, b), or (a, b) with b their number in a batch."""
     asked: dict = {}
     for r in chosen:
         asked.setdefault(r.grp, []).append((r.rid, bytes(r.v)))
@@ -253,15 +284,35 @@ def audited(vectors: DataFrame, dtype: str, counts: DataFrame, threshold: float,
                     x = np.frombuffer(b"".join(v for _, v in shared.value[g]), dtype).reshape(len(q), -1).astype(np.float64)
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
                     rid = part.column("rid").to_numpy()
-                    i, j = np.nonzero(x @ unit(part.column("v"), dtype).T >= threshold)
-                    keep = q[i] != rid[j]
-                    a.append(q[i][keep])
-                    b.append(rid[j][keep])
+                    hits = (x @ unit(part.column("v"), dtype).T >= threshold) & (q[:, None] != rid)
+                    if pairs:
+                        i, j = np.nonzero(hits)
+                        a.append(q[i])
+                        b.append(rid[j])
+                    else:
+                        a.append(q)
+                        b.append(hits.sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    truth = stored(vectors.select("rid", "grp", "v").mapInArrow(run, "a long, b long"), "audit")
-    known, true = sum(r.n for r in chosen), truth.count()
-    return (known / true if true else 1.0), truth
+    return vectors.select("rid", "grp", "v").mapInArrow(run, "a long, b long")
+
+
+def audited(vectors: DataFrame, dtype: str, label: DataFrame, counts: DataFrame, threshold: float, sample: int, salt: int) -> tuple[float, list]:
+    """(recall, rows of the sample that miss links). Recall is the mean, over the sampled vectors that have true links, of
+    the share of them that was counted.
+
+    Half the sample has links, if so many do: a quarter is one vector of a component each, so that a component counts once
+    whatever its size, and the rest any linked vectors. The other half has none. ``salt`` draws another sample.
+    """
+    light = vectors.join(counts, "rid", "left").select("rid", "grp", F.coalesce("n_links", F.lit(0)).alias("n"), "v")
+    one = label.groupBy("component").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), F.col("node"))).alias("x"))
+    one = one.select(F.col("x.node").alias("rid")).orderBy(F.xxhash64(F.lit(salt + 1), "rid")).limit(sample // 4)
+    chosen = {r.rid: r for r in light.join(F.broadcast(one), "rid", "left_semi").collect()}
+    for kind, size in (("n > 0", sample // 2 - len(chosen)), ("n = 0", sample // 2)):
+        chosen |= {r.rid: r for r in light.where(kind).orderBy(F.xxhash64(F.lit(salt), "rid")).limit(size).collect()}
+    true = dict(compared(vectors, dtype, list(chosen.values()), threshold, pairs=False).groupBy("a").agg(F.sum("b")).collect())
+    share = {k: chosen[k].n / n for k, n in true.items() if n}
+    return (sum(share.values()) / len(share) if share else 1.0), [chosen[k] for k, s in share.items() if s < 1]
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.98, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -270,7 +321,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, k: int = NEIGHBOURS,
     Two rows link when their labels are equal and not null, their vectors have one length and cosine >= ``threshold``,
     computed in double precision. Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing. n_links counts linked rows other than the row itself, component_id is the smallest id links reach, kept says
-    that it is the row's own. recall is the audit's, the same on every row. Rows that repeat an id count as rows of their
+    that it is the row's own. recall is the last audit's, the same on every row, and at least RECALL. Rows that repeat an id count as rows of their
     own; a null id is never a component's id unless it is alone. Other columns are not read; an empty table gives an
     empty result.
     """
@@ -278,6 +329,20 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, k: int = NEIGHBOURS,
     vectors, dtype = packed_vectors(base)
     parts, begun = None, 0
     extra = None
+
+    def settled(links: DataFrame):
+        """Labels, counts, and the audit of a sample of its own."""
+        nonlocal audits
+        audits += 1
+        links = links if extra is None else links.union(extra)
+        label = stored(components(links), "labels")
+        counts = stored(link_counts(vectors, dtype, label, threshold), "counts")
+        return label, counts, *audited(vectors, dtype, label, counts, threshold, AUDIT, 2 * audits)
+
+    def more(found: DataFrame) -> DataFrame:
+        return stored(found if extra is None else extra.union(found), "audit")
+
+    audits = 0
     for attempt in range(ATTEMPTS):
         fresh = ordered_neighbours(vectors, dtype, range(begun, begun + ORDERS), k, threshold)
         begun += ORDERS
@@ -291,14 +356,21 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, k: int = NEIGHBOURS,
                 break
             known = now
         links = edges_of(lists, threshold).union(runs)
-        if extra is not None:
-            links = links.union(extra)
-        label = stored(components(links), "labels")
-        counts = stored(link_counts(vectors, dtype, label, threshold), "counts")
-        recall, truth = audited(vectors, dtype, counts, threshold, AUDIT)
+        label, counts, recall, missed = settled(links)
+        if recall >= RECALL:
+            break
+        extra = more(compared(vectors, dtype, missed, threshold, pairs=True).union(runs))
+        parts, k = lists, 2 * k
+    # whole labels: first those with misses, then all
+    every = vectors.select("grp").distinct()
+    for last in (False, True):
         if recall >= RECALL:
             break
-        parts, k, extra = lists, 2 * k, truth if extra is None else extra.union(truth)
+        groups = every if last else vectors.sparkSession.createDataFrame([(g,) for g in {r.grp for r in missed}], "grp string")
+        extra = more(exact_links(vectors, dtype, groups, threshold))
+        label, counts, recall, missed = settled(links)
+    if recall < RECALL:
+        raise RuntimeError(f"recall {recall} after comparing all rows")
     named = label.join(vectors.select("rid", "id"), label.node == vectors.rid).groupBy("component").agg(F.min("id").alias("least"))
     found = label.join(named, "component").join(counts, label.node == counts.rid).select("node", "least", "n_links")
     done = vectors.join(found, vectors.rid == found.node, "left").select(

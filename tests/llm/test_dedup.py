@@ -231,6 +231,24 @@ def test_vectors_of_a_table(spark):
     assert len(rows) == 500 and rows[0].recall >= 0.999
 
 
+@pytest.mark.parametrize("audit", [512, 8])
+def test_small_groups_beside_a_hot_one(spark, monkeypatch, audit):
+    """Pairs that the graph never meets are missed by no audit that a hot group of copies would fill; a small one needs all pairs."""
+    rng = np.random.default_rng(5)
+    vectors = [rng.standard_normal(16).tolist()] * 300
+    for _ in range(20):
+        v = rng.standard_normal(16)
+        vectors += [v.tolist(), (v + rng.standard_normal(16) * 0.01).tolist()]
+    real = nv.ordered_neighbours
+    hot = lambda rows, *rest: real(rows, *rest).join(rows.where("id < 300").select("rid"), "rid", "left_semi")
+    monkeypatch.setattr(nv, "ordered_neighbours", hot)
+    monkeypatch.setattr(nv, "AUDIT", audit)
+    monkeypatch.setattr(nv, "BLOCK", 100)
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.recall >= 0.999) for r in nv.near_vectors(df).collect()}
+    assert got == {i: (299, 0, True) if i < 300 else (1, i - i % 2, True) for i in range(340)}
+
+
 def test_package_travels_to_workers(tmp_path):
     """A Python worker finds the package though the session starts elsewhere, without PYTHONPATH."""
     import subprocess
