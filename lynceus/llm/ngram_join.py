@@ -325,9 +325,48 @@ def tree_links(members: DataFrame, num: int, den: int) -> DataFrame:
     return in_blocks(members, "id", "component", "tokens").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_counts(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, n): the weights of all sets that link with each of (key, id, weight, tokens), within a key; every pair meets once.
+
+    Trees propose the pairs of a block or of two, each is compared hash by hash, and a task returns one row a member.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, id_type = members.schema["id"].dataType.simpleString(), to_arrow_type(members.schema["id"].dataType)
+
+    def run(batches):
+        for batch in batches:
+            out, sums = [], [np.zeros(0, np.int64)]
+            for i, j, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                part = rows.values
+                weight, second = part.field("weight").to_numpy(), part.field("second").to_numpy(zero_copy_only=False)
+                sets = [np.frombuffer(x.as_py(), np.uint64) for x in part.field("tokens")]
+                left, right = proposed(
+                    i == j, second, [bitmap(x) for x in sets], np.array([len(x) for x in sets]), num, den)
+                n = np.zeros(len(sets), np.int64)
+                for x, y in zip(left, right):
+                    # a tree of one leaf meets itself, and an empty block leaves the other to meet itself
+                    if x == y or i != j and second[x] == second[y]:
+                        continue
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if den * shared >= num * (len(sets[x]) + len(sets[y]) - shared):
+                        n[x] += weight[y]
+                        n[y] += weight[x]
+                out += part.field("id").to_pylist()
+                sums.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(out, id_type), pa.array(np.concatenate(sums))], ["id", "n"])
+
+    found = in_blocks(members, "id", "weight", "tokens").mapInArrow(run, f"id {kind}, n long")
+    return found.groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def jaccard_join(
+    docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
     """(id, n_shingles, component_id) of every row: size of its shingle set, and the smallest id that links reach.
 
+    With ``count_links`` also n_links: the other rows with an id whose sets link with the row's own. All pairs within a
+    component are compared for it, so its cost follows their number.
+
     Two rows link when den * intersection >= num * union of their sets of distinct five-word shingles (A-Z lower-cased;
     shorter texts are one shingle as a whole). Null, empty and wordless texts have no shingle and link with nothing. Rows
     with a null id link with nothing and have no component. Rows that repeat an id count as that id; each is returned
@@ -383,5 +422,17 @@ def jaccard_join(docs: DataFrame, num: int = 80, den: int = 100, id_col: str = "
     own = linkable.join(classes, ["d1", "d2", "n"]).select("id", "rep")
     final = own.join(label, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("__id"), F.coalesce("component", "rep").alias("c"))
     final = final.groupBy("__id").agg(F.min("c").alias("component_id"))
-    return sizes.join(final, F.col("id") == F.col("__id"), "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
+    if not count_links:
+        return sizes.join(final, F.col("id") == F.col("__id"), "left").select(*columns)
+    copies_of = stored(linkable.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")), "copies")
+    # links end in one component; a repeated id may stand for several sets, each is a member by its digest
+    asked = stored(copies_of.join(label, F.col("rep") == F.col("node")).select(F.col("rep").alias("wanted"), "d1", "component", "weight"), "wanted")
+    sets = fetched(rows, asked.select("wanted", "d1"), tokens=True)
+    counted = asked.join(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), F.col("wanted") == F.col("id"))
+    key = F.xxhash64("component").alias("key")
+    counted = stored(link_counts(counted.select(key, F.col("wanted").alias("id"), "weight", "tokens"), num, den).toDF("rep", "linked"), "link counts")
+    of_class = copies_of.join(counted, "rep", "left").select("d1", "d2", F.col("n").alias("__n"), (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("own"))
+    same = (sizes["d1"] == of_class["d1"]) & (sizes["d2"] == of_class["d2"]) & (F.col("n") == F.col("__n")) & F.col("id").isNotNull()
+    both = sizes.join(of_class, same, "left").join(final, F.col("id") == F.col("__id"), "left")
+    return both.select(*columns, F.coalesce("own", F.lit(0)).cast("long").alias("n_links"))

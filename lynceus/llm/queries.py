@@ -94,3 +94,11 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id"""
 @query("op9_ngram_join", JOIN_SQL)
 def op9(spark, sf):
     return jaccard_join(table(spark, sf, "documents"))
+
+
+LINKS_SQL = JOIN_SQL.replace("AS component_id\n", "AS component_id,\n  (SELECT count(*) FROM e WHERE e.a = w.doc_id OR e.b = w.doc_id) AS n_links\n")
+
+
+@query("op9_link_counts", LINKS_SQL)
+def op9_links(spark, sf):
+    return jaccard_join(table(spark, sf, "documents"), count_links=True)

@@ -186,6 +186,21 @@ def test_join_of_star_whose_head_is_an_outlier(docs_of):
     assert got == {0: 0, 1: 1, 2: 1, 3: 1}
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_join_counts_every_link(docs_of, monkeypatch, block):
+    """Chains, whose ends do not link, families and copies, against brute force."""
+    monkeypatch.setattr(nj, "BLOCK", block)
+    chain = [" ".join(f"w{i}" for i in range(s, s + 100)) for s in (0, 8, 16)]
+    texts = corpus(9, 30) + chain + chain[:1] + [None, ""]
+    sets = [reference_set(t) for t in texts]
+    n = [0] * len(texts)
+    for a, b in linked(sets):
+        n[a] += 1
+        n[b] += 1
+    got = {r.doc_id: r.n_links for r in nj.jaccard_join(docs_of(list(enumerate(texts))), count_links=True).collect()}
+    assert got == dict(enumerate(n)) and n[-6:] == [2, 3, 1, 2, 0, 0]
+
+
 def test_join_null_and_repeated_ids(docs_of):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (2, "q r s t u v")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.jaccard_join(docs_of(rows)).collect()), key=str)
