@@ -13,6 +13,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lynceus.functions.hashing import WORD, hash_word
 
 _BUCKET = "_bucket"
+_GROUP = "_group"
+
+
+def with_group(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Adds the keys as one struct that is never null, so a null key is a group like any other.
+
+    Grouping, join and window on this one column share a hash partitioning; a null-safe join on the keys
+    themselves would hash other expressions than the window and shuffle the rows once more.
+    """
+    return (df.withColumn(_GROUP, F.struct(*keys)), [_GROUP]) if keys else (df, [])
 
 
 def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
@@ -56,10 +66,10 @@ def running_sums(
     ``(keys, order)`` must be unique: aggregate to distinct values first.
     """
     n = bucket_count(df, buckets)
-    bucketed = with_value_bucket(df, order, n)
-    by = [*keys, _BUCKET]
+    bucketed, group_key = with_group(with_value_bucket(df, order, n), keys)
+    by = [*group_key, _BUCKET]
     totals = bucketed.groupBy(*by).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    group = Window.partitionBy(*(group_key or [F.lit(0)]))
     prior = group.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by,
@@ -67,10 +77,10 @@ def running_sums(
         *[F.sum(f"_t_{s}").over(group).alias(f"{s}_total") for s in sums],
     )
     local = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = join_groups(bucketed, offsets, keys, [_BUCKET])
+    out = bucketed.join(offsets, by)
     for s in sums:
         out = out.withColumn(f"{s}_before", F.col(f"_o_{s}") + F.coalesce(F.sum(s).over(local), F.lit(0)))
-    return out.drop(_BUCKET, *[f"_o_{s}" for s in sums])
+    return out.drop(_BUCKET, _GROUP, *[f"_o_{s}" for s in sums])
 
 
 def hash_rank(
@@ -85,9 +95,10 @@ def hash_rank(
     n = bucket_count(df, buckets)
     hashed = df.withColumn("_h", hash_word(seed if isinstance(seed, Column) else F.lit(seed), F.col(id_col)))
     hashed = hashed.withColumn(_BUCKET, F.floor(F.col("_h") * n / F.lit(WORD)).cast("int"))
-    keys = [*by, _BUCKET]
+    hashed, group_key = with_group(hashed, by)
+    keys = [*group_key, _BUCKET]
     totals = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*(by or [F.lit(0)]))
+    group = Window.partitionBy(*(group_key or [F.lit(0)]))
     offsets = totals.select(
         *keys,
         F.coalesce(
@@ -97,9 +108,9 @@ def hash_rank(
     )
     local = Window.partitionBy(*keys).orderBy("_h", id_col)
     return (
-        join_groups(hashed, offsets, by, [_BUCKET])
+        hashed.join(offsets, keys)
         .withColumn(rank, F.col("_o") + F.row_number().over(local))
-        .drop("_h", "_o", _BUCKET)
+        .drop("_h", "_o", _BUCKET, _GROUP)
     )
 
 

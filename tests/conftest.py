@@ -6,9 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from oracle_check import connect, session  # noqa: E402
-
-SF_DIR = "/root/testdata/sf0.001"
+from oracle_check import SF_DIR, connect, session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -1,10 +1,9 @@
 """Every registered query with SQL equals it on the smallest tables."""
 
 import pytest
-from conftest import SF_DIR
 
 import __spark_entry__ as entry
-from oracle_check import compare
+from oracle_check import SF_DIR, compare
 
 
 def test_names_and_entry(spark):
