@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from lynceus.catalog import query
-from lynceus.functions.hashing import POISSON1_WORDS
+from lynceus.functions.draws import FIRST, MARGIN, SECOND, SPAN, STEP
 from lynceus.functions.stats import T_975
 from lynceus.operators import bootstrap as bs, compare as cp, evaluate as ev
 from lynceus.operators.sampling import seeded_draws
@@ -140,26 +138,32 @@ def ev9(spark, sf):
 
 # ---- bootstrap ----------------------------------------------------------------------------------
 
-RESAMPLES, SEED = 50, 42
-_U = lambda key, w: f"((CAST('0x' || substr(md5({key} || ':0'), {1 + 8 * w}, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE)"
+INTERVAL_DRAWS, PAIRED_DRAWS, SEED = 1000, 2000, 42
+SCORE_KEY_SQL = lambda p: f"CAST(CAST(round({p} * 1e15) AS DECIMAL(38, 0)) AS VARCHAR)"
 
 
-def resample_sql(name: str, cells: str, keys: list[str]) -> str:
-    """CTE ``name``: cells x resamples with weight w > 0. Small counts are drawn one by one."""
-    key = " || ':' || ".join(["'42'", "r", *keys])
-    word = f"CAST('0x' || substr(md5({key} || ':' || j), 1, 8) AS BIGINT)"
-    one = " + ".join(f"({word} >= {t})::BIGINT" for t in POISSON1_WORDS)
-    normal = f"greatest(0, round(cnt + sqrt(cnt) * sqrt(-2 * ln({_U(key, 0)})) * cos({2 * math.pi!r} * {_U(key, 1)})))::BIGINT"
-    return f"""{name}_r AS (SELECT *, unnest(range(0, {RESAMPLES})) AS r FROM {cells}),
-{name}_j AS (SELECT *, unnest(CASE WHEN cnt <= 30 THEN range(1, cnt + 1) ELSE [0] END) AS j FROM {name}_r),
-{name}_w AS (SELECT * EXCLUDE (j), CASE WHEN cnt <= 30 THEN {one} ELSE {normal} END AS w1 FROM {name}_j),
-{name} AS (SELECT * EXCLUDE (w1), sum(w1)::BIGINT AS w FROM {name}_w GROUP BY ALL HAVING sum(w1) > 0)"""
+def resample_sql(name: str, cells: str, keys: list[str], resamples: int) -> str:
+    """CTE ``name``: cells x resamples with weight w, the inverse Poisson distribution of the cell's count at a mixed word."""
+    word = lambda x: f"(({x}) & 4294967295::UBIGINT)"
+    step = lambda of, to, shift, factor: f"{name}_{to} AS (SELECT * REPLACE ({word(f'xor(x, x >> {shift}) * {factor}')} AS x) FROM {name}_{of})"
+    low = f"greatest(0, cnt - floor({SPAN} * sqrt(cnt))::BIGINT - {MARGIN})"
+    return f"""{name}_c AS (SELECT *, md5({" || ':' || ".join([f"'{SEED}'", *keys])}) AS h FROM {cells}),
+{name}_k AS (SELECT cnt, {low} AS lo, unnest(range({low}, cnt + floor({SPAN} * sqrt(cnt))::BIGINT + {MARGIN} + 1)) AS k FROM (SELECT DISTINCT cnt FROM {cells})),
+{name}_p AS (SELECT cnt, lo, floor(sum(exp(k * ln(cnt) - cnt - lgamma(k + 1))) OVER (PARTITION BY cnt ORDER BY k) * 4294967296) AS t FROM {name}_k),
+{name}_t AS (SELECT cnt, any_value(lo) AS lo, list(t::UBIGINT ORDER BY t) FILTER (t < 4294967296) AS ts FROM {name}_p GROUP BY cnt),
+{name}_0 AS (SELECT * EXCLUDE (h), CAST('0x' || substr(h, 9, 8) AS UBIGINT) AS w1, {word(f"CAST('0x' || substr(h, 1, 8) AS UBIGINT) + r::UBIGINT * {STEP}")} AS x
+  FROM {name}_c JOIN {name}_t USING (cnt), range({resamples}) draws(r)),
+{step(0, 1, 16, FIRST)}, {step(1, 2, 13, SECOND)}, {name}_3 AS (SELECT * REPLACE (xor(xor(x, x >> 16), w1) AS x) FROM {name}_2),
+{step(3, 4, 16, FIRST)}, {step(4, 5, 13, SECOND)}, {name}_6 AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM {name}_5),
+{name}_7 AS (SELECT * EXCLUDE (x, w1, lo, ts), lo + len(list_filter(ts, lambda t: t <= x)) AS w FROM {name}_6),
+{name} AS (SELECT * FROM {name}_7 WHERE w > 0)"""
 
 
-BOOT_RANK_SQL = f"""
-cells AS (SELECT model, y, CAST(round(proba * 1000000) AS BIGINT) AS k, count(*) AS cnt FROM long GROUP BY ALL),
-{resample_sql('drawn', 'cells', ['model', 'y', 'k'])},
-{rank_sql('boot', 'model, r', 'drawn', 'k', 'w')}"""
+def boot_rank_sql(resamples: int) -> str:
+    return f"""
+cells AS (SELECT model, y, proba, {SCORE_KEY_SQL('proba')} AS pk, count(*) AS cnt FROM long GROUP BY ALL),
+{resample_sql('drawn', 'cells', ['model', 'y', 'pk'], resamples)},
+{rank_sql('boot', 'model, r', 'drawn', 'proba', 'w')}"""
 
 
 def _ci_sql(metric: str, source: str, keys: str = "model") -> str:
@@ -168,19 +172,19 @@ def _ci_sql(metric: str, source: str, keys: str = "model") -> str:
 
 
 @query("ev10_bootstrap_ci", f"""
-WITH {SCORES_SQL}, {BOOT_RANK_SQL}, {rank_sql('pt', 'model')}
+WITH {SCORES_SQL}, {boot_rank_sql(INTERVAL_DRAWS)}, {rank_sql('pt', 'model')}
 SELECT model, metric, round(roc_auc, 6) AS point, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n_resamples, 'poisson_cells' AS method
 FROM pt JOIN ({_ci_sql('roc_auc', 'boot')}) USING (model)""")
 def ev10(spark, sf):
-    return round_all(bs.bootstrap_ci(scores_long(spark, sf), ["model"], "roc_auc", RESAMPLES, SEED), "point", "ci_low", "ci_high")
+    return round_all(bs.bootstrap_ci(scores_long(spark, sf), ["model"], "roc_auc", INTERVAL_DRAWS, SEED), "point", "ci_low", "ci_high")
 
 
 def paired_boot_sql(keys: str, source: str) -> str:
     """CTE paired(keys, metric, delta, ci_low, ci_high, p_value, includes_zero, n_resamples) from (keys, y, pa, pb)."""
-    return f"""pcells AS (SELECT {keys}, y, CAST(round(pa * 1000000) AS BIGINT) AS ka, CAST(round(pb * 1000000) AS BIGINT) AS kb, count(*) AS cnt FROM {source} GROUP BY ALL),
-{resample_sql('pdrawn', 'pcells', [*keys.split(', '), 'y', 'ka', 'kb'])},
-sides AS (SELECT {keys}, r, y, w, 'a' AS side, ka AS k FROM pdrawn UNION ALL SELECT {keys}, r, y, w, 'b', kb FROM pdrawn
-  UNION ALL SELECT {keys}, -1, y, cnt, 'a', ka FROM pcells UNION ALL SELECT {keys}, -1, y, cnt, 'b', kb FROM pcells),
+    return f"""pcells AS (SELECT {keys}, y, pa, pb, {SCORE_KEY_SQL('pa')} AS ka, {SCORE_KEY_SQL('pb')} AS kb, count(*) AS cnt FROM {source} GROUP BY ALL),
+{resample_sql('pdrawn', 'pcells', [*keys.split(', '), 'y', 'ka', 'kb'], PAIRED_DRAWS)},
+sides AS (SELECT {keys}, r, y, w, 'a' AS side, pa AS k FROM pdrawn UNION ALL SELECT {keys}, r, y, w, 'b', pb FROM pdrawn
+  UNION ALL SELECT {keys}, -1, y, cnt, 'a', pa FROM pcells UNION ALL SELECT {keys}, -1, y, cnt, 'b', pb FROM pcells),
 {rank_sql('pm', keys + ', r, side', 'sides', 'k', 'w')},
 diffs AS (SELECT {keys}, r, sum(CASE side WHEN 'a' THEN roc_auc ELSE -roc_auc END) AS roc_auc, sum(CASE side WHEN 'a' THEN pr_auc ELSE -pr_auc END) AS pr_auc FROM pm GROUP BY {keys}, r),
 dl AS (SELECT {keys}, r, metric, d FROM diffs UNPIVOT (d FOR metric IN (roc_auc, pr_auc))),
@@ -194,7 +198,7 @@ WITH {SCORES_SQL}, src AS (SELECT stage, y, a AS pa, b AS pb FROM scores), {pair
 SELECT stage, metric, round(delta, 6) AS delta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n_resamples, includes_zero, round(p_value, 6) AS p_value FROM paired""")
 def ev11(spark, sf):
     pairs = cp.wide_pair(scores_wide(spark, sf), "a", "b", ["stage"])
-    return round_all(bs.paired_bootstrap(pairs, ["stage"], RESAMPLES, SEED), "delta", "ci_low", "ci_high", "p_value")
+    return round_all(bs.paired_bootstrap(pairs, ["stage"], PAIRED_DRAWS, SEED), "delta", "ci_low", "ci_high", "p_value")
 
 
 # ---- paired tests -------------------------------------------------------------------------------
@@ -283,7 +287,7 @@ def ev15(spark, sf):
 LABEL_BOOT_SQL = f"""
 conf AS ({confusion_sql('model')}),
 lcells AS (SELECT model, cell, cnt FROM conf UNPIVOT (cnt FOR cell IN (tp, fp, tn, fn)) WHERE cnt > 0),
-{resample_sql('ldrawn', 'lcells', ['model', 'cell'])},
+{resample_sql('ldrawn', 'lcells', ['model', 'cell'], PAIRED_DRAWS)},
 lconf AS (SELECT model, r, coalesce(sum(w) FILTER (cell = 'tp'), 0) AS tp, coalesce(sum(w) FILTER (cell = 'fp'), 0) AS fp,
   coalesce(sum(w) FILTER (cell = 'tn'), 0) AS tn, coalesce(sum(w) FILTER (cell = 'fn'), 0) AS fn FROM ldrawn GROUP BY model, r),
 lboot AS ({label_sql('model, r', '(SELECT * FROM lconf WHERE tp + fn > 0 AND tn + fp > 0)')}),
@@ -295,11 +299,11 @@ _RANK_CI = " UNION ALL ".join(
 
 
 @query("ev16_metric_ci_table", f"""
-WITH {SCORES_SQL}, {BOOT_RANK_SQL}, {rank_sql('pt', 'model')}, {LABEL_BOOT_SQL}
+WITH {SCORES_SQL}, {boot_rank_sql(PAIRED_DRAWS)}, {rank_sql('pt', 'model')}, {LABEL_BOOT_SQL}
 SELECT model, metric, round(point, 6) AS point, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n_resamples, 'poisson_cells' AS method
 FROM ({_RANK_CI} UNION ALL {_LABEL_CI})""")
 def ev16(spark, sf):
-    return round_all(bs.metric_ci_table(scores_long(spark, sf), ["model"], RESAMPLES, SEED), "point", "ci_low", "ci_high")
+    return round_all(bs.metric_ci_table(scores_long(spark, sf), ["model"], PAIRED_DRAWS, SEED), "point", "ci_low", "ci_high")
 
 
 BOARD = ["roc_auc", "pr_auc", "accuracy", "sensitivity", "specificity", "precision", "f1"]
@@ -335,7 +339,7 @@ SELECT stage, model, {r6('auc_a', 'auc_b', 'delta', 'p_value', 'p_holm', 'boot_d
   n_discordant, significant, boot_significant,
   CASE WHEN p_holm < 0.05 AND delta > 0 THEN 'significantly better' WHEN p_holm < 0.05 AND delta < 0 THEN 'significantly worse' ELSE 'no significant difference' END AS verdict FROM h2""")
 def ev18(spark, sf):
-    out = bs.compare_all(scores_long(spark, sf), "b", ["stage"], RESAMPLES, SEED)
+    out = bs.compare_all(scores_long(spark, sf), "b", ["stage"], PAIRED_DRAWS, SEED)
     cols = ("auc_a", "auc_b", "delta", "p_value", "p_holm", "boot_delta", "boot_ci_low", "boot_ci_high", "boot_p", "boot_pr_delta", "boot_pr_p", "boot_p_holm", "mcnemar_p")
     return round_all(out, *cols).select("stage", "model", *cols, "n_discordant", "significant", "boot_significant", "verdict")
 

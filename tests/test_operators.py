@@ -101,6 +101,77 @@ def test_bootstrap_moments(spark):
     assert rows(again, "model", "metric") == sorted((tuple(x) for x in r), key=lambda t: t[:2])
 
 
+def boot_by_hand(cells, resamples, side):
+    """Both ranking metrics per draw (column 0: the table itself) of (score, y, count, w0, w1) cells, one score after the other."""
+    from lynceus.functions.draws import poisson
+
+    c, y = np.array([x[2] for x in cells]), np.array([x[1] for x in cells])
+    w = np.column_stack([c, poisson(c, np.array([x[3] for x in cells]), np.array([x[4] for x in cells]), resamples)])
+    score = np.array([x[0][side] for x in cells])
+    tp = fp = np.zeros(resamples + 1)
+    area = ap = np.zeros(resamples + 1)
+    for s in np.unique(score)[::-1]:
+        p, n = w[(score == s) & (y == 1)].sum(0), w[(score == s) & (y == 0)].sum(0)
+        area = area + n * (tp + p / 2)
+        tp, fp = tp + p, fp + n
+        ap = ap + p * tp / np.maximum(tp + fp, 1)
+    ok = (tp > 0) & (fp > 0)
+    return {int(r) - 1: (area[r] / (tp[r] * fp[r]), ap[r] / tp[r]) for r in np.flatnonzero(ok)}
+
+
+@pytest.mark.parametrize("hot, rows", [(100_000, 256), (3, 5)])
+def test_resampled_ranking_equals_numpy(spark, monkeypatch, hot, rows):
+    """2000 draws over tied, hot and close scores, with a null group and groups of one class."""
+    monkeypatch.setattr(bs, "HOT", hot)
+    monkeypatch.setattr(bs, "ROWS", rows)
+    rng = np.random.default_rng(5)
+    data = [(g, int(rng.random() < 0.4), float(rng.choice([0.5, 0.25, 0.1 + 1e-16, round(rng.random(), 3)])), float(round(rng.random(), 1)), int(rng.choice([1, 1, 2, 40, 3000])))
+            for g in (None, "a", "b") for _ in range(60)] + [("one", 1, 0.5, 0.5, 3)]
+    pairs = spark.createDataFrame(data, "g string, y int, pa double, pb double, cnt long")
+    got = bs.paired_draws(pairs, ["g"], 2000, 7)
+    cells = pairs.groupBy("g", "y", "pa", "pb").agg(F.sum("cnt").alias("cnt"))
+    words = [bs.hash_word(F.lit(7), F.col("g"), F.col("y"), bs.score_key(F.col("pa")), bs.score_key(F.col("pb")), word=i).alias(f"w{i}") for i in (0, 1)]
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.g, {})[r.r] = (r.roc_auc, r.pr_auc)
+    rows = cells.select("*", *words).collect()
+    assert "one" not in found and len(found) == 3
+    for g in (None, "a", "b"):
+        of = [((r.pa, r.pb), r.y, r.cnt, r.w0, r.w1) for r in rows if r.g == g]
+        a, b = boot_by_hand(of, 2000, 0), boot_by_hand(of, 2000, 1)
+        assert set(found[g]) == set(a)
+        for r in a:
+            assert found[g][r] == pytest.approx((a[r][0] - b[r][0], a[r][1] - b[r][1]), abs=1e-12)
+
+
+def test_poisson_draws_follow_one_formula():
+    from lynceus.functions.draws import poisson, poisson_table
+
+    for n in (1, 2, 30, 31, 1000, 10**6, 10**9):
+        low, limits = poisson_table(n)
+        assert np.all(np.diff(limits.astype(np.int64)) >= 0)
+        x = poisson(np.array([n]), np.array([12345]), np.array([n % 2**32]), 20_000)[0]
+        assert abs(x.mean() - n) < 5 * np.sqrt(n / 20_000) and abs(x.var() / n - 1) < 0.06
+    assert poisson_table(1)[1][:3].tolist() == [int(2**32 * np.exp(-1)), int(2**32 * 2 * np.exp(-1)), int(2**32 * 2.5 * np.exp(-1))]
+
+
+def test_ranks_shuffle_the_rows_once(spark):
+    from lynceus.operators.ranking import hash_rank
+
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        df = spark.range(100).withColumn("y", F.when(F.col("id") % 3 > 0, F.col("id") % 3)).withColumn("pay", F.lit("load").substr(F.lit(1), F.col("id").cast("int")))
+        plan = hash_rank(df, "id", ["y"], 7)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    lines = plan.split("\n")
+    moved = [line for at, line in enumerate(lines) if "Exchange" in line and "pay#" in lines[at + 1]]
+    assert len(moved) == 1
+
+
 def test_paired_bootstrap_identical(spark):
     p = cp.wide_pair(scores_wide(spark, SF), "a", "a", ["stage"])
     for r in bs.paired_bootstrap(p, ["stage"], 50).collect():
