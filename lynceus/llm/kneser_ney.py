@@ -23,6 +23,8 @@ BLOCK_BYTES = 8 << 20
 SCORED_BYTES = 1 << 20
 #: Trusted ids up to which they are broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 4_000_000
+#: Languages up to which their means and thresholds are broadcast; beyond it the joins shuffle.
+BROADCAST_LANGS = 50_000
 #: Scores are compared at this resolution (bits per symbol) when quantiles are read off their counts.
 BIN = 0.002
 #: A text's score counts this many symbols at its language's trusted mean besides its own: few symbols prove little.
@@ -121,9 +123,10 @@ class KneserNey:
 
 
 def _blocks(batches, pid: int):
-    number = 0
-    for ids, texts in text_slices(batches, BLOCK_BYTES):
-        yield f"{pid}-{number}", ids, texts
+    """(block, keys, texts); a block's number tells its task and its place there."""
+    number = pid << 32
+    for keys, texts in text_slices(batches, BLOCK_BYTES):
+        yield number, keys, texts
         number += 1
 
 
@@ -133,35 +136,39 @@ def _partition() -> int:
     return TaskContext.get().partitionId()
 
 
-def bits_per_symbol(docs: DataFrame, model: KneserNey, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_symbols, bits) of every row; ``docs`` must be a stored table, as it is read twice in the same blocks."""
+def bits_per_symbol(docs: DataFrame, model: KneserNey, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, lang, n_symbols, bits) of every row; ``docs`` must be a stored table, as it is read twice in the same blocks.
+
+    Id and language travel with the text they belong to, so rows that share an id keep their own. A null language is ``und``.
+    """
     ready(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType
+    key = F.struct(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
+    rows = docs.select(key.alias("key"), F.col(text_col).alias("text"))
 
     def ask(batches):
         for block, _, texts in _blocks(batches, _partition()):
             found = np.zeros(0, np.uint32)
-            step = max(1, len(texts) // 4)
+            step = max(1, len(texts) // 8)
             for i in range(0, len(texts), step):
                 found = np.union1d(found, np.unique(packed(texts[i : i + step])[0]))
             for i in range(0, len(found), 10_000):
                 part = found[i : i + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part)), pa.array(part.astype(np.int64))], ["block", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(part.astype(np.int64))], ["block", "gram"])
 
     def pack(batches):
-        for block, ids, texts in _blocks(batches, _partition()):
+        for block, keys, texts in _blocks(batches, _partition()):
             sink = pa.BufferOutputStream()
-            body = pa.record_batch({"id": pa.array(ids), "text": pa.array(texts, pa.large_string())})
+            body = pa.record_batch({"key": pa.array(keys, key_type), "text": pa.array(texts, pa.large_string())})
             with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(body)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "body"])
 
     def score(bodies: pa.Table, answers: pa.Table) -> pa.Table:
         grams, logp = answers["gram"].to_numpy(), answers["logp"].to_numpy()
         order = np.argsort(grams)
         grams, logp = grams[order].astype(np.uint32), logp[order]
-        ids, sizes, bits = [], [], []
+        keys, sizes, bits = [], [np.zeros(0, np.int64)], [np.zeros(0)]
         for body in bodies["body"]:
             table = pa.ipc.open_stream(body.as_py()).read_all()
             for part, texts in text_slices(table.to_batches(), SCORED_BYTES):
@@ -169,19 +176,19 @@ def bits_per_symbol(docs: DataFrame, model: KneserNey, id_col: str, text_col: st
                 at = np.minimum(np.searchsorted(grams, asked), max(len(grams) - 1, 0))
                 if not len(grams) or (grams[at] != asked).any():
                     raise RuntimeError("the documents changed between two reads: store them first")
-                ids += part
+                keys += part
                 sizes.append(np.diff(np.concatenate((starts, [len(asked)]))))
                 bits.append(-np.add.reduceat(logp[at], starts))
-        if not ids:
-            return pa.table({"id": pa.array([], id_type), "n_symbols": pa.array([], pa.int64()), "bits": pa.array([], pa.float64())})
-        return pa.table({"id": pa.array(ids, id_type), "n_symbols": np.concatenate(sizes).astype(np.int64), "bits": np.concatenate(bits)})
+        return pa.table({
+            "id": pa.array([k["id"] for k in keys], key_type.field("id").type), "lang": pa.array([k["lang"] for k in keys], pa.string()),
+            "n_symbols": np.concatenate(sizes).astype(np.int64), "bits": np.concatenate(bits)})
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    id_type = to_arrow_type(docs.schema[id_col].dataType)
-    answers = model.answer(rows.mapInArrow(ask, "block string, gram long"))
-    bodies = rows.mapInArrow(pack, "block string, body binary")
-    return bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind}, n_symbols long, bits double")
+    key_type = pa.struct([("id", to_arrow_type(kind)), ("lang", pa.string())])
+    answers = model.answer(rows.mapInArrow(ask, "block long, gram long"))
+    bodies = rows.mapInArrow(pack, "block long, body binary")
+    return bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"id {kind.simpleString()}, lang string, n_symbols long, bits double")
 
 
 def quantiles(scores: DataFrame, q: float) -> DataFrame:
@@ -208,21 +215,19 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, q: float = 0.98, margin:
     apart = fold_of(F.col("__trusted")) == 3
     text = docs.join(side.where(~apart), F.col(id_col) == F.col("__trusted"), "left_semi").where(F.length(text_col) > 0)
     counts = stored(gram_counts(text.select(id_col, text_col)), "counts")
-    bits = stored(bits_per_symbol(docs, KneserNey.fit(counts), id_col, text_col), "bits")
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(lang_col, F.lit("und")).alias("lang"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"))
-    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("size", "lang")))
-    scored = bits.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("n_symbols", "bits")))
-    joined = stored(own.join(scored, own.id.eqNullSafe(scored.id) & (own.nth == scored.nth)).select(own.id, "lang", "n_symbols", "bits"), "scores")
+    joined = stored(bits_per_symbol(docs, KneserNey.fit(counts), id_col, text_col, lang_col), "scores")
     good = joined.join(side.where(apart), F.col("id") == F.col("__trusted"), "left_semi").where("n_symbols > 1")
     sums = good.groupBy(F.col("lang").alias("__lang")).agg(F.sum("bits").alias("b"), F.sum("n_symbols").alias("n"))
     mean = F.coalesce(F.col("b") / F.col("n"), F.lit(0.0))
     score = (F.col("bits") + PRIOR_SYMBOLS * mean) / (F.col("n_symbols") + PRIOR_SYMBOLS)
-    graded = joined.join(sums, F.col("lang") == F.col("__lang"), "left").withColumn("score", score).drop("b", "n", "__lang")
+    sums = stored(sums, "languages")
+    few = (lambda t: F.broadcast(t)) if sums.count() <= BROADCAST_LANGS else (lambda t: t)
+    graded = joined.join(few(sums), F.col("lang") == F.col("__lang"), "left").withColumn("score", score).drop("b", "n", "__lang")
     learned = graded.join(side.where(apart), F.col("id") == F.col("__trusted"), "left_semi").where("n_symbols > 1")
     cuts = quantiles(learned, q).select(F.col("lang").alias("__lang"), F.col("threshold").alias("own_cut"))
     cut = F.col("own_cut") * (1 + margin)
     empty = F.col("n_symbols") <= 1
-    out = graded.join(cuts, F.col("lang") == F.col("__lang"), "left").withColumns({
+    out = graded.join(few(cuts), F.col("lang") == F.col("__lang"), "left").withColumns({
         "threshold": cut, "score": F.when(empty, 0.0).otherwise(F.col("score")),
         "own": F.when(empty, 0.0).otherwise(F.col("bits") / F.col("n_symbols"))})
     return out.select(

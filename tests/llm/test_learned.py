@@ -58,7 +58,7 @@ def test_perplexity_by_brute_force(spark, docs_of):
     texts = [" ".join(rnd.choice(["the", "cat", "sät", "on", "mat", "dog"]) for _ in range(rnd.randint(1, 30))) for _ in range(40)]
     asked = texts[:5] + ["zebra!! 世", "", "THE CAT", "the " * 3000]
     model = kn.KneserNey.fit(stored(kn.gram_counts(docs_of(enumerate(texts)).select("doc_id", "text")), "counts"))
-    got = {r.id: (r.n_symbols, r.bits) for r in kn.bits_per_symbol(stored(docs_of(enumerate(asked)), "docs"), model, "doc_id", "text").collect()}
+    got = {r.id: (r.n_symbols, r.bits) for r in kn.bits_per_symbol(stored(docs_of(enumerate(asked)), "docs"), model, "doc_id", "text", "lang").collect()}
     p = plain_model(texts)
     for i, t in enumerate(asked):
         s = bytes([kn.START]) * (kn.ORDER - 1) + t.encode() + bytes([kn.END])
@@ -81,6 +81,19 @@ def test_quality_edges(spark, docs_of):
     assert kn.quality_scores(stored(docs_of([]), "docs"), spark.createDataFrame([(1,)], "x long")).collect() == []
 
 
+def test_rows_that_share_an_id_keep_their_own_language(spark, docs_of):
+    """Equal sizes, one id, two languages: fluent text in one and junk in the other are judged each by its own."""
+    good = [(i, f"the cat sat on the mat and dog {i % 7} ran far away", lang, "s") for i in range(80) for lang in [("zz", "aa")[i % 2]]]
+    fluent, junk = "the cat sat on the mat and dog 3 ran far away", "q#x@z!w%v^k&j*p~b|y{f}u[m]n;t:c,l<e>o?i$QZXJK"
+    assert len(fluent) == len(junk)
+    rows = [*good, (900, fluent, "zz", "s"), (900, junk, "aa", "s"), (None, junk, "zz", "s"), (None, fluent, None, "s")]
+    got = kn.quality_scores(stored(docs_of(rows), "docs"), spark.createDataFrame([(i,) for i in range(80)], "x long")).where("doc_id = 900 or doc_id is null").collect()
+    by = {(r.doc_id, r.lang): r for r in got}
+    assert set(by) == {(900, "zz"), (900, "aa"), (None, "zz"), (None, "und")}
+    assert by[900, "zz"].kept and not by[900, "aa"].kept and by[900, "zz"].bits_per_symbol < 2 < by[900, "aa"].bits_per_symbol
+    assert not by[None, "zz"].kept and by[None, "und"].kept
+
+
 # ---- mixing --------------------------------------------------------------------------------------
 
 
