@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lynceus.session import new_table_path, ship_package
 
 #: Bytes of text handled at once inside a task.
 SLICE_BYTES = 4 << 20
+#: Bytes of rows sent to a Python worker at once (or one longer row).
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +43,8 @@ def text_slices(batches: Iterable, limit: int = SLICE_BYTES) -> Iterator[tuple[l
             size += len(t)
         if texts:
             yield ids, texts
+    # a worker outlives its task: what the pools hold would be missing in the stages after it
+    pa.default_memory_pool().release_unused()
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -55,7 +60,9 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def ready(spark: SparkSession) -> SparkSession:
+    """Ships the package and bounds Arrow batches by bytes: whole texts differ in length by orders of magnitude."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

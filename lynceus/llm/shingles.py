@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 SHINGLE = 5
+#: Bytes of text hashed at once.
+PORTION = 1 << 19
 _RNG = np.random.default_rng(0x5EED)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -24,9 +28,25 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _portions(parts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of texts of about PORTION bytes: hashing takes some forty bytes of memory for each."""
+    at = size = 0
+    for i, p in enumerate(parts):
+        size += len(p)
+        if size >= PORTION:
+            yield parts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(parts) or not parts:
+        yield parts[at:]
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, words per text); A-Z are lower-cased, words end at space, tab and line breaks."""
-    parts = [t.encode("utf-8", "replace") for t in texts]
+    found = [_word_hashes(p) for p in _portions([t.encode("utf-8", "replace") for t in texts])]
+    return np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])
+
+
+def _word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
