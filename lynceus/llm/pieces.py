@@ -6,7 +6,9 @@ import os
 import struct
 import zlib
 from dataclasses import dataclass, field
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -131,15 +133,53 @@ class PieceModel:
         return tok
 
 
+class PieceBytes:
+    """Decoding of whole id arrays at once: the bytes of every piece in one table, gathered by offsets.
+
+    Stands for the pipeline's decoder on ids of plain pieces and byte pieces; it knows nothing of other kinds, nor of
+    bytes that are no text, and leaves those to the decoder.
+    """
+
+    def __init__(self, model: PieceModel):
+        plain = [self._bytes(p, kind) for p, _, kind in model.pieces]
+        self.known = np.array([b is not None for b in plain])
+        parts = [b or b"" for b in plain]
+        self.sizes = np.array([len(b) for b in parts], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.table = np.frombuffer(b"".join(parts), np.uint8)
+        self.strip = model.dummy_prefix
+
+    @staticmethod
+    def _bytes(piece: str, kind: int) -> bytes | None:
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        return piece.replace(MARK, " ").encode() if kind in (NORMAL, USER) else None
+
+    def same(self, flat: np.ndarray, counts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Whether each run of ids is seen to decode to its text; false where it does not or cannot be told here."""
+        sizes = self.sizes[flat]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(self.begins[flat], sizes)
+        data = self.table[at].tobytes()
+        bound = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        odd = np.concatenate(([0], np.cumsum(~self.known[flat])))[np.concatenate(([0], np.cumsum(counts)))]
+        out = np.zeros(len(texts), bool)
+        for i, text in enumerate(texts):
+            got = data[bound[i] : bound[i + 1]]
+            out[i] = odd[i] == odd[i + 1] and (got[1:] if self.strip and got[:1] == b" " else got) == text
+        return out
+
+
 _loaded: dict[str, tuple] = {}
 
 
 def backend(path: str):
-    """(tokenizers pipeline, reference processor) of a model file, once per Python worker."""
+    """(tokenizers pipeline, reference processor, piece bytes) of a model file, once per Python worker."""
     if path not in _loaded:
         import sentencepiece
 
-        _loaded[path] = (PieceModel.load(path).tokenizer(), sentencepiece.SentencePieceProcessor(model_file=path))
+        model = PieceModel.load(path)
+        _loaded[path] = (model.tokenizer(), sentencepiece.SentencePieceProcessor(model_file=path), PieceBytes(model))
     return _loaded[path]
 
 
@@ -171,16 +211,22 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        tok, reference = backend(path)
+        tok, reference, plain = backend(path)
         for batch in batches:
             for ids, texts in text_slices([batch], 1 << 20):
                 clean = [t.encode("utf-8", "replace").decode("utf-8") for t in texts]
                 got, parity = encoded(tok, reference, clean, threads, verify)
-                back = tok.decode_batch(got, skip_special_tokens=False)
+                # one flat array and offsets: building a list array from nested lists costs more than the encoding
+                sizes = np.array([len(g) for g in got], np.int64)
+                flat = np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum()))
+                pieces = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
+                same = plain.same(flat, sizes, [t.encode("utf-8") for t in clean])
+                rest = np.flatnonzero(~same).tolist()  # the decoder itself decides on what the table cannot tell
+                for i, back in zip(rest, tok.decode_batch([got[i] for i in rest], skip_special_tokens=False) if rest else []):
+                    same[i] = back == texts[i]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, batch.schema.field(0).type), pa.array([len(g) for g in got], pa.int64()),
-                    pa.array(got, pa.list_(pa.int32())), pa.array(parity, pa.bool_()),
-                    pa.array([b == t for b, t in zip(back, texts)], pa.bool_())], ["id", "n_pieces", "piece_ids", "parity", "round_trip"])
+                    pa.array(ids, batch.schema.field(0).type), pa.array(sizes), pieces, pa.array(parity, pa.bool_()),
+                    pa.array(same)], ["id", "n_pieces", "piece_ids", "parity", "round_trip"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, f"id {kind}, n_pieces long, piece_ids array<int>, parity boolean, round_trip boolean")
@@ -193,7 +239,7 @@ def decode_pieces(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        tok, _ = backend(path)
+        tok, _, _ = backend(path)
         for batch in batches:
             texts = tok.decode_batch([x or [] for x in batch.column(1).to_pylist()], skip_special_tokens=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])

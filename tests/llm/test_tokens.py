@@ -111,3 +111,20 @@ def test_every_text_is_verified_and_repaired(spark, docs_of, vocab):
     texts = ["Hello world", "", "one two three"]
     ids, parity = encoded(model.tokenizer(), ref, texts, threads=1, verify=1)
     assert ids == ref.encode(texts) and parity == [False, True, False]
+
+
+def test_piece_bytes_agree_with_the_decoder(vocab):
+    import numpy as np
+
+    from lynceus.llm.pieces import PieceBytes
+
+    model = PieceModel.load(vocab("piece_bpe_32k.model"))
+    tok, plain = model.tokenizer(), PieceBytes(model)
+    rnd = random.Random(4)
+    texts = EDGES + ["".join(rnd.choice("abcé 's1!Ω \n世tthe'  ▁👩") for _ in range(rnd.randint(0, 300))) for _ in range(200)]
+    ids = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    ids[3] = ids[3][:-1]  # one that does not decode to its text
+    ids[5] = [0, 1, 2]  # kinds the table does not know
+    got = plain.same(np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids]), [t.encode() for t in texts])
+    back = [b == t for b, t in zip(tok.decode_batch(ids, skip_special_tokens=False), texts)]
+    assert all(b or not g for g, b in zip(got, back)) and sum(got) == sum(back) and not got[3] and not got[5]
