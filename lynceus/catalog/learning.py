@@ -10,20 +10,21 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from lynceus.catalog import query
-from lynceus.catalog.evaluation import SCORES_SQL, rank_sql, round_all
+from lynceus.catalog.evaluation import SCORES_SQL, delong_sql, holm_sql, rank_sql, round_all
 from lynceus.catalog.features import SPLIT_SQL, noise_sql, train_test
 from lynceus.catalog.quality import VITALS_SQL, vitals
 from lynceus.catalog.sampling import RANKED_SQL
-from lynceus.operators import compare as cp, evaluate as ev, models as ml
+from lynceus.operators import evaluate as ev, gate, models as ml, staged
 from lynceus.operators.derive import FeatureGroups
 from lynceus.operators.sampling import assign_folds
 from lynceus.plans.config import FeatureConfig
-from lynceus.plans.roles import COHORT_SQL, cohort, scores_long, vectors
-from lynceus.session import stored
+from lynceus.plans.roles import COHORT_SQL, cohort, scores_long, scores_wide, vectors
+from lynceus.session import new_table_path, stored
 
 GROUPS = FeatureGroups(continuous=("price", "known_bal", "order_day"), ordinal=("priority",), nominal=("segment",))
 CFG = FeatureConfig(selector="f_classif", k_best=6)
-K = 3
+K = 5
+SEEDS = gate.STABILITY_SEEDS
 
 
 def prep(space: str = "classical") -> ml.FeaturePrep:
@@ -63,6 +64,16 @@ def ml3(spark, sf):
     return _holdout_scores(spark, sf, lambda t: ml.boosted(8, 3, 0.1, 0.8))
 
 
+@query("ml3_staged")
+def ml3s(spark, sf):
+    """Held-out metrics after 5, 10 and 20 trees of one ensemble."""
+    train, data = train_test(spark, sf)
+    stage = prep().fit(train)
+    trees = staged.trees_of(spark, ml.boosted(20, 3, 0.1, 0.8).fit(stage.transform(train)))
+    held = stage.transform(data.filter("split = 'test'")).select("id", "y", "features")
+    return round_all(staged.staged_metrics(held, trees, [5, 10, 20]), *ml.CV_METRICS, "brier")
+
+
 @query("ml4_rbf_svm")
 def ml4(spark, sf):
     train, data = train_test(spark, sf)
@@ -80,10 +91,20 @@ def ml5(spark, sf):
 @query("ml6_grid_search")
 def ml6(spark, sf):
     df = folded(spark, sf)
-    found = ml.grid_search(df, ml.logreg, ml.LOGREG_GRID, K, prep=prep())
+    found = ml.logistic_search(df, ml.LOGREG_GRID["C"], K, prep())
     return round_all(found.table, "mean", "std", "ci_low", "ci_high")
 
 
+@query("ml1_optimality", f"""
+WITH {RANKED_SQL}, f AS (SELECT y, CAST((r - 1) % {K} AS INTEGER) AS fold FROM ranked)
+SELECT h.fold, p.C, count(*) AS n, round(avg(y), 6) AS mean_score FROM f JOIN (SELECT DISTINCT fold FROM f) h ON f.fold <> h.fold,
+  unnest({ml.LOGREG_GRID['C']}::DOUBLE[]) p(C) GROUP BY ALL""")
+def ml1o(spark, sf):
+    """All points and folds of the grid: at the optimum the mean training score is the label rate."""
+    Cs = ml.LOGREG_GRID["C"]
+    return round_all(ml.training_means(ml.logistic_folds([folded(spark, sf)], prep(), K, Cs), Cs), "mean_score")
+
+
 @query("ml7_class_weights", f"""
 WITH {COHORT_SQL} SELECT id, y, round(count(*) OVER () / (2.0::DOUBLE * count(*) OVER (PARTITION BY y)), 9) AS weight FROM cohort""")
 def ml7(spark, sf):
@@ -155,8 +176,7 @@ def ml11(spark, sf):
 
 @query("ml12_seed_stability")
 def ml12(spark, sf):
-    c = cohort(spark, sf)
-    return round_all(ml.seed_stability(c, {"logreg": _fit_logreg()}, K, [7, 42]), "mean", "std")
+    return round_all(ml.logistic_stability(cohort(spark, sf), prep(), 1.0, K, SEEDS), "mean", "std", "min", "max")
 
 
 @query("ml13_score_table")
@@ -199,20 +219,34 @@ def ml16(spark, sf):
     return round_all(ml.permutation_importance(held, _fit_boosted()(train), ["price", "known_bal", "order_day"]), "importance")
 
 
+_PARTIAL = lambda x: f"(corr(y, {x}) - corr(y, a) * corr({x}, a)) / sqrt((1 - corr(y, a) * corr(y, a)) * (1 - corr({x}, a) * corr({x}, a)))"
+
+
 @query("ml17_acceptance_gate", f"""
-WITH {SCORES_SQL}, {rank_sql('m', 'fold, model')},
-p AS (SELECT fold, max(roc_auc) FILTER (model = 'a') AS b, max(roc_auc) FILTER (model = 'c') AS s, max(roc_auc) FILTER (model = 'b') AS c FROM m GROUP BY fold),
-g AS (SELECT avg(b) AS base_mean, avg(s) AS stack_mean, avg(c) AS control_mean, stddev_pop(b) AS base_std, count_if(s > b)::BIGINT AS folds_won, count(*) AS n_folds FROM p),
+WITH {SCORES_SQL}, cv AS (SELECT * FROM scores WHERE stage <> 'C'),
+seeded AS (SELECT l.id, l.y, l.model, l.proba, seed, CAST('0x' || substr(md5(seed || ':' || id), 1, 8) AS BIGINT) % {K} AS fold
+  FROM long l, unnest({SEEDS}) t(seed) WHERE stage <> 'C'),
+{rank_sql('m', 'seed, fold, model', 'seeded')},
+p AS (SELECT seed, fold, max(roc_auc) FILTER (model = 'a') AS b, max(roc_auc) FILTER (model = 'c') AS s, max(roc_auc) FILTER (model = 'b') AS c FROM m GROUP BY seed, fold),
+g AS (SELECT seed, avg(b) AS base_mean, avg(s) AS stack_mean, avg(c) AS control_mean, stddev_pop(b) AS base_std, count_if(s > b)::BIGINT AS folds_won, count(*) AS n_folds FROM p GROUP BY seed),
 q AS (SELECT *, stack_mean > base_mean AS beats_base, folds_won >= n_folds - 1 AS fold_consistent, stack_mean > control_mean AS beats_control,
-  stack_mean > base_mean + base_std AS material_gain, stack_mean - base_mean AS delta_base, stack_mean - control_mean AS delta_control FROM g)
-SELECT round(base_mean, 6) AS base_mean, round(stack_mean, 6) AS stack_mean, round(control_mean, 6) AS control_mean, round(base_std, 6) AS base_std, folds_won, n_folds,
-  beats_base, fold_consistent, beats_control, material_gain, round(delta_base, 6) AS delta_base, round(delta_control, 6) AS delta_control,
-  beats_base AND fold_consistent AND beats_control AND material_gain AS gate_passed,
-  CASE WHEN beats_base AND fold_consistent AND beats_control AND material_gain THEN 'no_contribution' WHEN delta_base > 0.001 OR delta_control > 0.01 THEN 'complementary_only' ELSE 'no_contribution' END AS decision FROM q""")
+  stack_mean > base_mean + base_std AS material_gain, stack_mean - base_mean AS delta_base, stack_mean - control_mean AS delta_control FROM g),
+gates AS (SELECT *, beats_base AND fold_consistent AND beats_control AND material_gain AS gate_passed FROM q),
+st AS (SELECT count_if(gate_passed)::BIGINT AS seeds_passed, bool_and(gate_passed) AS earned FROM gates),
+gap AS (SELECT {_PARTIAL('c')} - {_PARTIAL('b')} AS partial_gap FROM cv),
+pairs AS (SELECT 1 AS one, o.model, o.id, o.y, o.proba AS pa, r.proba AS pb FROM long o JOIN long r ON o.id = r.id WHERE o.stage = 'C' AND o.model <> 'c' AND r.model = 'c'),
+{delong_sql('one, model', 'pairs')}, {holm_sql('h', 'delong', 'p_value', 'model')},
+held AS (SELECT bool_and(delta < 0) AND bool_or(model = 'a' AND significant) AS confirmed FROM h),
+d AS (SELECT * EXCLUDE (confirmed), CASE WHEN earned THEN confirmed END AS confirmed FROM gates, st, gap, held WHERE seed = {SEEDS[0]})
+SELECT {', '.join(f'round({c}, 6) AS {c}' for c in ('base_mean', 'stack_mean', 'control_mean', 'base_std', 'delta_base', 'delta_control', 'partial_gap'))},
+  folds_won, n_folds, beats_base, fold_consistent, beats_control, material_gain, gate_passed, seeds_passed, confirmed,
+  CASE WHEN earned AND confirmed THEN 'demonstrated' WHEN gate_passed THEN 'no_contribution' WHEN delta_base > 0.001 OR partial_gap > 0.01 THEN 'complementary_only' ELSE 'no_contribution' END AS decision FROM d""")
 def ml17(spark, sf):
-    gate = cp.acceptance_gate(ev.roc_auc(scores_long(spark, sf), ["fold", "model"]), base="a", stack="c", control="b")
-    gate = gate.withColumn("decision", cp.gate_decision(F.col("gate_passed"), F.lit(None).cast("boolean"), F.col("delta_base"), F.col("delta_control")))
-    return round_all(gate, "base_mean", "stack_mean", "control_mean", "base_std", "delta_base", "delta_control")
+    """Score a as base, c as stack and auxiliary score, b as control; the rows of stage C are the sealed hold-out."""
+    long, wide = stored(scores_long(spark, sf)), scores_wide(spark, sf)
+    seal = gate.HoldoutSeal(spark, new_table_path(spark, "seal"))
+    out = gate.accept(long.filter("stage <> 'C'"), long.filter("stage = 'C'"), wide.filter("stage <> 'C'"), "a", "c", "b", "c", seal, SEEDS, K)
+    return round_all(out, "base_mean", "stack_mean", "control_mean", "base_std", "delta_base", "delta_control", "partial_gap")
 
 
 @query("ml18_learning_curve")

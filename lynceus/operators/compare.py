@@ -208,15 +208,15 @@ def decide(comparisons: DataFrame, keys: list[str], control: str, baseline: str,
 
 
 def acceptance_gate(fold_auc: DataFrame, base: str, stack: str, control: str, fold: str = "fold",
-                    model: str = "model", value: str = "roc_auc") -> DataFrame:
-    """Four criteria of a stacked candidate against its base and a control, from fold metrics.
+                    model: str = "model", value: str = "roc_auc", keys: list[str] = ()) -> DataFrame:
+    """Four criteria of a stacked candidate against its base and a control, from fold metrics; one row per ``keys``.
 
     Better mean than the base, better than the control, a win on all folds but one, and a gain above
     one (population) deviation of the base over folds.
     """
     pick = lambda m: F.max(F.when(F.col(model) == m, F.col(value)))
-    per_fold = fold_auc.groupBy(fold).agg(pick(base).alias("b"), pick(stack).alias("s"), pick(control).alias("c"))
-    agg = per_fold.agg(
+    per_fold = fold_auc.groupBy(*keys, fold).agg(pick(base).alias("b"), pick(stack).alias("s"), pick(control).alias("c"))
+    agg = per_fold.groupBy(*keys).agg(
         F.avg("b").alias("base_mean"), F.avg("s").alias("stack_mean"), F.avg("c").alias("control_mean"),
         F.stddev_pop("b").alias("base_std"), count_where(F.col("s") > F.col("b")).alias("folds_won"),
         F.count(F.lit(1)).alias("n_folds"),

@@ -24,6 +24,7 @@ from lynceus.functions.hashing import gaussian, uniform
 from lynceus.operators import evaluate as ev, features as ft
 from lynceus.operators.derive import FeatureGroups
 from lynceus.operators.kernels import kernel_landmarks
+from lynceus.operators.newton import Problem, Solution, fit_many, score_many
 from lynceus.operators.ranking import hash_rank
 from lynceus.operators.sampling import assign_folds, nested_samples
 from lynceus.plans.config import FeatureConfig
@@ -252,6 +253,81 @@ def grid_search(df: DataFrame, build: Callable[..., Callable[[DataFrame], Transf
     return GridResult(table.join(names, "point"), best, final)
 
 
+# ---- many logistic models at once ----------------------------------------------------------------
+
+
+@dataclass
+class LogisticFolds:
+    """All problems (set, fold, C) of some folded tables, solved together, and their held-out scores."""
+
+    train: DataFrame
+    scores: DataFrame
+    problems: list[Problem]
+    solutions: list[Solution]
+    k: int
+
+    def place(self, j: int) -> tuple[int, int]:
+        """(set, fold) of a problem."""
+        return divmod(self.problems[j].fit, self.k)
+
+
+def logistic_folds(sets: list[DataFrame], prep: Estimator, k: int, Cs: list[float], fold: str = "fold", id_col: str = "id",
+                   y: str = "y", parallelism: int = 4) -> LogisticFolds:
+    """Logistic models of every set, held-out fold and C: one preparation per set and fold, one series of scans for all fits.
+
+    ``scores`` is long ``(set, id, y, fold, point, proba)``: every row of a set scored once per C (``point`` numbers
+    them), by models that never saw it.
+    """
+    sets = [stored(s) for s in sets]
+
+    def prepared(s: int, i: int):
+        stage = prep.fit(sets[s].filter(F.col(fold) != i))
+        rows = stage.transform(sets[s])
+        return rows.select(F.lit(s * k + i).alias("fit"), id_col, F.col(y).alias("y"), fold, vector_to_array("features").alias("features"))
+
+    places = [(s, i) for s in range(len(sets)) for i in range(k)]
+    rows = stored(_union(_parallel([(lambda p=p: prepared(*p)) for p in places], parallelism)))
+    held = F.col(fold) == F.col("fit") % k
+    problems = [Problem(s * k + i, float(c)) for s, i in places for c in Cs]
+    solutions = fit_many(rows.filter(~held), problems)
+    scored = score_many(rows.filter(held), problems, solutions, ["fit", id_col, "y", fold])
+    point = (F.col("problem") % len(Cs)).alias("point")
+    scores = stored(scored.select(F.floor(F.col("fit") / k).cast("int").alias("set"), id_col, "y", fold, point, "proba"))
+    return LogisticFolds(rows.filter(~held), scores, problems, solutions, k)
+
+
+def logistic_search(df: DataFrame, Cs: list[float], k: int, prep: Estimator, fold: str = "fold", y: str = "y") -> GridResult:
+    """``grid_search`` over the penalties of a logistic model, all points and folds in the same scans."""
+    df = stored(df)
+    found = logistic_folds([df], prep, k, Cs, fold, y=y)
+    long = ev.metrics_long(ev.all_metrics(found.scores, [fold, "point"]), [fold, "point"], CV_METRICS)
+    table = stored(ev.cv_summary(long, ["point", "metric"]))
+    auc = {r["point"]: r["mean"] for r in table.filter("metric = 'roc_auc'").collect()}
+    best = min(auc, key=lambda j: (-round(auc[j], 9), j))
+    names = df.sparkSession.createDataFrame([(j, str({"C": c})) for j, c in enumerate(Cs)], "point int, params string")
+    return GridResult(table.join(names, "point"), {"C": Cs[best]}, Pipeline(stages=[prep, logreg(Cs[best], y)]).fit(df))
+
+
+def logistic_stability(df: DataFrame, prep: Estimator, C: float, k: int, seeds: list[int], id_col: str = "id", y: str = "y") -> DataFrame:
+    """``seed_stability`` of a logistic model: the folds of all seeds are fitted in the same scans."""
+    found = logistic_folds([assign_folds(df, id_col, y, k, s) for s in seeds], prep, k, [C], id_col=id_col, y=y)
+    long = ev.metrics_long(ev.all_metrics(found.scores, ["set", "fold"]), ["set", "fold"], CV_METRICS)
+    per_seed = long.groupBy("set", "metric").agg(F.avg("value").alias("value"))
+    return per_seed.groupBy("metric").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.count(F.lit(1)).alias("n_seeds"))
+
+
+def training_means(found: LogisticFolds, Cs: list[float]) -> DataFrame:
+    """``(fold, C, n, mean_score)`` over the rows each model of the first set was fitted on.
+
+    The intercept is free, so at the optimum the mean score is the label rate of those rows, whatever the penalty.
+    """
+    scored = score_many(found.train.filter(F.col("fit") < found.k), found.problems, found.solutions, ["fit"])
+    C = F.element_at(F.array(*[F.lit(float(c)) for c in Cs]), F.col("problem") % len(Cs) + 1)
+    return scored.groupBy(F.col("fit").alias("fold"), C.alias("C")).agg(F.count(F.lit(1)).alias("n"), F.avg("proba").alias("mean_score"))
+
+
 def class_weights(df: DataFrame, y: str = "y", out: str = "weight") -> DataFrame:
     """Adds n / (2 n_class) per row, from class counts."""
     counts = {r[y]: r["count"] for r in df.groupBy(y).count().collect()}

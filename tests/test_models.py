@@ -114,3 +114,83 @@ def test_stream_equals_batch(spark):
     stream, batch = drained(spark, SF)
     assert stream.count() == batch.count() > 0
     assert stream.exceptAll(batch).count() == 0
+
+
+# ---- many models at once, the gate ----------------------------------------------------------------
+
+
+def test_grouped_newton_equals_mllib(spark, learnable):
+    """Every fold and penalty against a fit of its own; weights and a constant column included."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    from lynceus.operators import newton as nt
+
+    rows = learnable.select(F.col("fold").alias("fit"), "id", "y", (F.col("id") % 3 + 1).cast("double").alias("w"),
+                            F.array(F.col("price") / 1e5, F.col("priority").cast("double"), F.lit(2.0)).alias("features"))
+    problems = [nt.Problem(i, c) for i in range(3) for c in (1e-3, 1.0, 100.0)]
+    found = nt.fit_many(rows, problems, weight="w")
+    assert max(s.scans for s in found) <= 15
+    for j in (0, 4, 8):
+        part = rows.filter(F.col("fit") == problems[j].fit).withColumn("features", array_to_vector("features"))
+        n = part.agg(F.sum("w")).first()[0]
+        m = LogisticRegression(labelCol="y", weightCol="w", regParam=1 / (problems[j].C * n), standardization=False, maxIter=1000, tol=1e-13).fit(part)
+        assert list(found[j].coefficients) == pytest.approx(list(m.coefficients), abs=1e-5) and found[j].intercept == pytest.approx(m.intercept, abs=1e-4)
+    scored = nt.score_many(rows, problems, found, ["fit", "id"])
+    assert scored.count() == 3 * rows.count()
+    with pytest.raises(ValueError):
+        nt.fit_many(rows, [nt.Problem(77, 1.0)])
+
+
+def gate_case(spark, seal, gain, held_gain, seeds):
+    from lynceus.operators import gate
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n = 1500
+    y = rng.integers(0, 2, 2 * n)
+    edge = np.where(np.arange(2 * n) < n, gain, held_gain)
+    data = [(i, int(y[i]), *[float(v) for v in (y[i] + 2 * rng.normal(), y[i] * (1 + edge[i]) + 2 * rng.normal(), y[i] + 2 * rng.normal())]) for i in range(2 * n)]
+    wide = spark.createDataFrame(data, "id long, y int, a double, s double, c double").persist()
+    long = wide.select("id", "y", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("proba")) for m in "asc"])))
+    return gate.accept(long.filter(F.col("id") < n), long.filter(F.col("id") >= n), wide.filter(F.col("id") < n), "a", "s", "c", "s", seal, seeds, 5).first()
+
+
+def test_every_outcome_of_the_gate_and_one_look_at_the_holdout(spark, tmp_path):
+    from lynceus.operators import gate
+
+    seal = gate.HoldoutSeal(spark, f"file://{tmp_path}/seal")
+    weak = gate_case(spark, seal, 0.15, 0.0, [42, 7])
+    assert not weak.gate_passed and weak.confirmed is None and weak.partial_gap > 0.01 and weak.decision == "complementary_only"
+    none = gate_case(spark, seal, -0.5, 0.0, [42, 7])
+    assert none.decision == "no_contribution" and none.partial_gap < 0
+    strong = gate_case(spark, seal, 2.0, 2.0, [42, 7])
+    assert strong.gate_passed and strong.seeds_passed == 2 and strong.confirmed and strong.decision == "demonstrated"
+    with pytest.raises(gate.SealError):
+        gate_case(spark, seal, 2.0, 2.0, [42, 7])
+    fresh = gate.HoldoutSeal(spark, f"file://{tmp_path}/fresh")
+    lucky = gate_case(spark, fresh, 2.0, 0.0, [42, 7])
+    assert lucky.gate_passed and lucky.confirmed is False and lucky.decision == "no_contribution"
+    with pytest.raises(gate.SealError):
+        fresh.open(spark.range(5), earned=False)
+    assert not fresh.opened(spark.range(5))
+
+
+def test_staged_scores_equal_separate_fits(spark, learnable):
+    """The first trees of an ensemble score as an ensemble of that many trees, all stages in one scan."""
+    from lynceus.operators import staged
+
+    rows = prep().fit(learnable).transform(learnable).select("id", "y", "features").persist()
+    model = ml.boosted(6, 3, 0.1, 0.8).fit(rows)
+    trees = staged.trees_of(spark, model)
+    assert len(trees) == 6
+    got = staged.staged_scores(rows, trees, [2, 6], ["id", "y"])
+    for m, alone in ((6, model), (2, ml.boosted(2, 3, 0.1, 0.8).fit(rows))):
+        want = {r.id: r.proba for r in ml.score(alone, rows, ["id"]).collect()}
+        assert {r.id: r.proba for r in got.filter(F.col("stage") == m).collect()} == pytest.approx(want, abs=1e-12)
+    auc = {r["stage"]: r["roc_auc"] for r in staged.staged_metrics(rows, trees, [2, 6]).collect()}
+    whole = ev.roc_auc(ml.score(model, rows, ["id", "y"]).withColumn("m", F.lit(1)), ["m"]).first()["roc_auc"]
+    assert auc[6] == pytest.approx(whole) and set(auc) == {2, 6}
+    with pytest.raises(ValueError):
+        staged.staged_scores(rows, trees, [7], ["id"])
