@@ -79,6 +79,33 @@ def ft6(spark, sf):
     return ft.fit_onehot(c, ["segment"]).transform(c, keep=["id"])
 
 
+LEVEL_COLS = ["segment", "nation", "order_key"]
+LEVELS_SQL = f"""{COHORT_SQL}, wide AS (SELECT *, id AS order_key FROM cohort),
+lv AS ({' UNION ALL '.join(f"SELECT {i} AS c, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, {c} = (SELECT min({c}) FROM wide) AS least, id FROM wide" for i, c in enumerate(LEVEL_COLS))}),
+counts AS (SELECT c, column_name, value, least, count(*) AS n FROM lv GROUP BY ALL),
+dict AS (SELECT column_name, value, n, CASE WHEN NOT least THEN CAST(row_number() OVER (PARTITION BY least
+    ORDER BY c, CAST('0x' || substr(md5(value), 1, 8) AS BIGINT) % {ft.LEVEL_BUCKETS}, value) - 1 AS BIGINT) END AS place FROM counts)"""
+
+
+def levelled(spark, sf):
+    """Two columns with few levels and one with a level per row."""
+    return cohort(spark, sf).withColumn("order_key", F.col("id"))
+
+
+@query("ft6_level_dictionary", f"WITH {LEVELS_SQL} SELECT column_name, value, n, place FROM dict")
+def ft6d(spark, sf):
+    return ft.level_dictionary(levelled(spark, sf), LEVEL_COLS)
+
+
+@query("ft6_sparse_levels", f"""
+WITH {LEVELS_SQL}, e AS (SELECT lv.id, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS places FROM lv JOIN dict USING (column_name, value) GROUP BY lv.id)
+SELECT id, coalesce(places, '') AS places FROM cohort LEFT JOIN e USING (id)""")
+def ft6s(spark, sf):
+    c = stored(levelled(spark, sf))
+    places = ft.encode_levels(c, LEVEL_COLS, stored(ft.level_dictionary(c, LEVEL_COLS)), c.count())
+    return places.select("id", F.array_join("places", ",").alias("places"))
+
+
 PREP_SQL = f"""{SPLIT_SQL},
 med AS (SELECT quantile_cont(price, 0.5) AS price, quantile_cont(known_bal, 0.5) AS known_bal, quantile_cont(order_day::DOUBLE, 0.5) AS order_day FROM train),
 filled AS (SELECT id, y, split, coalesce(d.price, med.price) AS price, coalesce(d.known_bal, med.known_bal) AS known_bal,

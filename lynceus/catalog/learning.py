@@ -74,20 +74,63 @@ def ml3s(spark, sf):
     return round_all(staged.staged_metrics(held, trees, [5, 10, 20]), *ml.CV_METRICS, "brier")
 
 
+def rbf_svm():
+    return ml.RbfSvm(GROUPS, ml.SVM_GRID["C"], ml.SVM_GRID["gamma"], cfg=CFG, k=K)
+
+
+def landmark_classifier():
+    return ml.LandmarkClassifier(64, ml.KERNEL_GRID["C"], k=K)
+
+
+def labelled_vectors(spark, sf):
+    return assign_folds(vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("int")), "id", "y", K, 42)
+
+
 @query("ml4_rbf_svm")
 def ml4(spark, sf):
+    """Held-out probabilities of the best of 16 points, searched over five folds of the training rows."""
     train, data = train_test(spark, sf)
-    model = ml.RbfSvm(GROUPS, C=1.0, width=16, cfg=CFG).fit(train)
-    return round_all(ml.score(model, data.filter("split = 'test'"), ["id", "y"]), "proba")
+    return round_all(ml.score(rbf_svm().fit(train), data.filter("split = 'test'"), ["id", "y"]), "proba")
+
+
+@query("ml4_grid")
+def ml4g(spark, sf):
+    return round_all(rbf_svm().search(folded(spark, sf)).table, "mean", "std", "ci_low", "ci_high")
+
+
+def calibration_sql(ranked):
+    """Mean of the smoothed labels a sigmoid is fitted on, without each fold (and without none, numbered K)."""
+    return f"""
+WITH {ranked}, f AS (SELECT y, CAST((r - 1) % {K} AS INTEGER) AS fold FROM ranked),
+c AS (SELECT CAST(h.without AS INTEGER) AS without, sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n0 FROM f JOIN range({K + 1}) h(without) ON f.fold <> h.without GROUP BY ALL)
+SELECT without, (n1 + n0)::BIGINT AS n, round((n1 * (n1 + 1) / (n1 + 2) + n0 / (n0 + 2)) / (n1 + n0), 6) AS mean_proba FROM c"""
+
+
+def mean_calibrated(found):
+    """A sigmoid has a free shift, so its mean over the margins it was fitted on is the mean of their smoothed labels."""
+    c = found.calibration
+    by_fit = [*c.crossed, c.final]
+    scored = type(c)(by_fit, c.final, c.rows).probabilities(c.rows, "fit")
+    return round_all(scored.groupBy(F.col("fit").alias("without")).agg(F.count(F.lit(1)).alias("n"), F.avg("proba").alias("mean_proba")), "mean_proba")
+
+
+@query("ml4_calibration", calibration_sql(RANKED_SQL))
+def ml4c(spark, sf):
+    return mean_calibrated(rbf_svm().search(folded(spark, sf)))
 
 
 @query("ml5_landmark_classifier")
 def ml5(spark, sf):
-    v = assign_folds(vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("int")), "id", "y", K, 42)
-    model = ml.LandmarkClassifier(32).fit(v.filter("fold <> 0"))
+    v = labelled_vectors(spark, sf)
+    model = landmark_classifier().fit(v.filter("fold <> 0"))
     return round_all(ml.score(model, v.filter("fold = 0"), ["id", "y"]), "proba")
 
 
+@query("ml5_grid")
+def ml5g(spark, sf):
+    return round_all(landmark_classifier().search(labelled_vectors(spark, sf)).table, "mean", "std", "ci_low", "ci_high")
+
+
 @query("ml6_grid_search")
 def ml6(spark, sf):
     df = folded(spark, sf)

@@ -178,3 +178,15 @@ def sp15t(spark, sf):
     return sp.shared_values(
         s.filter("stage = 'A'").select("id", "a", "b"), s.filter("stage = 'B'"), ["a", "b"], tol=0.0001
     )
+
+
+@query("sp15_shared_values_relative", f"""
+WITH {SCORES_SQL}
+SELECT DISTINCT s.id, s.a, s.b FROM scores s
+WHERE s.stage = 'A' AND EXISTS (
+  SELECT 1 FROM scores t WHERE t.stage = 'B' AND floor(t.a / 0.0003) BETWEEN floor(s.a / 0.0003) - 1 AND floor(s.a / 0.0003) + 1
+  AND abs(s.a - t.a) <= 0.00001::DOUBLE + 0.0002::DOUBLE * abs(t.a) AND abs(s.b - t.b) <= 0.00001::DOUBLE + 0.0002::DOUBLE * abs(t.b))""")
+def sp15r(spark, sf):
+    """A tolerance that grows with the value; a is at most 1, so 0.0003 bounds it in the SQL."""
+    s = scores_wide(spark, sf)
+    return sp.shared_values(s.filter("stage = 'A'").select("id", "a", "b"), s.filter("stage = 'B'"), ["a", "b"], tol=0.00001, rtol=0.0002)

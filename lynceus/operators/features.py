@@ -17,7 +17,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA, SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lynceus.functions.hashing import gaussian
+from lynceus.functions.hashing import gaussian, hash_word
 from lynceus.operators.derive import FeatureGroups
 from lynceus.operators.quality import ValidationError, column_moments, profile, value_counts
 from lynceus.operators.ranking import fitted_quantiles
@@ -150,7 +150,8 @@ def fit_range(train: DataFrame, cols: list[str], lo: float = 0.0, hi: float = ma
 def fit_onehot(train: DataFrame, cols: list[str]) -> Fitted:
     """0/1 columns for every level but the smallest; an unknown level is all zeros.
 
-    The levels become output columns, so they reach the driver: meant for columns with few of them.
+    The levels become output columns, so they reach the driver: for columns with few of them. ``level_dictionary`` has no
+    such bound.
     """
     types = dict(train.dtypes)
     rows = value_counts(train, cols).select("column_name", "value").collect()
@@ -165,6 +166,52 @@ def fit_onehot(train: DataFrame, cols: list[str]) -> Fitted:
     return Fitted(exprs, {"levels": levels})
 
 
+#: Hash buckets in which levels are numbered, a fixed number so that a level's place does not depend on the cluster.
+LEVEL_BUCKETS = 1024
+#: A level with more than one in this many of the rows is frequent: at most this many a column, sent to every task.
+FREQUENT_SHARE = 10_000
+
+
+def level_dictionary(train: DataFrame, cols: list[str], buckets: int = LEVEL_BUCKETS) -> DataFrame:
+    """``(column_name, value, n, place)``: every level of each column with its place among the levels of all columns.
+
+    Levels are numbered by (column, hash bucket, value): a bucket is numbered on its own and a small table of bucket counts
+    gives its offset, so a column with one level per row never meets the driver or one task. The smallest level of a column
+    has a null place; null is no level. A table without levels gives an empty dictionary.
+    """
+    least = profile(train, {c: {"least": F.min(c).cast("string")} for c in cols})
+    order = F.create_map(*[v for i, c in enumerate(cols) for v in (F.lit(c), F.lit(i))])
+    counted = value_counts(train, cols).join(F.broadcast(least), "column_name")  # one row per column
+    counted = counted.withColumns({"_column": order[F.col("column_name")], "_bucket": hash_word(F.col("value")) % buckets})
+    counted = counted.withColumn("_base", F.col("value") == F.col("least")).drop("least")
+    sizes = counted.groupBy("_column", "_bucket").agg(F.sum((~F.col("_base")).cast("long")).alias("_size"))
+    before = Window.orderBy("_column", "_bucket").rowsBetween(Window.unboundedPreceding, -1)  # columns x buckets rows
+    offsets = sizes.select("_column", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_column", "_bucket").orderBy("_base", "value")) - 1
+    numbered = counted.withColumn("_inside", inside).join(F.broadcast(offsets), ["_column", "_bucket"])
+    place = F.when(~F.col("_base"), F.col("_offset") + F.col("_inside")).cast("long")
+    return numbered.select("column_name", "value", "n", place.alias("place"))
+
+
+def encode_levels(df: DataFrame, cols: list[str], dictionary: DataFrame, n_train: int, id_col: str = "id") -> DataFrame:
+    """``(id, places)``: one sorted array of places per id, the ones of a 0/1 vector over the whole dictionary.
+
+    Frequent levels are looked up in every task: there are at most ``FREQUENT_SHARE`` of them in a column, keyed by digest.
+    Other levels meet their rows in a shuffle in which no key has more than that share of the training rows. Null, unknown
+    and smallest levels give no place; repeated ids share one array, and so do null ids.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.md5(F.col(c).cast("string")).alias("_key")) for c in cols])
+    cells = df.select(id_col, F.inline(pairs)).filter("_key is not null")
+    keyed = dictionary.select("column_name", F.md5("value").alias("_key"), "n", "place")
+    often = F.col("n") * FREQUENT_SHARE > n_train
+    known = cells.join(F.broadcast(keyed.filter(often)), ["column_name", "_key"], "left")
+    rare = keyed.filter(~often & F.col("place").isNotNull()).select("column_name", "_key", F.col("place").alias("_rare"))
+    looked = known.filter("n is null").join(rare, ["column_name", "_key"]).select(id_col, F.col("_rare").alias("place"))
+    every = known.filter("n is not null").select(id_col, "place").unionByName(looked)
+    every = every.unionByName(df.select(id_col, F.lit(None).cast("long").alias("place")))
+    return every.groupBy(id_col).agg(F.sort_array(F.collect_set("place")).alias("places"))
+
+
 def fit_preprocessor(train: DataFrame, groups: FeatureGroups, cfg: FeatureConfig = FeatureConfig()) -> Fitted:
     """Impute, encode and scale by semantic group; names survive into the outputs.
 

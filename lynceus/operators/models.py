@@ -13,17 +13,16 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lynceus.functions import scalar as sc
 from lynceus.functions.hashing import gaussian, uniform
-from lynceus.operators import evaluate as ev, features as ft
+from lynceus.operators import evaluate as ev, features as ft, margins as mg
 from lynceus.operators.derive import FeatureGroups
-from lynceus.operators.kernels import kernel_landmarks
 from lynceus.operators.newton import Problem, Solution, fit_many, score_many
 from lynceus.operators.ranking import hash_rank
 from lynceus.operators.sampling import assign_folds, nested_samples
@@ -35,6 +34,8 @@ LOGREG_GRID = {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]}
 FOREST_GRID = {"trees": [100, 300], "depth": [3, 5, None], "min_split": [2, 5], "subset": ["sqrt", "log2"]}
 BOOSTED_GRID = {"trees": [100, 300], "depth": [2, 3, 4], "rate": [0.05, 0.1], "rows": [0.8, 1.0], "columns": [0.8, 1.0]}
 SVM_GRID = {"C": [0.1, 1.0, 10.0, 100.0], "gamma": ["scale", 0.01, 0.1, 1.0]}
+#: Fixed penalties of the similarity-kernel classifier.
+KERNEL_GRID = {"C": [0.01, 0.1, 1.0, 10.0, 100.0]}
 #: Fixed boosted configuration where a search is not repeated.
 BOOSTED_FROZEN = {"trees": 300, "depth": 4, "rate": 0.05, "rows": 0.8, "columns": 1.0}
 #: Deepest tree MLlib grows; stands for an unlimited depth.
@@ -93,57 +94,76 @@ def boosted(trees: int = 100, depth: int = 3, rate: float = 0.1, rows: float = 1
     )
 
 
-def scale_gamma(prepared: DataFrame, names: list[str]) -> float:
-    """1 / (d * variance over all cells of the matrix)."""
-    pairs = F.array(*[F.col(n).cast("double") for n in names])
-    var = prepared.select(F.explode(pairs).alias("x")).agg(F.var_pop("x")).first()[0]
-    return 1.0 / (len(names) * var) if var else 1.0
+def scale_gamma(prepared: DataFrame) -> list[float]:
+    """1 / (d * variance over all cells of the matrix) of every ``fit`` in order; ``features`` are arrays."""
+    cells = prepared.select("fit", F.size("features").alias("d"), F.explode("features").alias("x"))
+    rows = cells.groupBy("fit").agg(F.max("d").alias("d"), F.var_pop("x").alias("v")).orderBy("fit").collect()  # one row per fit
+    return [1.0 / (r["d"] * r["v"]) if r["v"] else 1.0 for r in rows]
 
 
-class RbfSvm(Estimator):
-    """RBF-kernel classifier, linear in rows: random Fourier features of the prepared columns + LinearSVC."""
+def _listed(value) -> list:
+    return list(value) if isinstance(value, (list, tuple)) else [value]
 
-    def __init__(self, groups: FeatureGroups, C: float = 1.0, gamma: float | str = "scale", width: int = 64, y: str = "y",
-                 cfg: FeatureConfig = FeatureConfig(), seed: int = 42):
-        super().__init__()
-        self.groups, self.C, self.gamma, self.width, self.y, self.cfg, self.seed = groups, C, gamma, width, y, cfg, seed
 
-    def _fit(self, df: DataFrame) -> Transformer:
-        fitted = ft.fit_features(df, self.groups, self.y, self.cfg)
-        base = ft.Fitted({n: fitted.prepared.exprs[n] for n in fitted.selected})
-        gamma = scale_gamma(base.transform(df, keep=[]), base.names) if self.gamma == "scale" else self.gamma
-        waves = base.then(ft.rff(base.names, self.width, self.seed, gamma=gamma))
-        svc = LinearSVC(labelCol=self.y, regParam=1.0 / (self.C * df.count()), standardization=False, maxIter=50)
-        stages = [waves.stage(), VectorAssembler(inputCols=waves.names, outputCol="features"), svc]
-        return Pipeline(stages=stages).fit(df)
+class RbfSvm:
+    """Gaussian-kernel classifier, linear in rows: random waves of the prepared columns under a squared-hinge machine.
 
+    ``C`` and ``gamma`` may be lists: all their points are cross-validated over ``k`` folds in the same scans, the best mean
+    ROC-AUC is refitted, and probabilities are its out-of-fold margins' calibrated sigmoid. Waves live for one batch.
+    """
 
-class LandmarkClassifier:
-    """Similarity-kernel classifier: kernel values against m landmark rows, then LinearSVC.
+    def __init__(self, groups: FeatureGroups, C: float | list[float] = 1.0, gamma: float | str | list = "scale", width: int = 64, y: str = "y",
+                 cfg: FeatureConfig = FeatureConfig(), seed: int = 42, k: int = 5, id_col: str = "id"):
+        self.Cs, self.gammas, self.prep = _listed(C), _listed(gamma), FeaturePrep(groups, y, cfg)
+        self.width, self.y, self.seed, self.k, self.id_col = width, y, seed, k, id_col
+
+    def _waves(self, train: DataFrame, d: int) -> list[list[mg.Waves]]:
+        scale = scale_gamma(train) if "scale" in self.gammas else []
+        n_fits = train.select(F.max("fit")).first()[0] + 1
+        gamma = lambda g, i: scale[i] if g == "scale" else g
+        return [[mg.Waves.draw(d, self.width, gamma(g, i), self.seed) for i in range(n_fits)] for g in self.gammas]
+
+    def search(self, folded: DataFrame, fold: str = "fold") -> mg.MarginSearch:
+        """All points on rows that already have a fold; the preparation is fitted anew without each fold."""
+        rows = prepared_folds([stored(folded)], self.prep, self.k, fold, self.id_col, self.y)
+        rows = stored(rows.withColumnsRenamed({self.id_col: "id", fold: "fold"}))
+        d = rows.select(F.size("features")).first()[0]
+        maps = self._waves(rows.filter("fit <> fold").select("fit", "features"), d)
+        return mg.margin_search(rows, maps, [{"gamma": g} for g in self.gammas], self.Cs, self.k)
+
+    def fit(self, df: DataFrame) -> mg.KernelMachine:
+        df = stored(df)
+        found = self.search(assign_folds(df, self.id_col, self.y, self.k, self.seed))
+        stage = self.prep.fit(df)
+        rows = stored(stage.transform(df).select(F.lit(0).alias("fit"), F.col(self.y).alias("y"), vector_to_array("features").alias("features")))
+        best = found.points[found.best]
+        waves = self._waves(rows, rows.select(F.size("features")).first()[0])[self.gammas.index(best["gamma"])][0]
+        return mg.fit_machine(rows, waves, best["C"], found.calibration.final, stage)
 
-    Landmarks are the first m rows in seeded order. They travel with every task, so m is chosen to fit one.
-    """
 
-    def __init__(self, m: int = 64, C: float = 1.0, y: str = "y", seed: int = 42):
-        self.m, self.C, self.y, self.seed = m, C, y, seed
+class LandmarkClassifier:
+    """Similarity-kernel classifier: whitened kernel columns of m landmarks under a squared-hinge machine.
 
-    def fit(self, df: DataFrame) -> "LandmarkModel":
-        land = hash_rank(df.select("id", "vec"), "id", [], self.seed).filter(F.col("rank") <= self.m).select("id", "vec")
-        rows = land.collect()  # m rows
-        fixed = df.sparkSession.createDataFrame(rows, land.schema)
-        train = kernel_landmarks(df, fixed).withColumn("features", array_to_vector("k"))
-        svc = LinearSVC(labelCol=self.y, regParam=1.0 / (self.C * df.count()), standardization=False, maxIter=50).fit(train)
-        return LandmarkModel(fixed, svc, self.m)
+    Landmarks are drawn by leverage from the rows of the fit, anew for every fold. They travel with every task, so m is
+    chosen to fit one. ``C`` may be a list, searched and calibrated as in ``RbfSvm``. Rows need ``id``, ``vec`` and a label;
+    a null or ragged vector stops the job.
+    """
 
+    def __init__(self, m: int = 64, C: float | list[float] = 1.0, y: str = "y", seed: int = 42, k: int = 5):
+        self.m, self.Cs, self.y, self.seed, self.k = m, _listed(C), y, seed, k
 
-@dataclass
-class LandmarkModel:
-    landmarks: DataFrame
-    svc: Transformer
-    m: int
+    def search(self, folded: DataFrame, fold: str = "fold") -> mg.MarginSearch:
+        data = stored(folded.select("id", F.col(self.y).alias("y"), F.col(fold).alias("fold"), F.col("vec").alias("features")))
+        maps = [mg.Nystrom.of(mg.leverage_landmarks(data.filter(F.col("fold") != i), self.m, self.seed, vec="features")) for i in range(self.k)]
+        rows = data.withColumn("fit", F.explode(F.array(*[F.lit(i) for i in range(self.k)])))
+        return mg.margin_search(rows, [maps], [{"m": self.m}], self.Cs, self.k)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return self.svc.transform(kernel_landmarks(df, self.landmarks).withColumn("features", array_to_vector("k"))).drop("k")
+    def fit(self, df: DataFrame) -> mg.KernelMachine:
+        df = stored(df)
+        found = self.search(assign_folds(df.drop("fold"), "id", self.y, self.k, self.seed))
+        nystrom = mg.Nystrom.of(mg.leverage_landmarks(df, self.m, self.seed))
+        rows = df.select(F.col(self.y).alias("y"), "vec")
+        return mg.fit_machine(rows, nystrom, found.points[found.best]["C"], found.calibration.final, features="vec")
 
 
 def positive_score(scored: DataFrame) -> Column:
@@ -256,6 +276,19 @@ def grid_search(df: DataFrame, build: Callable[..., Callable[[DataFrame], Transf
 # ---- many logistic models at once ----------------------------------------------------------------
 
 
+def prepared_folds(sets: list[DataFrame], prep: Estimator, k: int, fold: str = "fold", id_col: str = "id", y: str = "y",
+                   parallelism: int = 4) -> DataFrame:
+    """``(fit, id, y, fold, features array)``: every row of every set as prepared without each fold; fit = set * k + fold."""
+
+    def prepared(s: int, i: int):
+        stage = prep.fit(sets[s].filter(F.col(fold) != i))
+        rows = stage.transform(sets[s])
+        return rows.select(F.lit(s * k + i).alias("fit"), id_col, F.col(y).alias("y"), fold, vector_to_array("features").alias("features"))
+
+    places = [(s, i) for s in range(len(sets)) for i in range(k)]
+    return _union(_parallel([(lambda p=p: prepared(*p)) for p in places], parallelism))
+
+
 @dataclass
 class LogisticFolds:
     """All problems (set, fold, C) of some folded tables, solved together, and their held-out scores."""
@@ -278,15 +311,8 @@ def logistic_folds(sets: list[DataFrame], prep: Estimator, k: int, Cs: list[floa
     ``scores`` is long ``(set, id, y, fold, point, proba)``: every row of a set scored once per C (``point`` numbers
     them), by models that never saw it.
     """
-    sets = [stored(s) for s in sets]
-
-    def prepared(s: int, i: int):
-        stage = prep.fit(sets[s].filter(F.col(fold) != i))
-        rows = stage.transform(sets[s])
-        return rows.select(F.lit(s * k + i).alias("fit"), id_col, F.col(y).alias("y"), fold, vector_to_array("features").alias("features"))
-
     places = [(s, i) for s in range(len(sets)) for i in range(k)]
-    rows = stored(_union(_parallel([(lambda p=p: prepared(*p)) for p in places], parallelism)))
+    rows = stored(prepared_folds([stored(s) for s in sets], prep, k, fold, id_col, y, parallelism))
     held = F.col(fold) == F.col("fit") % k
     problems = [Problem(s * k + i, float(c)) for s, i in places for c in Cs]
     solutions = fit_many(rows.filter(~held), problems)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -230,20 +232,50 @@ def subsample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     return hash_rank(df, id_col, [], seed).filter(F.col("rank") <= n).drop("rank", "n_stratum")
 
 
-def shared_values(a: DataFrame, b: DataFrame, cols: list[str], tol: float | None = None) -> DataFrame:
-    """Rows of ``a`` numerically equal to some row of ``b`` on every column.
+#: Columns whose cells a tolerant match is keyed on (a row looks into two cells of each), the largest level whose half units
+#: a double still tells apart, and the level all greater values share.
+_CELL_COLUMNS, _COUNTED, _FARTHEST = 3, 1e14, 1e17
 
-    Exact by a semi join on the values. With a tolerance the first column is cut into cells of width
-    ``tol``; a row of ``a`` looks into its own and both neighbouring cells, which holds every match.
+
+def shared_values(a: DataFrame, b: DataFrame, cols: list[str], tol: float | None = None, rtol: float = 0.0) -> DataFrame:
+    """Distinct rows of ``a`` numerically equal to some row of ``b`` on every column; with neither tolerance, by an exact semi join.
+
+    With tolerances a value matches b's when |a - b| <= tol + rtol |b|, or when both are the same infinity; null and NaN match
+    nothing. Values are laid on a scale where the tolerance is about one unit everywhere, ln(1 + rtol |x| / tol) / rtol.
+    Rows that share a cell of half a unit in all columns match for sure: one semi join on distinct cells settles the crowds.
+    The rest look into their own and the nearer neighbouring cell, two units wide, of up to three columns, and the values decide.
     """
-    if tol is None:
+    if tol is None and not rtol:
         cond = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in cols]
         return a.alias("l").join(b.select(*cols).distinct().alias("r"), cond, "left_semi")
-    cell = lambda c: F.floor(c / tol)
-    left = a.withColumn("_cell", F.explode(F.array(*[cell(F.col(cols[0])) + d for d in (-1, 0, 1)])))
-    # equal rows of b answer the same question once
-    right = b.select(*cols).distinct().select(cell(F.col(cols[0])).alias("_rcell"), *[F.col(c).alias(f"_r_{c}") for c in cols])
-    cond = F.col("_cell") == F.col("_rcell")
+    if not tol or tol < 0 or not 0 <= rtol < 1:
+        raise ValueError("tolerances need tol > 0 and 0 <= rtol < 1")
+
+    def level(c: str) -> Column:
+        x = F.col(c).cast("double")
+        scaled = F.signum(x) * F.log1p(F.abs(x) * (rtol / tol)) / rtol if rtol else x / tol
+        return F.greatest(F.lit(-_FARTHEST), F.least(F.lit(_FARTHEST), scaled))
+
+    numbers = lambda df: df.filter(reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols]))
+    fine = [F.floor(level(c) * 2).alias(f"_f{i}") for i, c in enumerate(cols)]
+    keys = [f"_f{i}" for i in range(len(cols))]
+    right = numbers(b.select(*cols).distinct())
+    exact = reduce(and_, [F.abs(level(c)) < _COUNTED for c in cols])
+    left = numbers(a.distinct()).select("*", *fine, exact.alias("_exact"))
+    cells = right.filter(exact).select(*fine).distinct().withColumn("_sure", F.lit(True))
+    left = left.join(cells, keys, "left")
+    sure = left.filter("_exact and _sure").select(*a.columns)
+
+    wide = 2.0 / (1.0 - rtol) + 1e-6  # close values lie less than half of it apart
+    cell = lambda c: F.floor(level(c) / wide)
+    nearer = lambda c: cell(c) + F.when(level(c) / wide - cell(c) < 0.5, F.lit(-1)).otherwise(F.lit(1))
+    looking = left.filter("not coalesce(_exact and _sure, false)").select(*a.columns)
+    split = cols[:_CELL_COLUMNS]
+    for i, c in enumerate(split):
+        looking = looking.withColumn(f"_c{i}", F.explode(F.array(cell(c), nearer(c))))
+    found = right.select(*[cell(c).alias(f"_k{i}") for i, c in enumerate(split)], *[F.col(c).cast("double").alias(f"_r_{c}") for c in cols])
+    cond = reduce(and_, [F.col(f"_c{i}") == F.col(f"_k{i}") for i in range(len(split))])
     for c in cols:
-        cond = cond & (F.abs(F.col(c) - F.col(f"_r_{c}")) <= tol)
-    return left.join(right, cond, "left_semi").drop("_cell").distinct()
+        x, z = F.col(c).cast("double"), F.col(f"_r_{c}")
+        cond = cond & ((x == z) | ((F.abs(z) < float("inf")) & (F.abs(x - z) <= tol + rtol * F.abs(z))))
+    return sure.unionByName(looking.join(found, cond, "left_semi").select(*a.columns).distinct())
