@@ -13,7 +13,7 @@ from lynceus.catalog import query
 from lynceus.catalog.evaluation import SCORES_SQL, delong_sql, holm_sql, rank_sql, round_all
 from lynceus.catalog.features import SPLIT_SQL, noise_sql, train_test
 from lynceus.catalog.quality import VITALS_SQL, vitals
-from lynceus.catalog.sampling import RANKED_SQL
+from lynceus.catalog.sampling import H, RANKED_SQL
 from lynceus.operators import evaluate as ev, gate, models as ml, staged
 from lynceus.operators.derive import FeatureGroups
 from lynceus.operators.sampling import assign_folds
@@ -259,7 +259,18 @@ def ml15(spark, sf):
 def ml16(spark, sf):
     train, data = train_test(spark, sf)
     held = data.filter("split = 'test'").drop("split")
-    return round_all(ml.permutation_importance(held, _fit_boosted()(train), ["price", "known_bal", "order_day"]), "importance")
+    return round_all(ml.permutation_importance(held, _fit_boosted()(train), ["price", "known_bal", "order_day"]), "importance", "std")
+
+
+@query("ml16_permuted_values", f"""
+WITH {SPLIT_SQL}, t AS (SELECT id, price, known_bal, row_number() OVER (ORDER BY {H}, id) AS r, count(*) OVER () AS n FROM data WHERE split = 'test'),
+s AS (SELECT CAST(k AS INTEGER) AS repeat, 1 + CAST('0x' || substr(md5('42:' || k), 1, 8) AS BIGINT) % (n - 1) AS shift FROM range(10) x(k), (SELECT max(n) AS n FROM t))
+SELECT a.id, s.repeat, round(b.price, 4) AS price, round(b.known_bal, 4) AS known_bal FROM t a CROSS JOIN s JOIN t b ON b.r = (a.r - 1 + s.shift) % a.n + 1""")
+def ml16v(spark, sf):
+    """The values every held-out row takes in each of ten permutations."""
+    _, data = train_test(spark, sf)
+    held = ml.permuted_values(data.filter("split = 'test'").select("id", "price", "known_bal"), ["price", "known_bal"], 10, 42)
+    return round_all(held.select("id", F.inline("donated")), "price", "known_bal", digits=4)
 
 
 _PARTIAL = lambda x: f"(corr(y, {x}) - corr(y, a) * corr({x}, a)) / sqrt((1 - corr(y, a) * corr(y, a)) * (1 - corr({x}, a) * corr({x}, a)))"

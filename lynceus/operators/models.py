@@ -20,7 +20,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lynceus.functions import scalar as sc
-from lynceus.functions.hashing import gaussian, uniform
+from lynceus.functions.hashing import gaussian, hash_word, uniform
 from lynceus.operators import evaluate as ev, features as ft, margins as mg
 from lynceus.operators.derive import FeatureGroups
 from lynceus.operators.newton import Problem, Solution, fit_many, score_many
@@ -530,14 +530,43 @@ def shuffled_column(df: DataFrame, id_col: str, col: str, seed: int) -> DataFram
     return to.join(source, "_r").drop("_r", "_n").select(*df.columns)
 
 
-def permutation_importance(df: DataFrame, model: Transformer, cols: list[str], seed: int = 42, id_col: str = "id", y: str = "y") -> DataFrame:
-    """Drop of ROC-AUC when one column is shuffled: all shuffles scored and ranked in one job."""
-    df = stored(df)
-    base = score(model, df, [id_col, y]).withColumn("feature", F.lit(""))
-    parts = [score(model, shuffled_column(df, id_col, c, seed + 2 * i), [id_col, y]).withColumn("feature", F.lit(c)) for i, c in enumerate(cols)]
-    auc = ev.roc_auc(stored(_union([base, *parts]).withColumnRenamed(y, "y")), ["feature"])
+def permuted_values(df: DataFrame, cols: list[str], repeats: int, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """``df`` with ``donated``, an array over 0..repeats-1 of ``(repeat, cols)`` from another row: a permutation per repeat.
+
+    Rows are ranked once in a seeded order; in repeat t a row takes the values of the row s_t ranks on, cyclically, with s_t
+    hashed from (seed, t) within 1..n-1. Every row sends its values to their ``repeats`` ranks and meets them in one shuffle,
+    whatever the number of columns. A single row keeps its own values; null values travel like any other.
+    """
+    ranked = hash_rank(df, id_col, [], seed, rank="_r", size="_n")
+    step = lambda t: F.lit(1) + F.pmod(hash_word(F.lit(seed), F.lit(t)), F.greatest(F.col("_n") - 1, F.lit(1)))
+    to = lambda t: F.pmod(F.col("_r") - 1 - step(t), F.col("_n")) + 1
+    own = ranked.select("_r", F.struct(*df.columns).alias("_own"), F.lit(None).cast("int").alias("repeat"), *cols)
+    sent = ranked.select(F.explode(F.array(*[F.struct(to(t).alias("_r"), F.lit(t).alias("repeat")) for t in range(repeats)])).alias("_s"), *cols)
+    sent = sent.select("_s._r", F.lit(None).cast(own.schema["_own"].dataType).alias("_own"), "_s.repeat", *cols)
+    gift = F.when(F.col("repeat").isNotNull(), F.struct("repeat", *cols))
+    met = own.unionByName(sent).groupBy("_r").agg(F.first("_own", ignorenulls=True).alias("_own"), F.sort_array(F.collect_list(gift)).alias("donated"))
+    return met.select("_own.*", "donated")
+
+
+def permutation_importance(df: DataFrame, model: Transformer, cols: list[str], seed: int = 42, id_col: str = "id", y: str = "y",
+                           repeats: int = 10) -> DataFrame:
+    """Drop of ROC-AUC when one column is permuted: mean ``importance`` and population deviation ``std`` over the repeats.
+
+    All variants of a row are scored in one pass and ranked in one job: a row's ``repeats * columns + 1`` versions.
+    """
+    variants = F.array(
+        F.struct(F.lit("").alias("feature"), F.lit(0).alias("repeat")),
+        *[F.struct(F.lit(c).alias("feature"), F.lit(t).alias("repeat")) for c in cols for t in range(repeats)])
+    given = permuted_values(df.drop("feature", "repeat", "donated"), cols, repeats, seed, id_col)
+    long = given.withColumn("_v", F.explode(variants)).select("*", "_v.*").drop("_v")
+    donor = F.element_at("donated", F.col("repeat") + 1)
+    long = long.withColumns({c: F.when(F.col("feature") == c, donor[c]).otherwise(F.col(c)) for c in cols}).drop("donated")
+    scored = stored(score(model, long, [id_col, y, "feature", "repeat"]).withColumnRenamed(y, "y"))
+    auc = stored(ev.roc_auc(scored, ["feature", "repeat"]))
     plain = auc.filter("feature = ''").select("roc_auc").scalar()
-    return auc.withColumn("_b", plain).filter("feature <> ''").select("feature", (F.col("_b") - F.col("roc_auc")).alias("importance"))
+    drop = plain - F.col("roc_auc")
+    return auc.filter("feature <> ''").groupBy("feature").agg(
+        F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("std"), F.count(F.lit(1)).alias("repeats"))
 
 
 # ---- curves and perturbations -------------------------------------------------------------------
