@@ -10,7 +10,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lynceus.operators.ranking import quantiles_from_counts, value_counts_long
+from lynceus.operators.ranking import (
+    bracket_counts, bracket_pairs, bracket_sketch, quantiles_from_brackets, quantiles_from_counts, value_counts_long,
+)
+from lynceus.session import stored
 
 
 class ValidationError(ValueError):
@@ -96,16 +99,22 @@ def missing_report(df: DataFrame) -> DataFrame:
     })
 
 
+def row_digest(df: DataFrame, cols: list[str]) -> Column:
+    """SHA-256 of the values of ``cols``; null differs from any text, both zeros of a float are one."""
+    kinds = dict(df.dtypes)
+    text = lambda c: (F.col(c) + F.lit(0).cast(kinds[c]) if kinds[c] in ("float", "double") else F.col(c)).cast("string")
+    parts = [F.coalesce(F.concat(F.lit("v"), text(c)), F.lit("n")) for c in cols]
+    # every part is prefixed by its length, so different rows cannot spell the same text
+    return F.sha2(F.concat(F.lit(""), *[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)
+
+
 def duplicate_rows(df: DataFrame, subset: list[str], id_col: str) -> DataFrame:
     """Ids of rows that repeat an earlier row (smallest id kept) on ``subset``.
 
     Rows travel as a digest of the subset. The first id per digest is pre-aggregated and kept only
     where something repeats, so a hot value costs one row on that side and can be split on the other.
     """
-    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in subset]
-    # every part is prefixed by its length, so different rows cannot spell the same text
-    text = F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
-    keyed = df.select(F.col(id_col), F.sha2(text, 256).alias("_k"))
+    keyed = df.select(F.col(id_col), row_digest(df, subset).alias("_k"))
     first = keyed.groupBy("_k").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     return keyed.join(first, "_k").filter(F.col(id_col) > F.col("first_id")).select(id_col, "first_id")
 
@@ -119,26 +128,31 @@ def duplicate_count(df: DataFrame, subset: list[str]) -> DataFrame:
 
 
 def duplicate_summary(df: DataFrame, id_col: str) -> DataFrame:
-    """Duplicates ignoring the id, and duplicate ids."""
+    """Duplicates ignoring the id, and duplicate ids: digests of both kinds counted in one scan and one shuffle."""
     rest = [c for c in df.columns if c != id_col]
-    rows = duplicate_count(df, rest).select(F.col("n_duplicates").alias("n_duplicate_rows"))
-    ids = duplicate_count(df, [id_col]).select("n_duplicates")
-    return rows.select("n_duplicate_rows", ids.scalar().alias("n_duplicate_ids"))
+    kinds = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), row_digest(df, cols).alias("k")) for kind, cols in (("rows", rest), ("ids", [id_col]))
+    ])
+    counts = df.select(F.inline(kinds)).groupBy("kind", "k").agg(F.count(F.lit(1)).alias("n"))
+    beyond = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n") - 1))
+    return counts.agg(beyond("rows").alias("n_duplicate_rows"), beyond("ids").alias("n_duplicate_ids"))
+
+
+def moments(c: str) -> dict[str, Column]:
+    x = F.col(c).cast("double")
+    return {"n": F.count(c), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x)}
 
 
 def column_moments(df: DataFrame, cols: list[str]) -> DataFrame:
     """Non-null count, range, mean and sample deviation per column: one aggregate."""
-    x = lambda c: F.col(c).cast("double")
-    return profile(df, {
-        c: {
-            "n": F.count(c), "min": F.min(x(c)), "max": F.max(x(c)), "mean": F.avg(x(c)), "std": F.stddev_samp(x(c)),
-        }
-        for c in cols
-    })
+    return profile(df, {c: moments(c) for c in cols})
 
 
 def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """min, max, mean, median, sample deviation and distinct count per column, 3 decimals."""
+    """min, max, mean, median, sample deviation and distinct count per column, 3 decimals.
+
+    The distinct count is exact, so every distinct value is shuffled once; the median comes from the same counts.
+    """
     counts = value_counts_long(df, cols)
     med = quantiles_from_counts(counts, ["column_name"], {"median": 0.5})
     unique = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_unique"))
@@ -150,11 +164,34 @@ def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
+def scan_metrics(df: DataFrame, metrics: dict) -> dict:
+    """All ``metrics`` of a table from one aggregate, on the driver: as many values as the caller names."""
+    return dict(zip(metrics, df.agg(*[c.alias(str(i)) for i, c in enumerate(metrics.values())]).first()))
+
+
+def quartile_metrics(cols: list[str]) -> dict:
+    """What the first scan gathers for ``quartile_rows``: moments and brackets of the quartiles."""
+    out = {(c, m): col for c in cols for m, col in moments(c).items()}
+    return out | {(c, "edges"): bracket_sketch(c, QUARTILES) for c in cols}
+
+
+def quartile_rows(df: DataFrame, cols: list[str], seen: dict, counts: DataFrame) -> DataFrame:
+    """One row per column from the metrics of the first scan and the bracket counts of the second."""
+    quart = quantiles_from_brackets(df, counts, cols, QUARTILES)
+    names = ("n", "mean", "std", "min", *QUARTILES, "max")
+    rows = [(c, *[quart[c][m] if m in QUARTILES else seen[c, m] for m in names]) for c in cols]
+    local = df.sparkSession.createDataFrame(rows, "column_name string, " + ", ".join(f"{m} {'long' if m == 'n' else 'double'}" for m in names))
+    return local.select("column_name", "n", *[F.round(m, 6).alias(m) for m in names[1:]])
+
+
 def describe_quartiles(df: DataFrame, cols: list[str]) -> DataFrame:
-    counts = value_counts_long(df, cols)
-    return column_moments(df, cols).join(quantiles_from_counts(counts, ["column_name"], QUARTILES), "column_name").select(
-        "column_name", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")]
-    )
+    """Count, mean, deviation, range and exact quartiles per column: two scans, no shuffle of all values.
+
+    A column without a value has count 0 and null statistics.
+    """
+    seen = scan_metrics(df, quartile_metrics(cols))
+    pairs = df.select(F.inline(F.array(*bracket_pairs({c: seen[c, "edges"] for c in cols})))).filter("x is not null")
+    return quartile_rows(df, cols, seen, stored(bracket_counts(pairs)))
 
 
 def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -214,32 +251,47 @@ def target_distribution(df: DataFrame, y: str, threshold: float = 0, alarm: floa
     )
 
 
-def quality_report(df: DataFrame, spec: TableSpec, id_col: str) -> DataFrame:
-    """All checks as long rows ``(check_name, column_name, value, severity)``."""
+def quality_report(df: DataFrame, spec: TableSpec, id_col: str, threshold: float = 0, alarm: float = 0.20) -> DataFrame:
+    """All checks as long rows ``(check_name, column_name, value, severity)`` from three scans.
+
+    Missing values, sentinels, ranges, constant columns and label shares come from one aggregate; values outside
+    their domain need a count per value, duplicates a count per row digest.
+    """
     warn = lambda cond: F.when(cond, "warning").otherwise("info")
     feats = [c for c in df.columns if c not in (spec.target, id_col)]
-    as_rows = lambda d, check, col, value, cond: d.select(
-        F.lit(check).alias("check_name"), col.alias("column_name"), value.cast("double").alias("value"), warn(cond).alias("severity")
+    checks: list[tuple] = []  # name, column, value; condition of the row, condition of a warning (over _v, the value)
+    v, always, never = F.col("_v"), F.lit(True), F.lit(False)
+    for c in df.columns:
+        checks.append(("missing", c, count_where(F.col(c).isNull()), always, never))
+    for c in spec.zero_sentinels:
+        checks.append(("zero_sentinel", c, count_where(F.col(c) == 0), always, v > 0))
+    for c, (lo, hi) in spec.ranges.items():
+        checks.append(("out_of_range", c, count_where((F.col(c) < lo) | (F.col(c) > hi)), always, v > 0))
+    for c in feats:
+        checks.append(("zero_variance", c, F.coalesce(F.min(c) == F.max(c), F.lit(True)).cast("long"), v > 0, always))
+    y = F.col(spec.target).cast("double") > threshold
+    for label, cond in ((f"{spec.target}=0", ~y), (f"{spec.target}=1", y), (spec.target, y.isNull())):
+        checks.append(("target_share", label, count_where(cond), v > 0, F.col("_minority") < alarm))
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[value.alias(f"_c{i}") for i, (_, _, value, _, _) in enumerate(checks)])
+    classes = [F.col(f"_c{i}") for i, check in enumerate(checks) if check[0] == "target_share"]
+    one = one.withColumn("_minority", F.least(*[F.when(n > 0, n) for n in classes]) / F.col("_n"))
+    flat = one.select("_n", "_minority", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_i"), F.col(f"_c{i}").alias("_v")) for i in range(len(checks))
+    ])))
+    pick = lambda part: F.element_at(F.array(*[part(check) for check in checks]), F.col("_i") + 1)
+    name = pick(lambda check: F.lit(check[0]))
+    scanned = flat.filter(pick(lambda check: check[3])).select(
+        name.alias("check_name"), pick(lambda check: F.lit(check[1])).alias("column_name"),
+        F.when(name == "target_share", F.round(v / F.col("_n"), 6)).when(name == "zero_variance", 1.0).otherwise(v.cast("double")).alias("value"),
+        warn(pick(lambda check: check[4])).alias("severity"),
     )
-    v = F.col
-    parts = [
-        as_rows(missing_report(df), "missing", v("column_name"), v("n_missing"), F.lit(False)),
-        as_rows(
-            duplicate_count(df, [c for c in df.columns if c != id_col]),
-            "duplicates", F.lit("*"), v("n_duplicates"), v("n_duplicates") > 0,
-        ),
-        as_rows(domain_violations(df, spec.domains), "domain", F.concat_ws("=", "column_name", "value"), v("n"), F.lit(True)),
-        as_rows(sentinel_counts(df, list(spec.zero_sentinels)), "zero_sentinel", v("column_name"), v("n_sentinel"), v("n_sentinel") > 0),
-        as_rows(out_of_range(df, spec.ranges), "out_of_range", v("column_name"), v("n_out"), v("n_out") > 0),
-        as_rows(zero_variance(df, feats), "zero_variance", v("column_name"), F.lit(1), F.lit(True)),
-        as_rows(
-            target_distribution(df, spec.target).filter("kind = 'binary'"),
-            "target_share", F.concat_ws("=", F.lit(spec.target), v("value").cast("int").cast("string")), v("share"), v("minority_alarm"),
-        ),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    beyond = duplicate_count(df, [c for c in df.columns if c != id_col]).select(F.col("n_duplicates").cast("double").alias("value"))
+    duplicates = beyond.select(F.lit("duplicates").alias("check_name"), F.lit("*").alias("column_name"), "value", warn(F.col("value") > 0).alias("severity"))
+    out = scanned.unionByName(duplicates)
+    if spec.domains:
+        out = out.unionByName(domain_violations(df, spec.domains).select(
+            F.lit("domain").alias("check_name"), F.concat_ws("=", "column_name", "value").alias("column_name"),
+            F.col("n").cast("double").alias("value"), F.lit("warning").alias("severity")))
     return out
 
 
@@ -275,16 +327,20 @@ def plausibility_flags(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumns({**flags, "any_flag": any_flag})
 
 
-def flag_summary(flagged: DataFrame, names: list[str]) -> DataFrame:
+def flag_metrics(names: list[str]) -> dict[str, Column]:
     share = F.avg(F.col("any_flag").cast("double")) * 100
-    return flagged.agg(
-        F.count(F.lit(1)).alias("n_total"),
-        *[count_where(F.col(n)).alias(n) for n in names],
-        count_where(F.col("any_flag")).alias("any_flag_count"),
-        F.round(share, 6).alias("any_flag_percent"),
-        count_where(~F.col("any_flag")).alias("clean_count"),
-        F.round(100 - share, 6).alias("clean_percent"),
-    )
+    return {
+        "n_total": F.count(F.lit(1)),
+        **{n: count_where(F.col(n)) for n in names},
+        "any_flag_count": count_where(F.col("any_flag")),
+        "any_flag_percent": F.round(share, 6),
+        "clean_count": count_where(~F.col("any_flag")),
+        "clean_percent": F.round(100 - share, 6),
+    }
+
+
+def flag_summary(flagged: DataFrame, names: list[str]) -> DataFrame:
+    return flagged.agg(*[c.alias(name) for name, c in flag_metrics(names).items()])
 
 
 def target_rate_by_flag(flagged: DataFrame, y: str) -> DataFrame:
@@ -300,8 +356,41 @@ def split_clean(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def audit(df: DataFrame, spec: TableSpec, id_col: str, rules: dict[str, Column]) -> DataFrame:
-    """Full audit as long rows ``(section, item, metric, value)``."""
+    """Full audit as long rows ``(section, item, metric, value)`` from three scans.
+
+    The first gathers all counts, moments, flags, label rates and quantile brackets in one aggregate. The second
+    counts the values of categories, of the label and of the brackets in one shuffle; rows between brackets meet
+    in one count per task. The third counts duplicates by digest.
+    """
     flagged = plausibility_flags(df, rules)
+    numeric, labels = list(spec.numeric), [spec.target, *spec.categorical]
+    y, summary = F.col(spec.target).cast("double"), flag_metrics(list(rules))
+    kinds = {"flagged": F.col("any_flag"), "clean": ~F.col("any_flag")}
+    seen = scan_metrics(flagged, quartile_metrics(numeric) | {
+        **{("missing", c): count_where(F.col(c).isNull()) for c in df.columns},
+        **{("flags", m): c for m, c in summary.items()},
+        **{("rate", k): F.round(F.avg(F.when(cond, y)), 6) for k, cond in kinds.items()},
+        **{("n", k): count_where(cond) for k, cond in kinds.items()},
+    })
+
+    pairs = [p.withField("text", F.lit(None).cast("string")) for p in bracket_pairs({c: seen[c, "edges"] for c in numeric})]
+    none = F.lit(None).cast("double")
+    for i, c in enumerate(labels):  # the label first; numbered, since a column may be a number and a category
+        pairs.append(F.struct(
+            F.lit(c).alias("column_name"), F.lit(-1 - i).alias("gap"), none.alias("value"), none.alias("x"),
+            F.col(c).cast("string").alias("text")))
+    long = df.select(F.inline(F.array(*pairs))).filter("gap < 0 or x is not null").filter("gap >= -1 or text is not null")
+    counts = stored(long.groupBy("column_name", "gap", F.col("value").alias("v"), "text").agg(
+        F.min("x").alias("value"), F.max("x").alias("top"), F.count(F.lit(1)).alias("cnt")))
+
+    fixed = [("shape", "table", "rows", seen["flags", "n_total"]), ("shape", "table", "columns", len(df.columns))]
+    fixed += [("missing", c, "n", seen["missing", c]) for c in df.columns if seen["missing", c] > 0]
+    fixed += [("flags", "table", m, seen["flags", m]) for m in summary]
+    for k in kinds:
+        if seen["n", k]:
+            fixed += [("rate_by_flag", k, "rate", seen["rate", k]), ("rate_by_flag", k, "n", seen["n", k])]
+    schema = "section string, item string, metric string, value double"
+    out = df.sparkSession.createDataFrame([(*r[:3], None if r[3] is None else float(r[3])) for r in fixed], schema)
 
     def rows(d: DataFrame, section: str, item: Column, metrics: dict[str, Column]) -> DataFrame:
         pairs = F.array(*[
@@ -310,23 +399,14 @@ def audit(df: DataFrame, spec: TableSpec, id_col: str, rules: dict[str, Column])
         return d.select(F.lit(section).alias("section"), item.alias("item"), F.inline(pairs))
 
     v = F.col
-    quart = describe_quartiles(df, list(spec.numeric))
-    summary = flag_summary(flagged, list(rules))
-    parts = [
-        rows(df.agg(F.count(F.lit(1)).alias("n")), "shape", F.lit("table"), {"rows": v("n"), "columns": F.lit(len(df.columns))}),
-        rows(missing_report(df).filter("n_missing > 0"), "missing", v("column_name"), {"n": v("n_missing")}),
-        rows(duplicate_summary(df, id_col), "duplicates", F.lit("table"), {"rows": v("n_duplicate_rows"), "ids": v("n_duplicate_ids")}),
-        rows(df.groupBy(spec.target).agg(F.count(F.lit(1)).alias("n")), "target", v(spec.target).cast("string"), {"n": v("n")}),
-        rows(quart, "numeric", v("column_name"), {c: v(c) for c in quart.columns if c != "column_name"}),
-        rows(value_counts(df, list(spec.categorical)), "categorical", F.concat_ws("=", "column_name", "value"), {"n": v("n")}),
-        rows(summary, "flags", F.lit("table"), {c: v(c) for c in summary.columns}),
-        rows(target_rate_by_flag(flagged, spec.target), "rate_by_flag",
-             F.when(v("any_flag"), "flagged").otherwise("clean"), {"rate": v("target_rate"), "n": v("n")}),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if numeric:
+        quart = quartile_rows(df, numeric, seen, counts.filter("gap >= 0").select("column_name", "value", "top", "cnt"))
+        out = out.unionByName(rows(quart, "numeric", v("column_name"), {c: v(c) for c in quart.columns if c != "column_name"}))
+    return (
+        out.unionByName(rows(duplicate_summary(df, id_col), "duplicates", F.lit("table"), {"rows": v("n_duplicate_rows"), "ids": v("n_duplicate_ids")}))
+        .unionByName(rows(counts.filter("gap = -1"), "target", v("text"), {"n": v("cnt")}))
+        .unionByName(rows(counts.filter("gap < -1"), "categorical", F.concat_ws("=", "column_name", "text"), {"n": v("cnt")}))
+    )
 
 
 # ---- assertions and contracts -------------------------------------------------------------------

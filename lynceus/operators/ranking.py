@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lynceus.functions.hashing import WORD, hash_word
+from lynceus.session import stored
 
 _BUCKET = "_bucket"
 _GROUP = "_group"
@@ -129,28 +130,34 @@ def value_counts_long(df: DataFrame, cols: list[str], keys: list[str] | None = N
 
 
 def quantiles_from_counts(
-    counts: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value", cnt: str = "cnt"
+    counts: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value", cnt: str = "cnt",
+    wide: Column | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per ``keys``; one column per entry of ``probs``.
 
     The values at the two ranks around each quantile are picked from running counts, so no group's
     values meet in one buffer (the built-in exact percentile keeps a map of all values per group).
+    ``wide`` marks rows that stand for more than one value; a column ``wide`` then tells which keys hit one.
     """
     run = running_sums(counts, keys, value, [cnt])
     before, total = F.col(f"{cnt}_before"), F.col(f"{cnt}_total")
-    picks = []
+    picks, hits = [], F.lit(False)
     for name, p in probs.items():
         pos = F.lit(p) * (total - 1)
         for tag, r in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             hit = (before <= r) & (r < before + F.col(cnt))
             picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{tag}_{name}"))
+            hits = hits | hit
+    if wide is not None:
+        picks.append(F.max(hits & wide).alias("wide"))
     agg = run.groupBy(*keys).agg(F.max(total).alias("_n"), *picks)
     cols = []
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_n") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return agg.select(*keys, *cols)
+        between = lo + (hi - lo) * (pos - F.floor(pos))  # undefined between equal infinities
+        cols.append(F.when(lo == hi, lo).otherwise(between).alias(name))
+    return agg.select(*keys, *cols, *(["wide"] if wide is not None else []))
 
 
 def exact_quantiles(
@@ -161,8 +168,76 @@ def exact_quantiles(
     return quantiles_from_counts(value_counts_long(df, cols, keys), [*keys, "column_name"], probs)
 
 
-def fitted_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float]) -> dict[str, dict[str, float]]:
-    """The same quantiles on the driver, ``{column: {name: value}}``, for fitting."""
-    rows = exact_quantiles(df, cols, probs).collect()
+# ---- quantiles without a shuffle of all values ---------------------------------------------------
+
+#: The sketch places a value within 1 / SKETCH of the rows of its rank; brackets reach twice as far.
+SKETCH = 10_000
+
+
+def bracket_sketch(c: str, probs: dict[str, float]) -> Column:
+    """Aggregate of one column: lower and upper edge of a bracket around every quantile, in turn.
+
+    It is mergeable and of bounded size, so it may stand beside any other aggregates of the same scan.
+    """
+    around = [min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-2 / SKETCH, 2 / SKETCH)]
+    return F.percentile_approx(F.col(c).cast("double"), F.array(*[F.lit(p) for p in around]), SKETCH)
+
+
+def disjoint(edges: list[float]) -> list[tuple[float, float]]:
+    """Brackets in order, those that meet as one."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(zip(edges[::2], edges[1::2])):
+        if out and not lo > out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def bracket_pairs(edges: dict[str, list[float] | None]) -> list[Column]:
+    """Per column a struct ``(column_name, gap, value, x)``: ``value`` is null between the brackets.
+
+    Grouped by the first three, all rows of a gap meet in one count before any shuffle, and only the values of
+    the brackets (about 4 / SKETCH of the rows for each quantile) are told apart.
+    """
+    pairs = []
+    for c, found in edges.items():
+        x, gap, inside = F.col(c).cast("double"), F.lit(0), F.lit(False)
+        for lo, hi in disjoint(found or []):
+            gap = gap + (x > F.lit(hi)).cast("int")
+            inside = inside | x.between(F.lit(lo), F.lit(hi))
+        pairs.append(F.struct(
+            F.lit(c).alias("column_name"), gap.alias("gap"), F.when(inside, x).alias("value"), x.alias("x")))
+    return pairs
+
+
+def bracket_counts(pairs: DataFrame) -> DataFrame:
+    """``(column_name, value, top, cnt)``: a gap is listed by its smallest value, ``top`` is its largest one."""
+    grouped = pairs.groupBy("column_name", "gap", F.col("value").alias("v"))
+    return grouped.agg(F.min("x").alias("value"), F.max("x").alias("top"), F.count(F.lit(1)).alias("cnt")).drop("gap", "v")
+
+
+def quantiles_from_brackets(df: DataFrame, counts: DataFrame, cols: list[str], probs: dict[str, float]) -> dict[str, dict[str, float]]:
+    """``{column: {name: value}}`` from stored ``bracket_counts``; one number per column and quantile reaches the driver.
+
+    A rank that fell into a gap (the sketch missed its bound) is found again among all values of its column.
+    """
+    rows = quantiles_from_counts(counts, ["column_name"], probs, wide=F.col("value") < F.col("top")).collect()
+    again = [r["column_name"] for r in rows if r["wide"]]
+    if again:
+        rows = [r for r in rows if not r["wide"]] + exact_quantiles(df, again, probs).collect()
     found = {r["column_name"]: {p: r[p] for p in probs} for r in rows}
     return {c: found.get(c, dict.fromkeys(probs)) for c in cols}
+
+
+def fitted_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float]) -> dict[str, dict[str, float]]:
+    """The quantiles of ``exact_quantiles`` on the driver, ``{column: {name: value}}``, from two scans.
+
+    The first scan sketches a bracket for every quantile, the second counts the values within the brackets and
+    the rows between them. A column without a value has quantiles None; NaN is the largest number.
+    """
+    if not cols:
+        return {}
+    edges = df.agg(*[bracket_sketch(c, probs).alias(str(i)) for i, c in enumerate(cols)]).first()
+    pairs = df.select(F.inline(F.array(*bracket_pairs(dict(zip(cols, edges)))))).filter("x is not null")
+    return quantiles_from_brackets(df, stored(bracket_counts(pairs)), cols, probs)
