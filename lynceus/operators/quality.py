@@ -130,10 +130,9 @@ def duplicate_count(df: DataFrame, subset: list[str]) -> DataFrame:
 def duplicate_summary(df: DataFrame, id_col: str) -> DataFrame:
     """Duplicates ignoring the id, and duplicate ids: digests of both kinds counted in one scan and one shuffle."""
     rest = [c for c in df.columns if c != id_col]
-    kinds = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), row_digest(df, cols).alias("k")) for kind, cols in (("rows", rest), ("ids", [id_col]))
-    ])
-    counts = df.select(F.inline(kinds)).groupBy("kind", "k").agg(F.count(F.lit(1)).alias("n"))
+    digests = df.select(row_digest(df, rest).alias("rows"), row_digest(df, [id_col]).alias("ids"))  # once a row, then listed
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.unhex(kind).alias("k")) for kind in ("rows", "ids")])
+    counts = digests.select(F.inline(kinds)).groupBy("kind", "k").agg(F.count(F.lit(1)).alias("n"))
     beyond = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n") - 1))
     return counts.agg(beyond("rows").alias("n_duplicate_rows"), beyond("ids").alias("n_duplicate_ids"))
 
