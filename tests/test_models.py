@@ -1,7 +1,9 @@
 """Fitted models: leakage, coverage, persistence, streaming."""
 
+import numpy as np
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from lynceus.catalog.learning import CFG, GROUPS
@@ -194,3 +196,27 @@ def test_staged_scores_equal_separate_fits(spark, learnable):
     assert auc[6] == pytest.approx(whole) and set(auc) == {2, 6}
     with pytest.raises(ValueError):
         staged.staged_scores(rows, trees, [7], ["id"])
+
+
+def test_logistic_learners_of_all_folds_are_solved_together(spark):
+    """One preparation per fold serves all learners that share it; scores are those of single fits."""
+    rng = np.random.RandomState(7)
+    x = rng.normal(size=(600, 2))
+    y = (x[:, 0] + 0.5 * rng.normal(size=600) > 0.8).astype(int)
+    df = spark.createDataFrame([(i, int(t), i % 3, float(a), float(b)) for i, (t, (a, b)) in enumerate(zip(y, x))], "id long, y int, fold int, a double, b double")
+    weighted = ml.class_weights(df)
+    fitted = []
+
+    class Counted(Estimator):
+        def _fit(self, rows):
+            fitted.append(rows.count())
+            return VectorAssembler(inputCols=["a", "b"], outputCol="features")
+
+    table = ml.compare_weighting(df, Counted(), 1.0, 3).collect()
+    assert sorted(fitted) == [400, 400, 400] and len(table) == 2 * 3 * len(ml.CV_METRICS)
+    prep = Counted()
+    learners = {"plain": ml.LogisticLearner(prep), "balanced": ml.LogisticLearner(prep, weight="weight")}
+    together = ml.oof_scores(weighted, learners, 3)
+    single = ml.oof_scores(weighted, {n: (lambda t, f=f: f(t)) for n, f in learners.items()}, 3).withColumnRenamed("proba", "alone")
+    both = together.join(single, ["id", "y", "fold", "model"]).toPandas()
+    assert len(both) == 1200 and (both["proba"] - both["alone"]).abs().max() < 1e-4
