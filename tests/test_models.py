@@ -220,3 +220,14 @@ def test_logistic_learners_of_all_folds_are_solved_together(spark):
     single = ml.oof_scores(weighted, {n: (lambda t, f=f: f(t)) for n, f in learners.items()}, 3).withColumnRenamed("proba", "alone")
     both = together.join(single, ["id", "y", "fold", "model"]).toPandas()
     assert len(both) == 1200 and (both["proba"] - both["alone"]).abs().max() < 1e-4
+
+
+def test_a_forest_trains_on_partitions_of_bounded_size(spark, monkeypatch):
+    """MLlib holds a draw count per row and tree: few large partitions are dealt anew, small tables stay as they lie."""
+    seen = []
+    monkeypatch.setattr(ml.RandomForestClassifier, "_fit", lambda self, rows: seen.append((rows.rdd.getNumPartitions(), rows.count())))
+    monkeypatch.setattr(ml, "FOREST_ROWS", 100)
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.range(1000).selectExpr("id", "CAST(id % 2 AS INT) y", "CAST(id AS DOUBLE) x"))
+    ml.forest(3).fit(rows.coalesce(2))
+    ml.forest(3).fit(rows.repartition(12))
+    assert seen == [(10, 1000), (12, 1000)]
