@@ -12,19 +12,29 @@ FIRST, SECOND, STEP = 0x85EBCA6B, 0xC2B2AE35, 0x9E3779B9
 WORD = 2**32
 #: Deviations on each side of the count that a table spans, and entries added on each side.
 SPAN, MARGIN = 12, 40
+#: Top bits of a word that are looked up before its place among the thresholds is searched.
+GUIDE = 14
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 32-bit words that spreads every bit."""
-    x = (x ^ (x >> np.uint32(16))) * np.uint32(FIRST)
-    x = (x ^ (x >> np.uint32(13))) * np.uint32(SECOND)
-    return x ^ (x >> np.uint32(16))
+    """A bijection of 32-bit words that spreads every bit, in place."""
+    t = x >> np.uint32(16)
+    x ^= t
+    x *= np.uint32(FIRST)
+    np.right_shift(x, np.uint32(13), out=t)
+    x ^= t
+    x *= np.uint32(SECOND)
+    np.right_shift(x, np.uint32(16), out=t)
+    x ^= t
+    return x
 
 
 def words(w0: np.ndarray, w1: np.ndarray, n: int) -> np.ndarray:
     """``n`` words for each pair of key words: column r depends on the keys and r alone."""
     counter = np.arange(n, dtype=np.uint32) * np.uint32(STEP)
-    return mixed(mixed(w0.astype(np.uint32)[:, None] + counter) ^ w1.astype(np.uint32)[:, None])
+    x = mixed(w0.astype(np.uint32)[:, None] + counter)
+    x ^= w1.astype(np.uint32)[:, None]
+    return mixed(x)
 
 
 @lru_cache(maxsize=4096)
@@ -43,19 +53,32 @@ def poisson_table(count: int) -> tuple[int, np.ndarray]:
     return low, limits[limits < WORD].astype(np.uint32)
 
 
-def poisson(counts: np.ndarray, w0: np.ndarray, w1: np.ndarray, n: int) -> np.ndarray:
-    """Matrix of ``n`` Poisson draws with mean ``counts[i]`` in row i, as int64."""
+@lru_cache(maxsize=512)
+def poisson_guide(count: int) -> np.ndarray:
+    """Thresholds at or below a word, by the word's top ``GUIDE`` bits; -1 where a threshold lies among words with these bits."""
+    limits = poisson_table(count)[1]
+    first = np.arange(2**GUIDE, dtype=np.int64) << (32 - GUIDE)
+    least = np.searchsorted(limits, first, side="right")
+    most = np.searchsorted(limits, first + (1 << (32 - GUIDE)) - 1, side="right")
+    return np.where(least == most, least, -1).astype(np.int16 if len(limits) < 2**15 else np.int32)
+
+
+def poisson(counts: np.ndarray, w0: np.ndarray, w1: np.ndarray, n: int, dtype: type = np.int64) -> np.ndarray:
+    """Matrix of ``n`` Poisson draws with mean ``counts[i]`` in row i.
+
+    Most words are settled by their top bits, the others by a search; both give the same numbers.
+    """
     drawn = words(w0, w1, n)
-    out = np.zeros(drawn.shape, np.int64)
+    out = np.empty(drawn.shape, dtype)
     for count in np.unique(counts).tolist():
-        rows = counts == count
+        rows = np.flatnonzero(counts == count)
         low, limits = poisson_table(count)
-        at = drawn[rows]
-        if len(limits) <= 24:  # the same numbers, cheaper than a search
-            got = np.zeros(at.shape, np.uint8)
-            for t in limits:
-                got += at >= t
-            out[rows] = low + got.astype(np.int64)
+        at = drawn if len(rows) == len(counts) else drawn[rows]
+        got = poisson_guide(count)[at >> np.uint32(32 - GUIDE)]
+        unsure = got < 0
+        got[unsure] = np.searchsorted(limits, at[unsure], side="right")
+        if len(rows) == len(counts):
+            np.add(got, dtype(low), out=out, casting="unsafe")
         else:
-            out[rows] = low + np.searchsorted(limits, at, side="right")
+            out[rows] = got.astype(dtype) + dtype(low)
     return out

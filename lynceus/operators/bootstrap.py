@@ -12,13 +12,14 @@ sums above a block are its offsets, the second pass adds concordant mass and pre
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lynceus.functions.draws import poisson
+from lynceus.functions.draws import MARGIN, SPAN, poisson
 from lynceus.functions.hashing import hash_word
 from lynceus.operators.compare import delong, holm, mcnemar, pair_cells, pair_weight, pair_with_reference, verdict
 from lynceus.operators.evaluate import LABEL_METRICS, RANK_METRICS, confusion, label_metrics, label_ratios, metrics_long, ranking_metrics
@@ -27,8 +28,8 @@ from lynceus.operators.ranking import bucket_count, join_groups, with_value_buck
 from lynceus.session import ship_package, stored
 
 METHOD = "poisson_cells"
-#: Cells drawn at once.
-ROWS = 256
+#: Cells drawn at once: few enough for their draws to stay in a core's cache.
+ROWS = 64
 #: Partial sums a task holds before it hands them on.
 HELD = 64
 #: Cells of one score above which their draws are summed by several tasks before the ordered pass.
@@ -67,11 +68,15 @@ def cell_rows(cells: DataFrame, gid: Column, score: Column, key: list[Column], s
 def _weights(batch: dict[str, np.ndarray], rows: slice, resamples: int) -> np.ndarray:
     """Draws of some cells; column 0 holds the counts themselves, so the observed value is one more resample."""
     cnt = batch["cnt"][rows]
-    out = np.empty((len(cnt), resamples + 1), np.int64)
+    summed = [(i, s) for i, s in enumerate(batch["sums"][rows]) if s is not None]
+    # 32 bits where no sum over the cells can pass them
+    most = int(cnt.max()) + SPAN * math.isqrt(int(cnt.max())) + SPAN + MARGIN
+    dtype = np.int32 if not summed and most * len(cnt) < 2**31 else np.int64
+    out = np.empty((len(cnt), resamples + 1), dtype)
     out[:, 0] = cnt
-    out[:, 1:] = poisson(cnt, batch["w0"][rows], batch["w1"][rows], resamples)
-    for i in np.flatnonzero([s is not None for s in batch["sums"][rows]]):
-        out[i] = np.frombuffer(batch["sums"][rows][i], np.int64)
+    out[:, 1:] = poisson(cnt, batch["w0"][rows], batch["w1"][rows], resamples, dtype)
+    for i, s in summed:
+        out[i] = np.frombuffer(s, np.int64)
     return out
 
 
@@ -116,8 +121,8 @@ def _block_sums(resamples: int):
                 p, n = held.setdefault(key, (np.zeros(resamples + 1, np.int64), np.zeros(resamples + 1, np.int64)))
                 for rows in _chunks(part):
                     w, pos = _weights(cols, rows, resamples), cols["y"][rows] == 1
-                    p += w[pos].sum(0)
-                    n += w[~pos].sum(0)
+                    p += np.add.reduce(w[pos], axis=0, dtype=w.dtype)
+                    n += np.add.reduce(w[~pos], axis=0, dtype=w.dtype)
         if held:
             yield _out([(*k, p.tobytes(), n.tobytes()) for k, (p, n) in held.items()], schema)
 
@@ -150,38 +155,62 @@ class _Block:
     """Running state of one block: sums above, the last score's sums not yet placed, and what has been added up."""
 
     def __init__(self, up: bytes, un: bytes):
-        self.up, self.un = np.frombuffer(up, np.int64).copy(), np.frombuffer(un, np.int64).copy()
+        # whole numbers below 2^53, so that their products need no conversion
+        self.up, self.un = (np.frombuffer(b, np.int64).astype(np.float64) for b in (up, un))
+        self.first = self.up, self.un
         self.score, self.open = None, None
-        self.p, self.n = np.zeros(len(self.up), np.int64), np.zeros(len(self.up), np.int64)
         self.area, self.precision = np.zeros(len(self.up)), np.zeros(len(self.up))
 
     def add(self, score: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
-        starts = np.flatnonzero(np.concatenate(([True], score[1:] != score[:-1])))
-        pos = (y == 1)[:, None]
-        p, n = np.add.reduceat(np.where(pos, w, 0), starts, axis=0), np.add.reduceat(np.where(pos, 0, w), starts, axis=0)
+        """Draws of some cells: those of a score's class are summed, all scores but the last are placed together."""
+        new, pos = np.concatenate(([True], score[1:] != score[:-1])), y == 1
+        starts = np.flatnonzero(new | np.concatenate(([False], pos[1:] != pos[:-1])))
+        at, pos = np.cumsum(new)[starts] - 1, pos[starts]
+        sums = w if len(starts) == len(w) else np.add.reduceat(w, starts, axis=0, dtype=w.dtype)
+        of = lambda rows: [np.add.reduce(sums[rows & c], axis=0, dtype=np.float64) for c in (pos, ~pos)]
+        last, begin = at[-1], 0
+        if self.open is not None and score[0] == self.score:
+            self.open = [a + b for a, b in zip(self.open, of(at == 0))]
+            if last == 0:
+                return
+            begin = 1
+        self._place_open()
+        rows = (at >= begin) & (at < last)
+        if rows.any():
+            self._place(*[x for c in (pos, ~pos) for x in (sums[rows & c].astype(np.float64), at[rows & c])])
+        self.score, self.open = score[-1], of(at == last)
+
+    def _place_open(self) -> None:
         if self.open is not None:
-            if score[0] == self.score:
-                p[0] += self.open[0]
-                n[0] += self.open[1]
-            else:
-                p, n = np.vstack((self.open[0][None], p)), np.vstack((self.open[1][None], n))
-        self.score, self.open = score[-1], (p[-1], n[-1])
-        self._place(p[:-1], n[:-1])
-
-    def _place(self, p: np.ndarray, n: np.ndarray) -> None:
-        if not len(p):
-            return
-        tp, fp = self.up + np.cumsum(p, axis=0), self.un + np.cumsum(n, axis=0)
-        self.area += (n * (tp - p * 0.5)).sum(0)  # positives above, and half of those at the same score
-        self.precision += (p * (tp / np.maximum(tp + fp, 1))).sum(0)
-        self.p += tp[-1] - self.up
-        self.n += fp[-1] - self.un
-        self.up, self.un = tp[-1], fp[-1]
+            one = np.zeros(1, np.int64)
+            self._place(self.open[0][None], one, self.open[1][None], one)
+
+    def _place(self, p: np.ndarray, at_p: np.ndarray, n: np.ndarray, at_n: np.ndarray) -> None:
+        """Sums of positives and of negatives with the numbers of their scores, the highest first."""
+        tp, fp = (np.concatenate((top[None], x)) for top, x in ((self.up, p), (self.un, n)))
+        np.cumsum(tp, axis=0, out=tp)
+        np.cumsum(fp, axis=0, out=fp)
+        if len(n):
+            above, with_ties = np.searchsorted(at_p, at_n, "left"), np.searchsorted(at_p, at_n, "right")
+            over = tp[above]
+            if not np.array_equal(above, with_ties):
+                over = (over + tp[with_ties]) * 0.5  # positives above, and half of those at the same score
+            over *= n
+            self.area += over.sum(0)
+        if len(p):
+            hits = tp[np.searchsorted(at_p, at_p, "right")]
+            named = fp[np.searchsorted(at_n, at_p, "right")]
+            named += hits
+            np.maximum(named, 1.0, out=named)
+            hits /= named
+            hits *= p
+            self.precision += hits.sum(0)
+        self.up, self.un = tp[-1].copy(), fp[-1].copy()
 
     def close(self) -> tuple[bytes, ...]:
-        if self.open is not None:
-            self._place(self.open[0][None], self.open[1][None])
-        return tuple(x.tobytes() for x in (self.p, self.n, self.area, self.precision))
+        self._place_open()
+        p, n = (np.rint(now - then).astype(np.int64) for now, then in zip((self.up, self.un), self.first))
+        return tuple(x.tobytes() for x in (p, n, self.area, self.precision))
 
 
 TOTALS = "gid string, p binary, n binary, area binary, precision binary"
@@ -269,7 +298,7 @@ def _spread_hot(cells: DataFrame, resamples: int) -> DataFrame:
                     held = {}
                 total = held.setdefault(key, np.zeros(resamples + 1, np.int64))
                 for rows in _chunks(part):
-                    total += _weights(cols, rows, resamples).sum(0)
+                    total += np.add.reduce(_weights(cols, rows, resamples), axis=0)
         if held:
             yield _out([(*k, v.tobytes()) for k, v in held.items()], schema)
 

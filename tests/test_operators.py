@@ -155,6 +155,22 @@ def test_poisson_draws_follow_one_formula():
     assert poisson_table(1)[1][:3].tolist() == [int(2**32 * np.exp(-1)), int(2**32 * 2 * np.exp(-1)), int(2**32 * 2.5 * np.exp(-1))]
 
 
+def test_few_words_are_searched_among_the_thresholds(monkeypatch):
+    """Top bits settle most draws of small counts; the numbers are those of a search for every word."""
+    from lynceus.functions import draws
+
+    searched, plain = [], np.searchsorted
+    rng = np.random.default_rng(3)
+    counts, w0, w1 = rng.choice([1, 2, 60, 5000], 40), rng.integers(0, 2**32, 40), rng.integers(0, 2**32, 40)
+    words = draws.words(w0, w1, 500)
+    want = [low + plain(limits, word, "right") for (low, limits), word in zip(map(draws.poisson_table, counts.tolist()), words)]
+    for n in set(counts.tolist()):
+        draws.poisson_table(n), draws.poisson_guide(n)
+    monkeypatch.setattr(draws.np, "searchsorted", lambda a, v, side: searched.append(np.size(v)) or plain(a, v, side))
+    assert np.array_equal(draws.poisson(counts, w0, w1, 500), want)
+    assert 0 < sum(searched) < words.size / 4
+
+
 def test_ranks_shuffle_the_rows_once(spark):
     from lynceus.operators.ranking import hash_rank
 
