@@ -144,6 +144,33 @@ def test_grouped_newton_equals_mllib(spark, learnable):
         nt.fit_many(rows, [nt.Problem(77, 1.0)])
 
 
+def test_rows_are_packed_once_for_all_scans(spark, monkeypatch):
+    """Newton scans read blocks of one fit: the rows' own plan is run once, whatever the number of scans and blocks."""
+    from lynceus.operators import newton as nt
+
+    rng = np.random.RandomState(3)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(int)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    plain = spark.createDataFrame([(i % 3, int(t), [float(v) for v in r], 1.0 + i % 2) for i, (t, r) in enumerate(zip(y, x))], "fit int, y int, features array<double>, w double").coalesce(2)
+    rows = plain.mapInArrow(counted, plain.schema)
+    monkeypatch.setattr(nt, "BLOCK", 7)
+    problems = [nt.Problem(i, c) for i in range(3) for c in (0.1, 10.0)]
+    found = nt.fit_many(rows, problems, weight="w")
+    assert seen.value == 300 and max(s.scans for s in found) > 2
+    for j, p in enumerate(problems):
+        of = np.arange(300) % 3 == p.fit
+        w, z = 1.0 + np.arange(300)[of] % 2, x[of] @ found[j].coefficients + found[j].intercept
+        slope = w * (1 / (1 + np.exp(-z)) - y[of])
+        assert abs(slope.sum()) < 1e-6 and np.abs(x[of].T @ slope + found[j].coefficients / p.C).max() < 1e-6
+
+
 def gate_case(spark, seal, gain, held_gain, seeds):
     from lynceus.operators import gate
 
