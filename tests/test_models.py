@@ -171,6 +171,19 @@ def test_rows_are_packed_once_for_all_scans(spark, monkeypatch):
         assert abs(slope.sum()) < 1e-6 and np.abs(x[of].T @ slope + found[j].coefficients / p.C).max() < 1e-6
 
 
+def test_mean_scores_equal_those_of_listed_scores(spark):
+    """Sums of scores leave a task, not the scores: one line per problem and task."""
+    from lynceus.operators import newton as nt
+
+    rows = spark.range(0, 90, 1, 3).select((F.col("id") % 2).cast("int").alias("fit"), F.array(F.sin("id"), F.col("id") / 50.0).alias("features"))
+    problems = [nt.Problem(i, c) for i in range(2) for c in (0.1, 10.0)]
+    solutions = [nt.Solution(np.array([0.3 * j - 0.4, 1.0 - j]), 0.2 * j, 0.0, 1) for j in range(4)]
+    listed = nt.score_many(rows, problems, solutions, ["fit"]).groupBy("problem").agg(F.count("*").alias("n"), F.avg("proba").alias("m"))
+    want = {r["problem"]: (r["n"], r["m"]) for r in listed.collect()}
+    got = nt.mean_scores(rows, problems, solutions).collect()
+    assert len(got) == 4 and all(r["n"] == want[r["problem"]][0] == 45 and abs(r["mean_score"] - want[r["problem"]][1]) < 1e-12 for r in got)
+
+
 def gate_case(spark, seal, gain, held_gain, seeds):
     from lynceus.operators import gate
 
